@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, toxicity
+from . import line_dedup, mixing, ngram_join, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_packing": packing.op2_packing,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
         "op7_quality": quality.op7_quality,
     }
 
@@ -61,5 +64,34 @@ FROM run
 """
 
 
+LINE_DEDUP_SQL = """
+WITH boiler AS (
+  SELECT trim(line, ' \t\r') AS k
+  FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+  WHERE trim(line, ' \t\r') <> '' AND source IS NOT NULL
+  GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+marked AS (
+  SELECT doc_id, text, line, pos, trim(line, ' \t\r') IN (SELECT k FROM boiler) AS gone FROM lines),
+bare AS (
+  SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS bare
+  FROM marked GROUP BY doc_id, text),
+judged AS (
+  SELECT *, n_gone > 0 AND
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) - len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+'))
+           <= 0.5 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS cut
+  FROM bare)
+SELECT doc_id, n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_removed,
+       CASE WHEN cut THEN bare ELSE text END AS text
+FROM judged
+UNION ALL
+SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL}
+    return {"op1_mixing": MIXING_SQL, "op3_line_dedup": LINE_DEDUP_SQL}
