@@ -90,8 +90,7 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return mixed((mixed(parts + _BAND[None, :, None]) * _MIX).sum(axis=2) + _BAND).astype(np.int64)
 
 
-@F.pandas_udf("array<long>")
-def bands_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         out: list[np.ndarray | None] = []
         for part in common.slices(texts.map(len).tolist()):
@@ -100,8 +99,7 @@ def bands_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("struct<sig:binary,grams:binary>")
-def payload_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def payloads(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         sets = [g for part in common.slices(texts.map(len).tolist()) for g in shingles(texts.iloc[part].tolist())]
         yield pd.DataFrame({"sig": [signature(g).tobytes() for g in sets], "grams": [g.tobytes() for g in sets]})
@@ -206,7 +204,7 @@ def with_blocks(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, tid, class_id, n_links, kept of every row; kept marks the row that stays of its class."""
     common.small_batches(docs.sparkSession)
-    rows = common.write_shared(docs.select("doc_id", text_id().alias("tid"), bands_of(common.whole_text()).alias("bands")), "bands")
+    rows = common.write_shared(docs.select("doc_id", text_id().alias("tid"), F.pandas_udf(bands, "array<long>")(common.whole_text()).alias("bands")), "bands")
     worded = rows.where(F.col("tid").isNotNull() & F.col("bands").isNotNull())
     texts = common.write_shared(worded.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")), "texts")
     banded = texts.select("tid", F.explode("bands").alias("bucket"))
@@ -220,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = common.write_shared(texts.select("tid", "first_id", "n_docs").join(blocks, "tid"), "wanted")
     hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda df: df)
     here = docs.select("doc_id", "text").join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("first_id")))
-    here = here.where(text_id() == F.col("tid")).select("tid", "block", "n_docs", payload_of(common.whole_text()).alias("p"))
+    here = here.where(text_id() == F.col("tid")).select("tid", "block", "n_docs", F.pandas_udf(payloads, "struct<sig:binary,grams:binary>")(common.whole_text()).alias("p"))
     payload = common.write_shared(here.select("tid", "block", "n_docs", "p.sig", "p.grams"), "payload")
     sides = pairs.select(F.col("a").alias("block"), "pair", F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("one")).unionByName(pairs.where("a < b").select(F.col("b").alias("block"), "pair", F.lit(1).alias("side"), F.lit(False).alias("one")))
     found = payload.join(sides, "block").groupBy("pair").applyInPandas(compare_blocks, "tid long, links long, root long")
