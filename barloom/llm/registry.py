@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import html_extract, line_dedup, media, mixing, ngram_join, packing, pq_near, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_media_columns": media.op5_media_columns,
         "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
         "op7_quality": quality.op7_quality,
+        "op8_pq_near_dedup": pq_near.op8_pq_near_dedup,
+        "op9_html_extract": html_extract.op9_html_extract,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
