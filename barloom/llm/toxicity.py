@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, labelled
 
-SAMPLE_EACH = 4_000
+SAMPLE_EACH = 3_000
 SAMPLE_CHARS = 20_000
 #: Lengths of word beginnings that serve as features beside whole words.
 BEGINNINGS = (3, 4, 5, 6)
@@ -59,36 +59,40 @@ def fit(texts: list[str], y: list[int], keep: int = 4096, min_docs: int = 4, l1:
     counted once per family of near copies; Adam with an L1 penalty on weights of at least 0.
     """
     seen: set[tuple[int, int]] = set()
-    docs: list[tuple[list[set[str]], int]] = []
+    docs: list[tuple[str, int]] = []
     for text, label in zip(texts, y, strict=True):
         lowered = (text or "").lower()
-        if (key := (family(WORD.findall(lowered)), label)) in seen:
-            continue
-        seen.add(key)
-        docs.append(([{f for w in set(WORD.findall(s)) for f in features_of(w)} for s in SENTENCE.split(lowered)], label))
+        if (key := (family(WORD.findall(lowered)), label)) not in seen:
+            seen.add(key)
+            docs.append((lowered, label))
     n, n_pos = len(docs), sum(label for _, label in docs)
     if not 0 < n_pos < n:
         return {}
-    in_all, in_pos = Counter(), Counter()
-    for sentences, label in docs:
-        held = set().union(*sentences)
-        in_all.update(held)
-        if label:
-            in_pos.update(held)
+
+    def document_frequency(label: int, among: dict[str, int] | None = None) -> dict[str, int]:
+        counts: Counter[str] = Counter()
+        for text, own in docs:
+            if own == label:
+                found = {f for w in set(WORD.findall(text)) for f in features_of(w)}
+                counts.update(found if among is None else found & among.keys())
+        return counts
+
+    in_pos = {f: c for f, c in document_frequency(1).items() if c >= min_docs}
+    in_neg = document_frequency(0, in_pos)
     share = n_pos / n
 
     def z(f: str) -> float:
-        c = in_all[f]
+        c = in_pos[f] + in_neg.get(f, 0)
         return (in_pos[f] - c * share) / math.sqrt(c * share * (1 - share))
 
-    ranked = sorted(((z(f), f) for f, c in in_pos.items() if c >= min_docs), key=lambda x: (-x[0], x[1]))
+    ranked = sorted(((z(f), f) for f in in_pos), key=lambda x: (-x[0], x[1]))
     vocabulary = {f: i for i, (v, f) in enumerate(ranked[:keep]) if v > 3}
     if not vocabulary:
         return {}
     feature, sentence, owner = [], [], []
-    for d, (sentences, _) in enumerate(docs):
-        for s in sentences:
-            if hits := [vocabulary[f] for f in s if f in vocabulary]:
+    for d, (text, _) in enumerate(docs):
+        for s in SENTENCE.split(text):
+            if hits := [vocabulary[f] for f in {f for w in set(WORD.findall(s)) for f in features_of(w)} if f in vocabulary]:
                 feature += hits
                 sentence += [len(owner)] * len(hits)
                 owner.append(d)
