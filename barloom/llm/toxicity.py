@@ -52,7 +52,7 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def fit(texts: list[str], y: list[int], keep: int = 4096, min_docs: int = 4, l1: float = 2e-4, steps: int = 400) -> dict[str, float]:
+def fit(texts: list[str], y: list[int], keep: int = 4096, min_docs: int = 4, l1: float = 5e-5, steps: int = 400) -> dict[str, float]:
     """Weights of the features that speak for label 1; empty without labels of both classes.
 
     Candidates are features whose document frequency in class 1 exceeds what chance gives,
@@ -102,7 +102,7 @@ def fit(texts: list[str], y: list[int], keep: int = 4096, min_docs: int = 4, l1:
     w, m, v = np.full(len(vocabulary), 0.5), np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
     base = np.log1p(np.exp(BIAS))
     #: The shorter a beginning, the more it must explain: it also starts harmless words.
-    price = l1 * np.array([(1 + 2 * (8 - len(f))) if f.endswith("*") else 1 for f in vocabulary])
+    price = l1 * np.array([(1 + 0.1 * (7 - len(f))) if f.endswith("*") else 1 for f in vocabulary])
     for t in range(1, steps + 1):
         s = BIAS + np.bincount(sentence, w[feature], len(owner))
         none = -np.bincount(owner, np.logaddexp(0, s) - base, n)
