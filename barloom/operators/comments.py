@@ -118,7 +118,7 @@ def rule_comment(df: DataFrame) -> DataFrame:
         buy = F.when(holds[n], won(f"{n}일선", F.col(f"ma{n}"))).otherwise(buy)
         stop = F.when(holds[n], won("20일선", F.col("ma20")) if n == 20 else won("전저점", low)).otherwise(stop)
     goal = F.when(peak > close * 1.03, won("전고점", peak)).otherwise(resist)
-    head = F.concat(format_won(close), F.lit("원("), signed_pct(rate), F.lit("), 거래량 "), F.format_string("%.0f%%", ratio), F.lit(". "), first)
+    head = F.concat(format_won(close), F.lit("원("), signed_pct(rate), F.lit("), 거래량 "), F.format_string("%.0f%%", F.bround(ratio, 0)), F.lit(". "), first)
     second = filled(pick_template(SUPPORT_SENTENCES, seed, 3), {"s": support, "r": resist})
     third = filled(pick_template(TRADE_SENTENCES, seed, 7), {"b": buy, "x": stop, "t": goal})
     return df.withColumn("comment", F.concat_ws(" ", head, second, third))
@@ -129,11 +129,11 @@ def rule_comment_candle(df: DataFrame) -> DataFrame:
     e, close, age = F.col("expected_ma"), F.col("close"), F.col("day_type")
     three, eight = won("3일선", e["ma3"]), won("8일선", e["ma8"])
     text = (
-        F.when(age == 0, F.concat(F.lit("당일 기준봉: 거래량 "), F.format_string("%.0f%%", F.col("vol_ratio")), F.lit(", 내일 "), three, F.lit(" 확인.")))
+        F.when(age == 0, F.concat(F.lit("당일 기준봉: 거래량 "), F.format_string("%.0f%%", F.bround("vol_ratio", 0)), F.lit(", 내일 "), three, F.lit(" 확인.")))
         .when((age == 1) & (close < e["ma3"]), F.concat(three, F.lit(" 아래: 저항으로 작용합니다.")))
-        .when(age == 1, F.concat(F.lit("거래량 "), F.format_string("%.0f%%", F.col("vol_change_ratio")), F.lit("로 감소, "), three, F.lit(" 지지.")))
+        .when(age == 1, F.concat(F.lit("거래량 "), F.format_string("%.0f%%", F.bround("vol_change_ratio", 0)), F.lit("로 감소, "), three, F.lit(" 지지.")))
         .when((age == 2) & (close < e["ma8"]), F.concat(eight, F.lit(" 아래: 관망합니다.")))
-        .when(age == 2, F.concat(F.lit("거래량 "), F.format_string("%.0f%%", F.col("vol_change_ratio")), F.lit(", "), eight, F.lit(" 지지.")))
+        .when(age == 2, F.concat(F.lit("거래량 "), F.format_string("%.0f%%", F.bround("vol_change_ratio", 0)), F.lit(", "), eight, F.lit(" 지지.")))
         .otherwise("이평선 부근에서 조정을 마쳤습니다.")
     )
     return df.withColumn("commentary", text)
@@ -195,7 +195,7 @@ def report_rows_review(review: DataFrame) -> DataFrame:
 def report_rows_candle(candles: DataFrame, near: DataFrame) -> DataFrame:
     """Q12: candle picks, then near-mean picks, in one table."""
     label = F.when(F.col("day_type") == 0, "당일").when(F.col("day_type") == 1, "1일차").when(F.col("day_type") == 2, "2일차").otherwise(F.format_string("%d일차", F.col("day_type")))
-    a = candles.select("scan_date", F.lit(1).alias("part"), "code", "close", signed_pct(F.col("rate")).alias("rate"), label.alias("day"), F.format_string("%.0f%%", F.col("vol_ratio")).alias("volume"), F.col("ref_date"))
+    a = candles.select("scan_date", F.lit(1).alias("part"), "code", "close", signed_pct(F.col("rate")).alias("rate"), label.alias("day"), F.format_string("%.0f%%", F.bround("vol_ratio", 0)).alias("volume"), F.col("ref_date"))
     b = near.select("scan_date", F.lit(2).alias("part"), "code", "close", signed_pct(F.col("rate")).alias("rate"), F.lit("이평선").alias("day"), F.lit("-").alias("volume"), F.col("ref_date"))
     return a.unionByName(b)
 

@@ -10,13 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
+def query(sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register a function under its name, with its SQL; ints names columns that Spark gives as 32-bit integers."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if ints else sql
         return f
 
     return register

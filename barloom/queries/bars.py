@@ -324,7 +324,7 @@ def w13_breakout_bar(spark, sf_dir):
     return spark_panel(spark, sf_dir, **{f"b{n}": pat.breakout_bar(n, 20000.0, 1.5) for n in (60, 120, 224)})
 
 
-@query(f"WITH {FEATS}, x AS (SELECT *, {breakout_sql(60)} AS b FROM feats) SELECT code, dt, max(CASE WHEN b THEN bar_no END) OVER {frame(30)} AS last_no, bar_no FROM x")
+@query(f"WITH {FEATS}, x AS (SELECT *, {breakout_sql(60)} AS b FROM feats) SELECT code, dt, max(CASE WHEN b THEN bar_no END) OVER {frame(30)} AS last_no, bar_no FROM x", ints=("last_no", "bar_no"))
 def w14_latest_flag_within(spark, sf_dir):
     f = numbered(dense(spark, sf_dir)).withColumn("b", pat.breakout_bar(60, 20000.0, 1.5))
     return f.select("code", "dt", pat.latest_flag_within(F.col("b"), [F.col("close")])["bar_no"].alias("last_no"), "bar_no")
@@ -338,7 +338,8 @@ def w15_pre_breakout_low(spark, sf_dir):
 @query(
     f"""WITH {FEATS}, x AS (SELECT code, dt, bar_no, volume, {CANDLE} AS candle FROM feats), n AS (SELECT * FROM x WHERE candle)
 SELECT x.code, x.dt, min(x.bar_no - n.bar_no) AS age FROM x JOIN n ON x.code = n.code AND n.bar_no BETWEEN x.bar_no - 15 AND x.bar_no
-WHERE n.bar_no = x.bar_no OR x.bar_no - n.bar_no >= 3 OR x.volume < n.volume GROUP BY x.code, x.dt"""
+WHERE n.bar_no = x.bar_no OR x.bar_no - n.bar_no >= 3 OR x.volume < n.volume GROUP BY x.code, x.dt""",
+    ints=("age",),
 )
 def w16_reference_candle_age(spark, sf_dir):
     f = numbered(dense(spark, sf_dir)).withColumn("candle", F.when(pat.standard_candle(30000.0), F.struct("bar_no", "volume")))
@@ -366,7 +367,8 @@ def w19_volume_drying(spark, sf_dir):
 @query(
     f"""WITH {FEATS}, x AS (SELECT *, coalesce(ret >= 4 AND volume >= 2 * v20 AND close * volume >= 20000, false) AS base FROM feats),
 y AS (SELECT *, max(CASE WHEN base THEN row(volume, bar_no) END) OVER {frame(30)} AS b FROM x)
-SELECT code, dt, bar_no - b[2] AS days_ago, b[1] AS base_volume FROM y"""
+SELECT code, dt, bar_no - b[2] AS days_ago, b[1] AS base_volume FROM y""",
+    ints=("days_ago",),
 )
 def w22_base_candle_recent(spark, sf_dir):
     f = numbered(dense(spark, sf_dir)).withColumn("base", pat.base_candle_recent(20000.0))
@@ -403,7 +405,17 @@ def w25_sub_pattern(spark, sf_dir):
     return features(dense(spark, sf_dir)).select("code", "dt", pat.sub_pattern().alias("pattern"))
 
 
-@query()
+def completed_sql(k: int) -> str:
+    held = [f"coalesce({lag_sql('close')} >= 0.99 * {lag_sql('close', k)}, false)"]
+    held += [f"coalesce({lag_sql('close', b)} >= 0.98 * {lag_sql('ma10', b)} AND {lag_sql('close', b)} >= 0.99 * {lag_sql('close', k)}, false)" for b in range(2, k)]
+    return f"WHEN {strong_sql(k)} AND {' AND '.join(held)} THEN 3"
+
+
+RESTED = f"coalesce({lag_sql('low')} <= 1.025 * {lag_sql('ma5')} AND {lag_sql('close')} >= 0.995 * {lag_sql('ma5')} AND {lag_sql('low')} >= {lag_sql('low', 2)} AND close >= 1.04 * open, false)"
+TAIL2 = f"coalesce({lag_sql('high', 2)} - {lag_sql('close', 2)} >= 0.75 * ({lag_sql('close', 2)} - {lag_sql('open', 2)}), false)"
+
+
+@query(f"WITH {FEATS} SELECT code, dt, CASE WHEN NOT {RESTED} THEN 1 WHEN {strong_sql(2)} AND {TAIL2} THEN 2 {' '.join(map(completed_sql, (3, 4, 5)))} ELSE 1 END AS pattern FROM feats")
 def w26_sub_pattern_completed(spark, sf_dir):
     return features(dense(spark, sf_dir)).select("code", "dt", pat.sub_pattern_completed().alias("pattern"))
 

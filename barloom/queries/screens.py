@@ -119,7 +119,7 @@ def flat(df):
     return df.withColumns({"p3": F.round("expected_ma.ma3", 6), "p8": F.round("expected_ma.ma8", 6)}).drop("h_supports", "trendline_support", "expected_ma")
 
 
-@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT * FROM p500")
+@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT * FROM p500", ints=("day_type",))
 def c6_scan_standard_candle(spark, sf_dir):
     return flat(scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None))
 
@@ -127,7 +127,8 @@ def c6_scan_standard_candle(spark, sf_dir):
 @query(
     f"""WITH {W}, {candle_sql(500, 60000.0)}, {candle_sql(150, 30000.0)},
 u AS (SELECT * FROM p500 UNION ALL SELECT * FROM p150 WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM p500))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM u) WHERE pos <= 3"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM u) WHERE pos <= 3""",
+    ints=("day_type", "pos"),
 )
 def c7_scan_integrated(spark, sf_dir):
     return flat(scans.scan_integrated(dense(spark, sf_dir), high_turnover=60000.0, low_turnover=30000.0, n=3, lookback_days=None))
@@ -326,19 +327,19 @@ def a4_strategy_totals(spark, sf_dir):
     return ranking.strategy_totals(p)
 
 
-@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT candle_class, day_type, count(*) AS n FROM p500 GROUP BY candle_class, day_type")
+@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT candle_class, day_type, count(*) AS n FROM p500 GROUP BY candle_class, day_type", ints=("day_type",))
 def a7_scan_summary(spark, sf_dir):
     return ranking.scan_summary(scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None), ["candle_class", "day_type"])
 
 
-@query(f"WITH {W}, {candle_sql(500, 60000.0)} SELECT scan_date, code, day_type, vol_ratio, row_number() OVER (ORDER BY day_type, vol_ratio DESC, code, scan_date) AS n FROM p500 QUALIFY n <= 20")
+@query(f"WITH {W}, {candle_sql(500, 60000.0)} SELECT scan_date, code, day_type, vol_ratio, row_number() OVER (ORDER BY day_type, vol_ratio DESC, code, scan_date) AS n FROM p500 QUALIFY n <= 20", ints=("day_type", "n"))
 def o1_candle_sort(spark, sf_dir):
     rows = scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=60000.0, lookback_days=None).select("scan_date", "code", "day_type", "vol_ratio")
     top = scans.candle_sort(rows).orderBy("day_type", F.desc("vol_ratio"), "code", "scan_date").limit(20)
     return top.withColumn("n", F.row_number().over(Window.orderBy("day_type", F.desc("vol_ratio"), "code", "scan_date")))
 
 
-@query(f"WITH {FEATS}, p AS ({C1}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM p) WHERE rank <= 3")
+@query(f"WITH {FEATS}, p AS ({C1}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM p) WHERE rank <= 3", ints=("rank",))
 def o3_top_by_abs_rate(spark, sf_dir):
     return ranking.top_by_abs_rate(c1(spark, sf_dir), 3, ("scan_date", "strategy"))
 
@@ -347,7 +348,8 @@ def o3_top_by_abs_rate(spark, sf_dir):
     f"""WITH {FEATS}, p AS ({C1} UNION ALL {C3}), q AS (SELECT *, count(*) OVER (PARTITION BY scan_date) AS n,
   row_number() OVER (PARTITION BY scan_date ORDER BY CASE WHEN pattern LIKE '%Pattern 1%' THEN 1 WHEN pattern LIKE '%60일의%' THEN 6 ELSE 99 END, rate, code) AS a,
   row_number() OVER (PARTITION BY scan_date ORDER BY abs(rate) DESC, code) AS b FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY scan_date, code ORDER BY strategy) = 1))
-SELECT scan_date, code, strategy, CASE WHEN n > 4 THEN b ELSE a END AS rank FROM q WHERE CASE WHEN n > 4 THEN b ELSE a END <= 4"""
+SELECT scan_date, code, strategy, CASE WHEN n > 4 THEN b ELSE a END AS rank FROM q WHERE CASE WHEN n > 4 THEN b ELSE a END <= 4""",
+    ints=("rank",),
 )
 def o4_report_order(spark, sf_dir):
     both = c1(spark, sf_dir).unionByName(scans.scan_ma60_rule(dense(spark, sf_dir), lookback_days=None))
@@ -355,7 +357,7 @@ def o4_report_order(spark, sf_dir):
     return ranking.report_order(one, 4, ("scan_date",)).select("scan_date", "code", "strategy", "rank")
 
 
-@query(f"WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY code DESC) AS pos FROM ({C1})) SELECT scan_date, code, pos, pos AS rank FROM p WHERE pos <= 3")
+@query(f"WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY code DESC) AS pos FROM ({C1})) SELECT scan_date, code, pos, pos AS rank FROM p WHERE pos <= 3", ints=("pos", "rank"))
 def o5_head_by_pos(spark, sf_dir):
     rows = c1(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("scan_date").orderBy(F.desc("code"))))
     return ranking.head_by_pos(rows, 3).select("scan_date", "code", "pos", "rank")

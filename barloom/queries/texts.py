@@ -13,7 +13,8 @@ from ..plans.features import features, numbered
 from ..scratch import scratch_path
 from ..sources import readers, sinks
 from . import query
-from .derived import FEATS, LISTING, THEMES, dense, lag_sql, listing, projected_sql, table, themes
+from .bars import CANDLE, near_sql
+from .derived import FEATS, LISTING, OVER, THEMES, dense, lag_sql, listing, projected_sql, table, themes
 from .screens import C1, C5, REVIEW, W, c1, c5, candle_sql, review
 
 
@@ -223,12 +224,34 @@ def near(spark, sf_dir):
     return scans.scan_near_ma(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
 
 
-@query()
+ZERO = "format('{:.0f}', %s)"
+
+
+@query(
+    f"""WITH {W}, {candle_sql(500, 30000.0)} SELECT scan_date, code, day_type, CASE
+  WHEN day_type = 0 THEN '당일 기준봉: 거래량 ' || {ZERO % 'vol_ratio'} || '%, 내일 3일선(' || {ZERO % 'p3'} || '원) 확인.'
+  WHEN day_type = 1 AND close < p3 THEN '3일선(' || {ZERO % 'p3'} || '원) 아래: 저항으로 작용합니다.'
+  WHEN day_type = 1 THEN '거래량 ' || {ZERO % 'vol_change_ratio'} || '%로 감소, 3일선(' || {ZERO % 'p3'} || '원) 지지.'
+  WHEN day_type = 2 AND close < p8 THEN '8일선(' || {ZERO % 'p8'} || '원) 아래: 관망합니다.'
+  WHEN day_type = 2 THEN '거래량 ' || {ZERO % 'vol_change_ratio'} || '%, 8일선(' || {ZERO % 'p8'} || '원) 지지.'
+  ELSE '이평선 부근에서 조정을 마쳤습니다.' END AS commentary FROM p500""",
+    ints=("day_type",),
+)
 def q5_rule_comment_candle(spark, sf_dir):
     return comments.rule_comment_candle(candles(spark, sf_dir)).select("scan_date", "code", "day_type", "commentary")
 
 
-@query()
+NEAR = f"""{FEATS}, x AS (SELECT *, {CANDLE} AS cand FROM feats), y AS (SELECT *, max(CASE WHEN cand THEN dt END) OVER ({OVER} ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING) AS ref_date,
+  coalesce({near_sql('close', 'ma15')} OR {near_sql('low', 'ma15')}, false) AS near15, coalesce({near_sql('close', 'ma20')} OR {near_sql('low', 'ma20')}, false) AS near20,
+  coalesce(ma15 > {lag_sql('ma15')}, false) AS up15, coalesce(ma20 > {lag_sql('ma20')}, false) AS up20 FROM x),
+nearma AS (SELECT * FROM y WHERE n_bars >= 25 AND ref_date IS NOT NULL AND NOT cand AND (near15 OR near20))"""
+
+
+@query(
+    f"""WITH {NEAR} SELECT dt AS scan_date, code, code || ' (' || ref_date || ') ' || array_to_string(list_filter([
+  CASE WHEN near15 THEN '15일선(' || format('{{:.0f}}', round(ma15, 6)) || '원)' || CASE WHEN up15 THEN ' 우상향' ELSE '' END END,
+  CASE WHEN near20 THEN '20일선(' || format('{{:.0f}}', round(ma20, 6)) || '원)' || CASE WHEN up20 THEN ' 우상향' ELSE '' END END], lambda x: x IS NOT NULL), ', ') || ' 지지.' AS commentary FROM nearma"""
+)
 def q6_rule_comment_near_ma(spark, sf_dir):
     return comments.rule_comment_near_ma(near(spark, sf_dir)).select("scan_date", "code", "commentary")
 
@@ -244,33 +267,38 @@ def q7_rule_review(spark, sf_dir):
 
 @query(
     f"""WITH {FEATS}, {THEMES}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM ({C1}))
-SELECT p.scan_date, p.strategy, p.rank, p.code, p.close, round_even(p.rate, 2) AS rate, p.pattern AS comment, 'charts/' || strftime(p.scan_date, '%Y%m%d') || '/' || p.code || '.png' AS chart, coalesce(t.category, '기타') AS category FROM p LEFT JOIN themes t USING (code) WHERE rank <= 3"""
+SELECT p.scan_date, p.strategy, p.rank, p.code, p.close, round_even(p.rate, 2) AS rate, p.pattern AS comment, 'charts/' || strftime(p.scan_date, '%Y%m%d') || '/' || p.code || '.png' AS chart, coalesce(t.category, '기타') AS category FROM p LEFT JOIN themes t USING (code) WHERE rank <= 3""",
+    ints=("rank",),
 )
 def q8_dashboard_rows(spark, sf_dir):
     picks = c1(spark, sf_dir).withColumns({"name": F.col("code"), "comment": F.col("pattern")})
     return comments.dashboard_rows(picks, themes(spark, sf_dir), 3).select("scan_date", "strategy", "rank", "code", "close", "rate", "comment", "chart", "category")
 
 
-@query(f"WITH {W}, {THEMES}, {candle_sql(500, 30000.0)}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM p500) SELECT p.scan_date, p.pos AS rank, p.code, round_even(p.rate, 2) AS rate, coalesce(t.category, '기타') AS category, p.ref_date AS candle_date, CAST(p.scan_date - p.ref_date AS INT) AS elapsed_days FROM p LEFT JOIN themes t USING (code) WHERE pos <= 2")
+@query(f"WITH {W}, {THEMES}, {candle_sql(500, 30000.0)}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM p500) SELECT p.scan_date, p.pos AS rank, p.code, round_even(p.rate, 2) AS rate, coalesce(t.category, '기타') AS category, p.ref_date AS candle_date, CAST(p.scan_date - p.ref_date AS INT) AS elapsed_days FROM p LEFT JOIN themes t USING (code) WHERE pos <= 2", ints=("rank",))
 def q9_dashboard_candle_rows(spark, sf_dir):
     rows = comments.dashboard_candle_rows(scans.priority_cut(candles(spark, sf_dir)), themes(spark, sf_dir), F.col("scan_date"), 2)
     return rows.select("scan_date", "rank", "code", "rate", "category", "candle_date", "elapsed_days")
 
 
-@query(f"WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM ({C5})) SELECT scan_date, strategy, rank, code, 'n' || code AS name, close, format('{{:+.2f}}%', rate) AS rate, pattern, '기타' AS themes FROM p WHERE rank <= 12")
+@query(f"WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM ({C5})) SELECT scan_date, strategy, rank, code, 'n' || code AS name, close, format('{{:+.2f}}%', rate) AS rate, pattern, '기타' AS themes FROM p WHERE rank <= 12", ints=("rank",))
 def q10_report_rows_picks(spark, sf_dir):
     top = ranking.top_by_abs_rate(c5(spark, sf_dir), 12, ("scan_date", "strategy")).withColumns({"name": F.concat(F.lit("n"), "code"), "themes": F.lit(joins.OTHER)})
     return comments.report_rows_picks(top)
 
 
-@query(f"WITH {FEATS}, {REVIEW} SELECT review_date, strategy, hit, row_number() OVER (PARTITION BY review_date, strategy, hit ORDER BY max_profit DESC, code) AS no, code FROM review")
+@query(f"WITH {FEATS}, {REVIEW} SELECT review_date, strategy, hit, row_number() OVER (PARTITION BY review_date, strategy, hit ORDER BY max_profit DESC, code) AS no, code FROM review", ints=("no",))
 def q11_report_rows_review(spark, sf_dir):
     return comments.report_rows_review(review(spark, sf_dir)).select("review_date", "strategy", "hit", "no", "code")
 
 
-@query()
+@query(
+    f"""WITH {W}, {candle_sql(500, 30000.0)}, {NEAR[len(FEATS) + 2:]}
+SELECT scan_date, 1 AS part, code, close, CASE day_type WHEN 0 THEN '당일' ELSE day_type || '일차' END AS day, ref_date FROM p500
+UNION ALL SELECT dt, 2, code, CAST(close AS BIGINT), '이평선', ref_date FROM nearma"""
+)
 def q12_report_rows_candle(spark, sf_dir):
-    return comments.report_rows_candle(candles(spark, sf_dir), near(spark, sf_dir))
+    return comments.report_rows_candle(candles(spark, sf_dir), near(spark, sf_dir)).drop("rate", "volume")
 
 
 @query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT scan_date, code, close, low, vol_ratio, former_peak, p3 AS ma3, p8 AS ma8 FROM p500")
