@@ -25,6 +25,8 @@ MOST_SHARE = 0.5
 LG_REGISTERS = 11
 #: Half width of the band of exact counts, as a share of the threshold: over four standard errors.
 BAND = 0.1
+#: Boilerplate lines up to which their hashes (8 bytes each) are literals of the plan.
+LITERAL_LINES = 5_000
 
 
 def lines_of(text: Column) -> Column:
@@ -51,22 +53,27 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return common.write_shared(sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, found: DataFrame, most_share: float = MOST_SHARE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, found: DataFrame, most_share: float = MOST_SHARE, literal_lines: int = LITERAL_LINES) -> DataFrame:
     """docs with __text, the text less its boilerplate lines, and __n_lines, __n_removed.
 
-    Per distinct text the boilerplate hashes it holds are gathered by a join on line hashes alone;
-    whole texts are shuffled once, to meet them.
+    Up to literal_lines boilerplate hashes become a set in the plan: texts stay where they are.
+    Beyond that the hashes that each distinct text holds are gathered by a join on line hashes
+    alone, and whole texts are shuffled once to meet them.
     """
-    keyed = docs.withColumn("__key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    hashes = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), F.transform(lines_of(F.col("text")), line_hash).alias("h"))
-    pairs = hashes.select("k", F.explode(F.array_distinct("h")).alias("line")).join(found, "line")
-    held = pairs.distinct().groupBy("k").agg(F.collect_list("line").alias("__held"))
-    joined = keyed.join(held, keyed["__key"] == held["k"], "left").drop("k", "__key")
     lines = lines_of(F.col("text"))
-    gone = lambda line: F.coalesce(F.array_contains("__held", line_hash(line)), F.lit(False))
-    kept = F.array_join(F.filter(lines, lambda line: ~gone(line)), "\n")
+    if found.count() <= literal_lines:
+        known = [r["line"] for r in found.collect()]
+        joined = docs.withColumn("__any", F.lit(bool(known)))
+        gone = lambda line: F.coalesce(line_hash(line).isin(known), F.lit(False))
+    else:
+        keyed = docs.withColumn("__key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+        hashes = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), F.transform(lines_of(F.col("text")), line_hash).alias("h"))
+        pairs = hashes.select("k", F.explode(F.array_distinct("h")).alias("line")).join(found, "line")
+        held = pairs.distinct().groupBy("k").agg(F.collect_list("line").alias("__held"))
+        joined = keyed.join(held, keyed["__key"] == held["k"], "left").drop("k", "__key").withColumn("__any", F.col("__held").isNotNull())
+        gone = lambda line: F.coalesce(F.array_contains("__held", line_hash(line)), F.lit(False))
+    joined = joined.withColumn("__bare", F.when(F.col("__any") & F.exists(lines, gone), F.array_join(F.filter(lines, lambda line: ~gone(line)), "\n")))
     words = common.word_count(F.col("text"))
-    joined = joined.withColumn("__bare", F.when(F.col("__held").isNotNull(), kept))
     copied = words - common.word_count(F.col("__bare")) > most_share * words
     joined = joined.withColumn("__bare", F.when(~copied, F.col("__bare")))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
@@ -74,9 +81,9 @@ def without_boilerplate(docs: DataFrame, found: DataFrame, most_share: float = M
         {
             "__text": F.coalesce("__bare", "text"),
             "__n_lines": n_lines.cast("long"),
-            "__n_removed": F.when(F.col("__bare").isNotNull(), F.size(F.filter(lines, gone))).otherwise(F.lit(0)).cast("long"),
+            "__n_removed": F.when(F.col("__bare").isNotNull(), n_lines - F.size(F.filter(lines, lambda line: ~gone(line)))).otherwise(F.lit(0)).cast("long"),
         }
-    ).drop("__bare", "__held")
+    ).drop("__bare", "__held", "__any")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
