@@ -282,13 +282,25 @@ def fit(pages: list[str]) -> Boosted | None:
     return Boosted(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
 
 
+def extract_all(pages: list[str], model: Boosted | None) -> list[str]:
+    """The main text of each page; the trees score the nodes of all pages together."""
+    trees = [tree_of(html) for html in pages]
+    hidden = [silent(nodes) for nodes in trees]
+    if model is None:
+        logits = [np.where(teacher(n, h), 1.0, -1.0) for n, h in zip(trees, hidden, strict=True)]
+    else:
+        scores = model.logits(np.concatenate([features(n, h) for n, h in zip(trees, hidden, strict=True)]))
+        logits = np.split(scores, np.cumsum([len(n) for n in trees])[:-1])
+    out = []
+    for nodes, h, logit in zip(trees, hidden, logits, strict=True):
+        logit[0] = 1.0
+        out.append(text_of(nodes, decode(nodes, h, logit)))
+    return out
+
+
 def extract(html: str | None, model: Boosted | None) -> str:
     """The main text of a page."""
-    nodes = tree_of(html)
-    hidden = silent(nodes)
-    logit = model.logits(features(nodes, hidden)) if model is not None else np.where(teacher(nodes, hidden), 1.0, -1.0)
-    logit[0] = 1.0
-    return text_of(nodes, decode(nodes, hidden, logit))
+    return extract_all([html or ""], model)[0]
 
 
 def train(pages: DataFrame) -> Boosted | None:
@@ -307,7 +319,7 @@ def with_main_text(pages: DataFrame, model: Boosted | None, name: str = "text")
 
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for html in batches:
-            yield html.map(lambda h: extract(h, shared.value))
+            yield pd.Series([text for part in common.slices(html.map(len).tolist(), 300_000) for text in extract_all(html.iloc[part].tolist(), shared.value)], dtype=object)
 
     return pages.withColumn(name, F.pandas_udf(main_text, "string")(F.coalesce(F.col("html"), F.lit(""))))
 
