@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: By application, the folder of a session that names none.
+_own_folders: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path; the file system deletes it when the session ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own_folders.get(app) or _own_folders.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
