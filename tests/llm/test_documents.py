@@ -57,6 +57,13 @@ def test_mixing_takes_smallest_keys_first(spark):
         assert parts == sorted(parts, reverse=True) and sum(0 < p < 1 for p in parts) <= 1
 
 
+def test_mixing_without_broadcasts(spark, documents, monkeypatch):
+    rows = lambda: sorted(tuple(r) for r in mixing.mix(documents).collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert rows() == want
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
     for _ in range(30):
@@ -158,6 +165,13 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == jaccard_classes(rows)
 
 
+def test_ngram_join_without_broadcasts(spark, documents, monkeypatch):
+    rows = lambda: sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(documents).collect())
+    want = rows()
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    assert rows() == want
+
+
 def test_links_by_matrix_equal_links_by_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
