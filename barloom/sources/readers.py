@@ -17,7 +17,7 @@ def read_bars_window(spark: SparkSession, path: str, target: str, lookback_days:
 
 def read_candle_log(spark: SparkSession, path: str, as_of_date: str, days: int = 20) -> DataFrame:
     """NDJSON rows of the last days; blank lines, bad JSON and bad dates are skipped."""
-    raw = spark.read.schema(schemas.CANDLE_LOG + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
+    raw = spark.read.schema(schemas.CANDLE_LOG + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
     day = parse_two_date_formats(F.col("date"))
     return raw.where("_corrupt_record is null").drop("_corrupt_record").where(day >= F.date_sub(F.lit(as_of_date).cast("date"), days))
 
