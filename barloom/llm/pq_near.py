@@ -104,9 +104,13 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v of one row per id whose vector can link, of the commonest dimension."""
+    """vec_id, v of one row per id whose vector can link, of the commonest dimension.
+
+    Vectors of floats stay floats, so that they travel in half the bytes; all work is in doubles.
+    """
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = dims[0]["d"] if dims else 0
     return rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -115,7 +119,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, count: int) -> Index:
     """An index fitted on at most SAMPLE vectors, in the order of a hash of their ids."""
     sample = rows.select("v", F.xxhash64("vec_id").alias("o")).orderBy("o").limit(SAMPLE).select("v").toPandas()
-    x = np.stack(sample["v"].to_numpy())
+    x = np.stack(sample["v"].to_numpy()).astype(np.float64)
     return Index(x, int(min(MOST_LISTS, max(1, count // LIST_SIZE))))
 
 
@@ -124,15 +128,20 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
     spark, reach = rows.sparkSession, float(np.sqrt(2 - 2 * threshold) + 1e-9)
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(index)
+    kind = np.float32 if rows.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+
+    def directions(raw: np.ndarray) -> np.ndarray:
+        wide = raw.astype(np.float64)
+        return unit(wide / np.abs(wide).max(axis=1, keepdims=True))
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for pdf in batches:
-            raw = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, ix.dim))
-            x = unit(raw / np.abs(raw).max(axis=1, keepdims=True))
+            raw = np.stack(pdf["v"].to_numpy()).astype(kind) if len(pdf) else np.zeros((0, ix.dim), kind)
+            x = directions(raw)
             home, visits = ix.probes(x, reach)
             codes, error = ix.encode(x, home)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "home": home.astype(np.int32), "visits": visits, "x": [r.tobytes() for r in x], "codes": [r.tobytes() for r in codes], "error": error})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "home": home.astype(np.int32), "visits": visits, "x": [r.tobytes() for r in raw], "codes": [r.tobytes() for r in codes], "error": error})
 
     coded = common.write_shared(rows.mapInPandas(indexed, "vec_id long, home int, visits array<int>, x binary, codes binary, error double"), "codes")
     stored = coded.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -142,7 +151,8 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
     left = coded.join(plan, "home").withColumn("s", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("visit_blocks") - 1))).select(F.col("home").alias("list"), "s", "q", F.lit(True).alias("stored"), *kept)
     right = coded.withColumn("list", F.explode("visits")).join(plan.withColumnRenamed("home", "list"), "list").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), "visit_blocks").cast("int"))
-    right = right.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "s", "q", F.lit(False).alias("stored"), *kept)
+    right = right.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in ("visits", "codes", "error")}).select("list", "s", "q", F.lit(False).alias("stored"), *kept)
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         ix, at = shared.value, int(pdf["list"].iloc[0])
@@ -150,12 +160,10 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
         empty = pd.DataFrame({"vec_id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if not len(held) or not len(asking):
             return empty
-        a = np.stack([np.frombuffer(b) for b in asking["x"]])
-        b = np.stack([np.frombuffer(b) for b in held["x"]])
+        a, b = (directions(np.stack([np.frombuffer(v, kind) for v in side["x"]])) for side in (asking, held))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in held["codes"]])
         near = np.sqrt(ix.table_distances(a, at, codes)) <= reach + held["error"].to_numpy()[None] + 1e-6
         id_a, id_b = asking["vec_id"].to_numpy(), held["vec_id"].to_numpy()
-        mutual = np.zeros((len(a), len(b)), bool)
         home_a = asking["home"].to_numpy()
         seen = np.zeros((len(b), len(ix.coarse)), bool)
         for k, v in enumerate(held["visits"]):
