@@ -17,7 +17,12 @@ from ..plans.features import as_of, breakouts, features, held, last_bar, numbere
 
 
 def prepared(bars: DataFrame, universe: DataFrame | None, target: str | None, lookback_days: int | None) -> DataFrame:
-    """Features of the universe's bars: the semi-join comes before the windows."""
+    """Features of the universe's bars: the semi-join comes before the windows.
+
+    A frame that has the features already passes through, so that scans can share one persisted pass.
+    """
+    if "win_high" in bars.columns:
+        return bars
     if universe is not None:
         bars = bars.join(universe.select("code").distinct(), "code", "left_semi")
     if target is None:
