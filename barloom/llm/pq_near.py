@@ -1,19 +1,21 @@
 """Operator 8: embedding near-dedup with product quantisation.
 
-1. Index. k-means over a bounded sample (SAMPLE vectors) gives coarse centroids; k-means over the
-   sample's residuals gives the codewords of 8 subspaces. Every vector is indexed: normalised,
-   put into the inverted list of its nearest centroid and coded. The codes' error, the distance
-   between a residual and its code, is kept too.
-2. Probes. A vector q probes list c if the border between c and its own list lies within the
-   threshold's distance: a neighbour of q can lie in no other list. Of these the PROBES nearest are
-   taken. Lists and their visitors are split into blocks of about BLOCK vectors; a pair of
+1. Index. k-means over a bounded sample (SAMPLE vectors) gives coarse centroids, of which none is
+   kept within the threshold's distance of one with more vectors: a large group of near copies
+   stays in few lists. k-means over the sample's residuals gives the codewords of 8 subspaces.
+   Every vector is indexed: normalised, put into the inverted list of its nearest centroid and
+   coded. The codes' error, the distance between a residual and its code, is kept too.
+2. Probes. A vector q has to meet list c if the border between c and its own list lies within the
+   threshold's distance: a neighbour of q can lie in no other list. All of these are met, however
+   many. Two neighbours are within reach of each other's lists, so that of the lower number visits
+   the other. Lists and their visitors are split into blocks of about BLOCK vectors; a pair of
    blocks is one task, so no list meets in one task and no pair of vectors is ever a row.
 3. Inside a pair of blocks, asymmetric table-lookup distances (query against codes) drop pairs
    whose distance less the code's error exceeds the threshold's: a lower bound, so it drops no
    link. The rest is ranked by exact cosine in double precision. A task returns, per vector,
    its number of links and a spanning forest; connected components follow.
 
-A pair that both ends would find is counted where the smaller id is the visitor.
+A pair inside a list is counted where the smaller id is the visitor.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, or of another
 dimension than most, link with nothing; repeated rows of an id count as one vector (the first
@@ -36,7 +38,6 @@ THRESHOLD = 0.95
 SAMPLE = 16_384
 LIST_SIZE, MOST_LISTS = 256, 1024
 SUBSPACES, CODEWORDS = 8, 256
-PROBES = 8
 BLOCK = 512
 
 
@@ -58,17 +59,26 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
 
 
 class Index:
-    """Coarse centroids and the codewords of each subspace of the residuals."""
+    """Coarse centroids, more than reach apart, and the codewords of each subspace of the residuals."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, reach: float):
         self.dim = sample.shape[1]
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         x = unit(sample.astype(np.float64))
         self.coarse = k_means(x, lists)
+        self.coarse = self.coarse[self.spread(np.bincount(self.distances(x).argmin(1), minlength=len(self.coarse)), reach)]
         residual = x - self.coarse[self.distances(x).argmin(1)]
         self.words = [k_means(residual[:, a:b], CODEWORDS, seed=6 + a) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
         self.apart = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2), 1e-12))
 
+    def spread(self, count: np.ndarray, reach: float) -> list[int]:
+        """The centroids, fullest first, that lie beyond reach of those before."""
+        kept: list[int] = []
+        for k in np.argsort(-count, kind="stable"):
+            if not kept or ((self.coarse[kept] - self.coarse[k]) ** 2).sum(1).min() > reach**2:
+                kept.append(int(k))
+        return kept
+
     def distances(self, x: np.ndarray) -> np.ndarray:
         """Squared distances to the coarse centroids."""
         return np.maximum((x**2).sum(1)[:, None] + (self.coarse**2).sum(1)[None] - 2 * x @ self.coarse.T, 0)
@@ -83,16 +93,12 @@ class Index:
         return np.stack(codes, 1), np.sqrt(error)
 
     def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, list[list[int]]]:
-        """The own list of each vector, and the lists it visits."""
+        """The own list of each vector, and the lists it visits: those within reach from its own on."""
         d = self.distances(x)
         home = d.argmin(1)
         border = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.apart[home])
         border[np.arange(len(x)), home] = -1
-        out = []
-        for row in border:
-            near = np.flatnonzero(row <= reach)
-            out.append(near[np.argsort(row[near], kind="stable")][:PROBES].tolist())
-        return home, out
+        return home, [k + np.flatnonzero(row[k:] <= reach) for k, row in zip(home, border, strict=True)]
 
     def table_distances(self, queries: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of queries to the coded vectors of a list."""
@@ -116,16 +122,21 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def fit(rows: DataFrame, count: int) -> Index:
+def reach_of(threshold: float) -> float:
+    """The distance of unit vectors at the threshold."""
+    return float(np.sqrt(2 - 2 * threshold) + 1e-9)
+
+
+def fit(rows: DataFrame, count: int, threshold: float = THRESHOLD) -> Index:
     """An index fitted on at most SAMPLE vectors, in the order of a hash of their ids."""
     sample = rows.select("v", F.xxhash64("vec_id").alias("o")).orderBy("o").limit(SAMPLE).select("v").toPandas()
     x = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    return Index(x, int(min(MOST_LISTS, max(1, count // LIST_SIZE))))
+    return Index(x, int(min(MOST_LISTS, max(1, count // LIST_SIZE))), reach_of(threshold))
 
 
 def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, links, root from every pair of blocks."""
-    spark, reach = rows.sparkSession, float(np.sqrt(2 - 2 * threshold) + 1e-9)
+    spark, reach = rows.sparkSession, reach_of(threshold)
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(index)
     kind = np.float32 if rows.schema["v"].dataType.simpleString() == "array<float>" else np.float64
@@ -147,12 +158,12 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
     stored = coded.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     visitors = coded.select("vec_id", "visits").select(F.explode("visits").alias("home")).groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("visit_blocks"))
     plan = F.broadcast(common.write_shared(stored.join(visitors, "home"), "blocks"))  # one row a list: at most MOST_LISTS
-    kept = ["vec_id", "home", "visits", "x", "codes", "error"]
+    kept = ["vec_id", "home", "x", "codes", "error"]
     left = coded.join(plan, "home").withColumn("s", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("visit_blocks") - 1))).select(F.col("home").alias("list"), "s", "q", F.lit(True).alias("stored"), *kept)
     right = coded.withColumn("list", F.explode("visits")).join(plan.withColumnRenamed("home", "list"), "list").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), "visit_blocks").cast("int"))
     right = right.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in ("visits", "codes", "error")}).select("list", "s", "q", F.lit(False).alias("stored"), *kept)
+    right = right.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in ("codes", "error")}).select("list", "s", "q", F.lit(False).alias("stored"), *kept)
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         ix, at = shared.value, int(pdf["list"].iloc[0])
@@ -164,12 +175,7 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
         codes = np.stack([np.frombuffer(c, np.uint8) for c in held["codes"]])
         near = np.sqrt(ix.table_distances(a, at, codes)) <= reach + held["error"].to_numpy()[None] + 1e-6
         id_a, id_b = asking["vec_id"].to_numpy(), held["vec_id"].to_numpy()
-        home_a = asking["home"].to_numpy()
-        seen = np.zeros((len(b), len(ix.coarse)), bool)
-        for k, v in enumerate(held["visits"]):
-            seen[k, np.asarray(v, int)] = True
-        mutual = seen[:, home_a].T
-        near &= (id_a[:, None] < id_b[None]) | (~mutual & (id_a[:, None] != id_b[None]))
+        near &= (id_a[:, None] < id_b[None]) | (asking["home"].to_numpy() != at)[:, None]
         i, j = np.nonzero(near)
         exact = np.concatenate([np.einsum("nd,nd->n", a[i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         i, j = i[exact >= threshold], j[exact >= threshold]
@@ -190,7 +196,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     everyone = vectors.select("vec_id")
     if not count:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = common.write_shared(links(rows, fit(rows, count), threshold), "links")
+    found = common.write_shared(links(rows, fit(rows, count, threshold), threshold), "links")
     classes = common.components(found, "vec_id", "root").withColumnRenamed("node", "vec_id")
     n = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     out = everyone.join(classes, "vec_id", "left").join(n, "vec_id", "left")

@@ -143,3 +143,27 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert 0.99 <= found / (linked.sum() - 900) <= 1
     assert all(out[i]["n_links"] <= linked[i].sum() - 1 for i in out)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out.values())
+
+
+@pytest.mark.parametrize("dim", [64, 6])
+def test_near_vectors_of_a_group_over_many_lists(spark, monkeypatch, dim):
+    """A third of the vectors in one group of over 30 lists; in few dimensions lists have many neighbours."""
+    monkeypatch.setattr(pq_near, "BLOCK", 128)
+    monkeypatch.setattr(pq_near, "LIST_SIZE", 20)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, dim))
+    x[:800] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(800, dim)) * 0.17 / np.sqrt(dim)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert 0.96 <= (u[:800] @ u[:800].T).mean() <= 0.99
+    assert len(set(((u[:800, None] - pq_near.k_means(u, 120)[None]) ** 2).sum(2).argmin(1))) > 30
+    linked = u @ u.T >= 0.95
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r for r in pq_near.near_vectors(df).collect()}
+    assert {i: r["n_links"] for i, r in out.items()} == dict(enumerate(linked.sum(1) - 1))
+    classes = np.arange(2400)
+    while True:
+        then = np.where(linked, classes[None], 2400).min(1)
+        if (then == classes).all():
+            break
+        classes = then
+    assert {i: r["component_id"] for i, r in out.items()} == dict(enumerate(classes))
