@@ -8,7 +8,8 @@ link to bad hosts are bad). A page that no rule fits is blocked if its host's di
 MARGIN times its trust.
 
 Edges come from the links in the pages; a relative link stays on its host. A page's host edges
-count once each. Ranks are DataFrame joins and sums, written to the shared folder every few rounds.
+count once each. Ranks are DataFrame joins and sums, written to the shared folder every STEP rounds
+until they have settled; it raises if they don't within ROUNDS.
 
 Edge cases: a url that is null or lacks :// has an empty host and path and is judged by the
 method for the empty host; hosts with neither trust nor distrust are allowed; repeated rows are
@@ -32,7 +33,9 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-DAMPING, ROUNDS, MARGIN = 0.85, 10, 1.0
+DAMPING, ROUNDS, MARGIN = 0.85, 200, 1.0
+#: Ranks have settled if STEP rounds change them by TOLERANCE at most, summed over all hosts: no more than that is left to come.
+STEP, TOLERANCE = 5, 1e-9
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:https?:)?//[^\s"'<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,13 +72,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     total = edges.groupBy("src").agg(F.sum("n").alias("out"))
     shares = common.write_shared(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
     seeds = common.write_shared(seeds, "seeds")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
+    rank = before = seeds.select("host", F.col("seed").alias("rank"))
     for k in range(rounds):
         sent = rank.join(shares, rank["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
         rank = sent.unionByName(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 5 == 4 or k == rounds - 1:
+        if k % STEP == STEP - 1:
             rank = common.write_shared(rank, "rank")
-    return rank
+            both = rank.unionByName(before.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.abs(F.sum("rank")).alias("change"))
+            if (both.agg(F.sum("change")).first()[0] or 0) <= TOLERANCE:
+                return rank
+            before = rank
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, margin: float = MARGIN) -> DataFrame:

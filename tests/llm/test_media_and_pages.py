@@ -126,6 +126,18 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert out == {"bad.org": "block", "friend.info": "block", "good.net": "allow", "liked.info": "allow"}
 
 
+def test_distrust_settles_on_a_chain_of_hosts(spark):
+    """Each host links to the one before it, the first to nothing; the first is blocked. A limit too small raises."""
+    hosts = [f"h{k}.info" if k else "bad.org" for k in range(15)]
+    rows = [(k, f"http://{h}/es/", f'<a href="//{hosts[k - 1]}/">' if k else "") for k, h in enumerate(hosts)]
+    out = {r["host"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[h]["distrust"] for h in hosts] == pytest.approx([0.15 * 0.85**k for k in range(15)])
+    assert {r["verdict"] for r in out.values()} == {"block"}
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(spark.createDataFrame([("a", 1.0)], "host string, seed double"), edges, rounds=10)
+
+
 def test_near_vectors_match_brute_force(spark, monkeypatch):
     """Small lists and blocks, a large clique, vectors of any length."""
     monkeypatch.setattr(pq_near, "BLOCK", 32)
