@@ -17,14 +17,16 @@
 
 A pair inside a list is counted where the smaller id is the visitor.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components, or of another
-dimension than most, link with nothing; repeated rows of an id count as one vector (the first
-by content) and give as many rows; an empty table gives no rows; other columns are not read.
+Edge cases: vectors that are null, zero or hold null or non-finite components link with nothing;
+vectors of each dimension have an index of their own and link among themselves; repeated rows of
+an id count as one vector (the first by content) and give as many rows; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,16 +112,14 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v of one row per id whose vector can link, of the commonest dimension.
+    """vec_id, v of one row per id whose vector can link.
 
     Vectors of floats stay floats, so that they travel in half the bytes; all work is in doubles.
     """
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dims[0]["d"] if dims else 0
-    return rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def reach_of(threshold: float) -> float:
@@ -192,11 +192,15 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = common.write_shared(usable(vectors), "vectors")
-    count = rows.count()
+    dims = rows.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()
     everyone = vectors.select("vec_id")
-    if not count:
+    if not dims:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = common.write_shared(links(rows, fit(rows, count, threshold), threshold), "links")
+    parts = []
+    for d in dims:
+        part = rows.where(F.size("v") == d["d"])
+        parts.append(common.write_shared(links(part, fit(part, d["count"], threshold), threshold), "links"))
+    found = reduce(DataFrame.unionByName, parts)
     classes = common.components(found, "vec_id", "root").withColumnRenamed("node", "vec_id")
     n = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     out = everyone.join(classes, "vec_id", "left").join(n, "vec_id", "left")

@@ -179,3 +179,9 @@ def test_near_vectors_of_a_group_over_many_lists(spark, monkeypatch, dim):
             break
         classes = then
     assert {i: r["component_id"] for i, r in out.items()} == dict(enumerate(classes))
+
+
+def test_near_vectors_of_each_dimension(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.99, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.1]), (6, [3.0]), (7, [1.0, 0.1, 0.0, 0.0])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
