@@ -170,7 +170,9 @@ def test_near_vectors_of_a_group_over_many_lists(spark, monkeypatch, dim):
     assert len(set(((u[:800, None] - pq_near.k_means(u, 120)[None]) ** 2).sum(2).argmin(1))) > 30
     linked = u @ u.T >= 0.95
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    out = {r["vec_id"]: r for r in pq_near.near_vectors(df).collect()}
+    found = sum(r["n_links"] for r in pq_near.near_vectors(df).collect())
+    assert 0.999 <= found / (linked.sum() - 2400) <= 1
+    out = {r["vec_id"]: r for r in pq_near.near_vectors(df, miss=0).collect()}
     assert {i: r["n_links"] for i, r in out.items()} == dict(enumerate(linked.sum(1) - 1))
     classes = np.arange(2400)
     while True:
@@ -181,6 +183,21 @@ def test_near_vectors_of_a_group_over_many_lists(spark, monkeypatch, dim):
     assert {i: r["component_id"] for i, r in out.items()} == dict(enumerate(classes))
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Partners at cosines of 0.95 to 0.97 in random directions, the hardest for the probes; a group of copies."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    way = rng.normal(size=x.shape)
+    way -= (way * x).sum(1, keepdims=True) * x
+    cosine = rng.uniform(0.95, 0.97, (len(x), 1))
+    rows = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * way / np.linalg.norm(way, axis=1, keepdims=True), np.repeat(x[:1], 3000, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r for r in pq_near.near_vectors(df).collect()}
+    assert out[0]["n_links"] == 3001 and all(out[i]["n_links"] == 3001 and out[i]["component_id"] == 0 and not out[i]["kept"] for i in range(20_000, 23_000))
+    assert sum(out[i]["n_links"] >= 1 and out[i + 10_000]["component_id"] == i for i in range(10_000)) >= 9_990
+
+
 def test_near_vectors_of_each_dimension(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [0.99, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.1]), (6, [3.0]), (7, [1.0, 0.1, 0.0, 0.0])]
     out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
