@@ -3,13 +3,23 @@
 One HyperLogLog sketch of sites per line hash, merged by aggregation, estimates on how many
 distinct sites a line occurs. Lines whose estimate lies near the threshold get an exact distinct
 count; the others are decided by their estimate. Lines of the threshold or more are removed from
-every document, unless they make up more than MOST_SHARE of its words: such a document is a copy
-as a whole, which is a matter for near-duplicate detection.
+every document, whatever their share of it. Only a document all of whose lines are boilerplate
+keeps its text: it is a copy as a whole, which is a matter for near-duplicate detection, and is
+marked as such.
 
-Lines are compared without white space at either end; blank lines always stay.
+There is one way for every size. Line hashes meet the boilerplate hashes, the hits of each
+distinct text are gathered (no more than the text has lines), and texts meet their hits by a join on
+a hash of the text. Whether hits are broadcast is Spark's choice by their measured size.
+
+Lines are compared without white space at either end; blank lines always stay. Lines and texts are
+known by 64 bits of hash: two texts of one hash share their hits, which removes boilerplate lines
+only, so a collision of texts is harmless; one of lines takes a further line in 2^64 / (number of
+boilerplate lines) distinct ones.
 
 Edge cases: null texts stay null and empty ones empty; a null site counts as no site; repeated
-rows are treated alike; an empty table gives no rows; other columns of docs are kept.
+rows are treated alike; a line on exactly the threshold's number of sites is boilerplate; texts of
+any length are split whole; an empty table gives no rows; other columns of docs are kept, of
+whatever names but those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -20,13 +30,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_SITES = 10
-MOST_SHARE = 0.5
 #: log2 of the registers of a sketch; its relative standard error is about 1.04 / sqrt(2^11).
 LG_REGISTERS = 11
 #: Half width of the band of exact counts, as a share of the threshold: over four standard errors.
 BAND = 0.1
-#: Boilerplate lines up to which their hashes (8 bytes each) are literals of the plan.
-LITERAL_LINES = 5_000
 
 
 def lines_of(text: Column) -> Column:
@@ -39,62 +46,55 @@ def line_hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def line_table(docs: DataFrame, site: str = "source") -> DataFrame:
+    """key (hash of the text), site, line (hash): the distinct lines of each document."""
+    hashes = F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))
+    lines = docs.select(F.xxhash64("text").alias("key"), F.col(site).alias("site"), F.explode(hashes).alias("line"))
+    return common.write_shared(lines.where(F.col("line").isNotNull()), "lines")
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """line: the hashes of lines that occur on at least min_sites distinct sites."""
-    lines = docs.select(F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(lines_of(common.whole_text()), line_hash))).alias("line"))
-    lines = common.write_shared(lines.where(F.col("line").isNotNull() & F.col("site").isNotNull()), "lines")
-    sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
+    placed = lines.where(F.col("site").isNotNull()).select("site", "line")
+    sketches = placed.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_REGISTERS)).alias("sketch"))
     estimates = sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = max(2, round(min_sites * BAND))
     spread = common.write_shared(estimates.where(F.col("sites") >= min_sites - slack), "spread")
     near = spread.where(F.col("sites") <= min_sites + slack).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites"))
+    exact = placed.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites"))
     sure = spread.where(F.col("sites") > min_sites + slack).select("line")
     return common.write_shared(sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, found: DataFrame, most_share: float = MOST_SHARE, literal_lines: int = LITERAL_LINES) -> DataFrame:
-    """docs with __text, the text less its boilerplate lines, and __n_lines, __n_removed.
-
-    Up to literal_lines boilerplate hashes become a set in the plan: texts stay where they are.
-    Beyond that the hashes that each distinct text holds are gathered by a join on line hashes
-    alone, and whole texts are shuffled once to meet them.
-    """
-    lines = lines_of(F.col("text"))
-    if found.count() <= literal_lines:
-        known = [r["line"] for r in found.collect()]
-        joined = docs.withColumn("__any", F.lit(bool(known)))
-        gone = lambda line: F.coalesce(line_hash(line).isin(known), F.lit(False))
-    else:
-        keyed = docs.withColumn("__key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-        hashes = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("k"), F.transform(lines_of(F.col("text")), line_hash).alias("h"))
-        pairs = hashes.select("k", F.explode(F.array_distinct("h")).alias("line")).join(found, "line")
-        held = pairs.distinct().groupBy("k").agg(F.collect_list("line").alias("__held"))
-        joined = keyed.join(held, keyed["__key"] == held["k"], "left").drop("k", "__key").withColumn("__any", F.col("__held").isNotNull())
-        gone = lambda line: F.coalesce(F.array_contains("__held", line_hash(line)), F.lit(False))
-    joined = joined.withColumn("__bare", F.when(F.col("__any") & F.exists(lines, gone), F.array_join(F.filter(lines, lambda line: ~gone(line)), "\n")))
-    words = common.word_count(F.col("text"))
-    copied = words - common.word_count(F.col("__bare")) > most_share * words
-    joined = joined.withColumn("__bare", F.when(~copied, F.col("__bare")))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    return joined.withColumns(
-        {
-            "__text": F.coalesce("__bare", "text"),
-            "__n_lines": n_lines.cast("long"),
-            "__n_removed": F.when(F.col("__bare").isNotNull(), n_lines - F.size(F.filter(lines, lambda line: ~gone(line)))).otherwise(F.lit(0)).cast("long"),
-        }
-    ).drop("__bare", "__held", "__any")
+def without_boilerplate(docs: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with __text, the text less its boilerplate lines, __n_lines, __n_removed and __whole_copy."""
+    hits = lines.select("key", "line").join(found, "line").groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__held"))
+    joined = docs.join(hits, F.xxhash64("text") == F.col("__key"), "left")
+    all_lines = lines_of(F.col("text"))
+    gone = lambda line: F.coalesce(F.array_contains("__held", line_hash(line)), F.lit(False))
+    own = F.filter(all_lines, lambda line: ~gone(line))
+    joined = joined.withColumn("__own", F.when(F.col("__held").isNotNull(), own))
+    whole = F.coalesce(~F.exists("__own", lambda line: line_hash(line).isNotNull()), F.lit(False))
+    n_lines = F.coalesce(F.size(all_lines), F.lit(0))
+    return (
+        joined.withColumns({"__whole_copy": whole, "__n_lines": n_lines.cast("long")})
+        .withColumn("__cut", F.col("__own").isNotNull() & ~F.col("__whole_copy"))
+        .withColumns({"__text": F.when(F.col("__cut"), F.array_join("__own", "\n")).otherwise(F.col("text")), "__n_removed": F.when(F.col("__cut"), F.col("__n_lines") - F.size("__own")).otherwise(F.lit(0)).cast("long")})
+        .drop("__key", "__held", "__own", "__cut")
+    )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less its boilerplate lines."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    done = without_boilerplate(docs, boilerplate(docs))
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__text").alias("text"))
+    lines = line_table(docs)
+    done = without_boilerplate(docs, lines, boilerplate(lines))
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__whole_copy").alias("whole_copy"), F.col("__text").alias("text"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; texts and n_chars are those without boilerplate lines."""
-    done = without_boilerplate(docs, boilerplate(docs.select("source", "text")))
+    lines = line_table(docs.select("source", "text"))
+    done = without_boilerplate(docs, lines, boilerplate(lines))
     done = done.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")})
     return done.select(*docs.columns)

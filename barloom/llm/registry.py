@@ -82,18 +82,16 @@ marked AS (
   SELECT doc_id, text, line, pos, trim(line, ' \t\r') IN (SELECT k FROM boiler) AS gone FROM lines),
 bare AS (
   SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
+         count(*) FILTER (WHERE NOT gone AND trim(line, ' \t\r') <> '') AS n_own,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS bare
   FROM marked GROUP BY doc_id, text),
 judged AS (
-  SELECT *, n_gone > 0 AND
-         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) - len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+'))
-           <= 0.5 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS cut
-  FROM bare)
-SELECT doc_id, n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_removed,
+  SELECT *, n_gone > 0 AND n_own > 0 AS cut FROM bare)
+SELECT doc_id, n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_removed, n_gone > 0 AND n_own = 0 AS whole_copy,
        CASE WHEN cut THEN bare ELSE text END AS text
 FROM judged
 UNION ALL
-SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+SELECT doc_id, 0, 0, false, NULL FROM documents WHERE text IS NULL
 """
 
 

@@ -96,33 +96,54 @@ def test_packing_cells_hold_their_lengths(spark):
         assert n <= c <= n * (1 + 1 / 32) + 1
 
 
-def test_line_dedup_paths_agree_and_match_brute_force(spark, documents):
-    docs = documents.select("doc_id", "source", "text")
-    found = line_dedup.boilerplate(docs, min_sites=5)
-    sites = defaultdict(set)
-    rows = [r.asDict() for r in docs.collect()]
+def plain_line_dedup(rows, min_sites):
+    """doc_id to the text less its boilerplate lines; texts of nothing else stay."""
+    sites, bare = defaultdict(set), lambda x: x.strip(" \t\r")
     for r in rows:
-        for line in r["text"].split("\n"):
-            if line.strip(" \t\r"):
-                sites[line.strip(" \t\r")].add(r["source"])
-    boiler = {k for k, v in sites.items() if len(v) >= 5}
-    assert found.count() == len(boiler)
-    want = {}
+        for line in (r["text"] or "").split("\n"):
+            if r["source"] is not None:
+                sites[bare(line)].add(r["source"])
+    out = {}
     for r in rows:
-        lines = r["text"].split("\n")
-        kept = "\n".join(x for x in lines if x.strip(" \t\r") not in boiler)
-        n = len(r["text"].split())
-        want[r["doc_id"]] = kept if n - len(kept.split()) <= 0.5 * n else r["text"]
-    for most in (5000, 0):
-        got = {r["doc_id"]: r["__text"] for r in line_dedup.without_boilerplate(docs, found, literal_lines=most).collect()}
-        assert got == want
+        kept = [x for x in (r["text"] or "").split("\n") if not bare(x) or len(sites[bare(x)]) < min_sites]
+        out[r["doc_id"]] = "\n".join(kept) if any(map(bare, kept)) else r["text"]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_line_dedup_matches_brute_force(spark, documents, broadcast):
+    """With Spark free to broadcast the hits, and with shuffled joins only."""
+    docs = documents.select("doc_id", "source", "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        lines = line_dedup.line_table(docs)
+        out = line_dedup.without_boilerplate(docs, lines, line_dedup.boilerplate(lines, min_sites=5)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"]: r["__text"] for r in out} == plain_line_dedup(docs.collect(), 5)
+
+
+def test_line_dedup_of_short_documents_and_whole_copies(spark):
+    """Boilerplate goes even where it is most of a document; a document of nothing else stays, marked."""
+    rows = [(k, f"site{k}", f"a long notice that every site shows\nown {k}\n\n a long notice that every site shows\r") for k in range(12)]
+    rows += [(20, "x", "a long notice that every site shows"), (21, None, "a long notice that every site shows\nmore"), (22, "x", None), (23, "x", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in ("key", "line", "site", "k")})
+    lines = line_dedup.line_table(docs)
+    done = line_dedup.without_boilerplate(docs, lines, line_dedup.boilerplate(lines))
+    assert set(docs.columns) < set(done.columns)
+    out = {r["doc_id"]: r for r in done.collect()}
+    assert {i: r["__text"] for i, r in out.items()} == plain_line_dedup([dict(zip(("doc_id", "source", "text"), r, strict=True)) for r in rows], 10)
+    assert (out[0]["__text"], out[0]["__n_lines"], out[0]["__n_removed"], out[0]["__whole_copy"]) == ("own 0\n", 4, 2, False)
+    assert out[20]["__whole_copy"] and out[20]["__n_removed"] == 0 and out[21]["__text"] == "more"
+    assert out[22]["__text"] is None and out[23]["__text"] == "" and not out[22]["__whole_copy"] and not out[23]["__whole_copy"]
 
 
 def test_hll_band_gets_exact_counts(spark):
     """Lines on 9, 10 and 11 sites fall on the right sides of a threshold of 10."""
     rows = [(f"site{s}", f"line of {k}") for k in (1, 9, 10, 11, 300) for s in range(k)]
     docs = spark.createDataFrame(rows, "source string, text string")
-    assert line_dedup.boilerplate(docs, min_sites=10).count() == 3
+    assert line_dedup.boilerplate(line_dedup.line_table(docs), min_sites=10).count() == 3
 
 
 def jaccard_classes(rows):

@@ -1,27 +1,13 @@
 """The pipeline against a plain version of each stage, on the smallest tables."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
-from test_documents import DATA, jaccard_classes, water_fill
+from test_documents import DATA, jaccard_classes, plain_line_dedup, water_fill
 
 from barloom.llm import line_dedup, mixing, toxicity
 
 
-def plain_lines(rows):
-    sites = defaultdict(set)
-    for r in rows:
-        for line in r["text"].split("\n"):
-            if line.strip(" \t\r"):
-                sites[line.strip(" \t\r")].add(r["source"])
-    out = {}
-    for r in rows:
-        kept = "\n".join(x for x in r["text"].split("\n") if len(sites[x.strip(" \t\r")]) < line_dedup.MIN_SITES)
-        n = len(r["text"].split())
-        out[r["doc_id"]] = kept if n - len(kept.split()) <= line_dedup.MOST_SHARE * n else r["text"]
-    return out
-
-
 def test_each_stage_on_its_own_input(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     weights = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
@@ -35,7 +21,7 @@ def test_each_stage_on_its_own_input(spark):
 
     now = stages["line_dedup"](spark, now, DATA).cache()
     got = {r["doc_id"]: r.asDict() for r in now.collect()}
-    assert {i: r["text"] for i, r in got.items()} == plain_lines([rows[i] for i in clean])
+    assert {i: r["text"] for i, r in got.items()} == plain_line_dedup([rows[i] for i in clean], line_dedup.MIN_SITES)
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
     now = stages["ngram_join"](spark, now, DATA).cache()
