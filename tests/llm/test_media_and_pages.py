@@ -106,18 +106,65 @@ def test_url_rules(spark):
             assert r["rule"] is None and r["verdict"] in ("allow", "block")
 
 
-def test_propagation_matches_power_iteration(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("c", "d", 1), ("e", "a", 1)]
-    rank = {r["host"]: r["rank"] for r in url_filter.propagate(spark.createDataFrame([("a", 0.75), ("e", 0.25)], "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, n long")).collect()}
-    seed = {"a": 0.75, "e": 0.25}
-    now = dict(seed)
-    for _ in range(url_filter.ROUNDS):
+def settle(seed, edges):
+    """Personalised PageRank by power iteration; edges: (src, dst) to pages."""
+    out, now = {}, dict(seed)
+    for (s, _), n in edges.items():
+        out[s] = out.get(s, 0) + n
+    for _ in range(300):
         then = {h: 0.15 * s for h, s in seed.items()}
-        for s, d, n in edges:
-            out = sum(k for x, _, k in edges if x == s)
-            then[d] = then.get(d, 0) + 0.85 * now.get(s, 0) * n / out
+        for (s, d), n in edges.items():
+            then[d] = then.get(d, 0) + 0.85 * now.get(s, 0) * n / out[s]
         now = then
-    assert rank == pytest.approx(now)
+    return now
+
+
+def test_propagation_matches_power_iteration(spark):
+    edges = {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("c", "a"): 3, ("c", "d"): 1, ("e", "a"): 1}
+    seeds = spark.createDataFrame([("trust", "a", 0.75), ("trust", "e", 0.25), ("distrust", "d", 1.0)], "kind string, host string, seed double")
+    shares = url_filter.directed_shares(spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n long"))
+    rank = {(r["kind"], r["host"]): r["rank"] for r in url_filter.propagate(seeds, shares).collect()}
+    assert {h: v for (k, h), v in rank.items() if k == "trust"} == pytest.approx(settle({"a": 0.75, "e": 0.25}, edges))
+    assert {h: v for (k, h), v in rank.items() if k == "distrust"} == pytest.approx(settle({"d": 1.0}, {e[::-1]: n for e, n in edges.items()}))
+
+
+def test_links_lead_to_their_hosts(spark):
+    links = {'<a href="https://b.com/">': {"b.com"}, "<a href='//C.com/x?y'>": {"c.com"}, "<img src=http://d.com:8/p.png>": {"d.com:8"}, '<a href="/x">': {"a.com"}, '<a href="x:y/z">': set(), '<a href="page.html#t">': {"a.com"}}
+    links |= {'<a href="mailto:x@e.com">': set(), '<a href="#top">': set(), '<a href="">': set(), '<a href="javascript:go()">': set(), '<a href=" HTTPS://f.com ">': {"f.com"}, 'text href="https://g.com/"': set(), '<a\nclass=k href="?q=https://h.com/">': {"a.com"}, '<p data-href="https://i.com/">': set()}
+    pages = [(i, "a.com", tag) for i, tag in enumerate(links)] + [(99, "a.com", "".join(links)), (100, "", "".join(links)), (101, "a.com", None)]
+    out = url_filter.host_edges(spark.createDataFrame(pages, "page_id long, host string, html string")).collect()
+    want = {}
+    for to in [*links.values(), set().union(*links.values())]:
+        for host in to:
+            want[host] = want.get(host, 0) + 1
+    assert {r["dst"]: r["n"] for r in out} == want and {r["src"] for r in out} == {"a.com"}
+
+
+def test_verdicts_on_a_graph_match_brute_force(spark):
+    """50 hosts, links of all kinds, rules and ranks against a plain version."""
+    rng = np.random.default_rng(3)
+    hosts = [f"h{k}.{t}" for k, t in enumerate(rng.choice(["com", "net", "org", "info"], 50))]
+    rows, edges, votes = [], {}, {"allow": {}, "block": {}}
+    for i in range(400):
+        host, path = hosts[rng.integers(50)], rng.choice(["/en/1", "/de/8", "/es/2", "/fr/3", ""])
+        to = set(rng.choice(hosts, rng.integers(0, 4)).tolist()) - {host}
+        tags = [rng.choice([f'<a href="https://{h}/x">', f"<img src='//{h}'>", f"<a href=http://{h.upper()}?q>"]) for h in sorted(to)]
+        local = rng.random() < 0.3
+        rows.append((i, f"https://{host}{path}", " ".join([*tags, *tags, '<a href="/own">' * bool(local), '<a href="mailto:m@x.org">'])))
+        for d in [*to, *[host] * bool(local)]:
+            edges[host, d] = edges.get((host, d), 0) + 1
+        for h, p, v in url_filter.RULES:
+            if (host == h or host.endswith("." + h)) and path.startswith(p):
+                votes[v][host] = votes[v].get(host, 0) + 1
+    share = lambda v: {h: n / sum(v.values()) for h, n in v.items()}
+    trust, distrust = settle(share(votes["allow"]), edges), settle(share(votes["block"]), {e[::-1]: n for e, n in edges.items()})
+    seen = set()
+    for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert (r["trust"], r["distrust"]) == pytest.approx((trust.get(r["host"], 0), distrust.get(r["host"], 0)), abs=1e-8)
+        if r["rule"] is None and abs(r["trust"] - r["distrust"]) > 1e-7:
+            assert r["verdict"] == ("block" if r["distrust"] > r["trust"] else "allow")
+            seen.add(r["verdict"])
+    assert seen == {"allow", "block"}
 
 
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
@@ -133,9 +180,9 @@ def test_distrust_settles_on_a_chain_of_hosts(spark):
     out = {r["host"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [out[h]["distrust"] for h in hosts] == pytest.approx([0.15 * 0.85**k for k in range(15)])
     assert {r["verdict"] for r in out.values()} == {"block"}
-    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    shares = url_filter.directed_shares(spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long"))
     with pytest.raises(RuntimeError):
-        url_filter.propagate(spark.createDataFrame([("a", 1.0)], "host string, seed double"), edges, rounds=10)
+        url_filter.propagate(spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double"), shares, rounds=10)
 
 
 def test_near_vectors_match_brute_force(spark, monkeypatch):
