@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch sent to Python; texts are long, so the default of 10,000 is too many.
-ARROW_ROWS = 400
+#: Rows and bytes per Arrow batch sent to Python; texts are long, so the default of 10,000 rows is too many.
+ARROW_ROWS, ARROW_BYTES = 400, 32 << 20
 
 
 #: By application, the folder of a session that names none.
@@ -27,6 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds, and let Python workers find this package.
 
+    A batch ends at ARROW_ROWS rows or past ARROW_BYTES bytes, so it holds one very long text at most
+    beyond these. Both settings are the session's.
+
     On a cluster the package is installed or sent with --py-files; where it is a plain folder,
     as in tests, workers get the folder's path.
     """
@@ -34,12 +38,15 @@ def small_batches(spark: SparkSession) -> None:
     if home not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, (paths.get("PYTHONPATH", ""), home)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share. A local session that names none gets one of its own; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folders.get(app) or _own_folders.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return folder.rstrip("/")

@@ -12,23 +12,33 @@ def fold(folds: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, each: int, most_chars: int) -> pd.DataFrame:
+def within(rows: list, budget: int) -> list:
+    """The leading rows whose lengths n sum to the budget at most."""
+    total, out = 0, []
+    for r in rows:
+        total += r["n"]
+        if total > budget:
+            break
+        out.append(r)
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, each: int, budget: int) -> pd.DataFrame:
     """Columns text and y: at most `each` labelled rows of either class outside the held-out fold.
 
-    Rows come in the order of a hash of their id. Only texts of up to most_chars characters
-    are used for fitting, so each x 2 x most_chars bounds what reaches the driver.
+    Rows come in the order of a hash of their id, whole and of whatever length, as far as their
+    characters stay within `budget` a class: that bounds what reaches the driver. Of rows that repeat
+    an id the largest label and the longest text's length count, and the first text by content.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id"))
-    lengths = docs.select("doc_id", F.length("text").alias("n")).where(F.col("n") <= most_chars).groupBy("doc_id").agg(F.max("n").alias("n"))
+    lengths = docs.select("doc_id", F.length("text").alias("n")).where("n is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
     known = known.join(lengths, "doc_id")
-    picked = None
+    ids = {}
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy("o", "doc_id").limit(each).select("doc_id", "y")
-        picked = part if picked is None else picked.unionByName(part)
-    ids = {r.doc_id: r.y for r in picked.collect()}
+        ids |= {r["doc_id"]: y for r in within(known.where(F.col("y") == y).orderBy("o", "doc_id").limit(each).collect(), budget)}
     if not ids:
         return pd.DataFrame({"text": [], "y": []})
     small = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").where(F.length("text") <= most_chars)
+    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id")
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas().sort_values("doc_id", ignore_index=True)[["text", "y"]]

@@ -258,7 +258,7 @@ def test_toxicity_sentences_and_noisy_or(spark):
     docs = spark.createDataFrame([(1, "One. Bad two!\nbad bad"), (2, None)], "doc_id long, text string")
     found = toxicity.offending_sentences(docs, weights).collect()
     assert [(r["sentence_no"], r["sentence"]) for r in found] == [(1, "Bad two"), (2, "bad bad")]
-    score = {r["doc_id"]: r["score"] for r in toxicity.with_score(docs, weights).collect()}
+    score = {r["doc_id"]: r["score"]["score"] for r in toxicity.with_score(docs, weights).collect()}
     p = found[0]["probability"]
     assert math.isclose(score[1], 1 - (1 - p) ** 2) and score[2] == 0
 
@@ -271,15 +271,72 @@ def test_quality_held_out(spark):
 
 
 def test_factorisation_identity():
-    """The sum-of-squares form equals the sum over pairs."""
+    """The sum-of-squares form over active features equals the sum over pairs."""
     rng = np.random.default_rng(6)
-    m = quality.Machine(np.zeros((16, quality.BINS - 1)))
-    m.v = rng.normal(size=m.v.shape).astype(np.float32)
-    x = np.zeros((1, m.size), np.float32)
-    at = rng.choice(m.size, 9, replace=False)
-    x[0, at] = rng.normal(size=9)
-    pairs = sum(float(m.v[a] @ m.v[b]) * x[0, a] * x[0, b] for n, a in enumerate(at) for b in at[n + 1 :])
-    assert math.isclose(m.logits(x)[0][0], pairs, rel_tol=1e-3, abs_tol=1e-4)
+    m = quality.Machine(np.zeros((quality.STATISTICS, quality.BINS - 1)))
+    m.v, m.w, m.w0 = rng.normal(size=m.v.shape), rng.normal(size=m.w.shape), 0.3
+    rows = [(rng.choice(m.size, n, replace=False), rng.normal(size=n)) for n in (9, 1, 20)]
+    got = m.logits(*m.together(rows))[0]
+    for (at, x), z in zip(rows, got, strict=True):
+        pairs = sum(float(m.v[a] @ m.v[b]) * x[i] * x[j] for i, a in enumerate(at) for j, b in enumerate(at) if i < j)
+        assert math.isclose(z, 0.3 + float(m.w[at] @ x) + pairs, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def plain_toxicity(text, weights):
+    """Score and offending sentences of a text, restated."""
+    import re
+
+    rest, found, base = 1.0, [], 1 / (1 + math.exp(4))
+    for no, sentence in enumerate(re.split(r"[.!?\n]+", text)):
+        held = {w[:n] + ("*" if n < len(w) else "") for w in re.findall(r"\w+", sentence.lower()) for n in (3, 4, 5, 6, len(w)) if n <= len(w)} & weights.keys()
+        p = (1 / (1 + math.exp(4 - sum(weights[f] for f in held))) - base) / (1 - base)
+        rest *= 1 - p
+        if p >= 0.5:
+            found.append((no, sentence.strip()))
+    return 1 - rest, found
+
+
+def test_toxicity_query_matches_a_plain_rescoring(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    weights = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    out = toxicity.op4_toxicity(spark, data).collect()
+    assert len(out) == len(texts) and weights
+    for r in out:
+        score, found = plain_toxicity(texts[r["doc_id"]], weights)
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["predicted"] == (r["score"] >= 0.7)
+        assert [(f["sentence_no"], f["sentence"]) for f in r["offending"]] == found
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in out if r["held_out"] and labels.get(r["doc_id"]) in (0, 1)]
+    assert sum(y == p for y, p in held) / len(held) > 0.95
+
+
+def test_quality_query_matches_a_plain_rescoring(spark):
+    """Every score against a dense row and the sum over all pairs of a machine trained alike."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    m, out = quality.train(docs, labels), {r["doc_id"]: r for r in quality.op7_quality(spark, DATA).collect()}
+    gram = m.v @ m.v.T
+    for r in docs.collect():
+        stats, words = quality.describe(r["text"] or "", {})
+        x = np.zeros(m.size)
+        x[words] = 1 / np.sqrt(len(words)) if len(words) else 0
+        for j, s in enumerate(stats):
+            x[quality.BUCKETS + j * quality.BINS + sum(s > e for e in m.edges[j])] = 0.5
+        pairs = (np.outer(x, x) * gram).sum() / 2 - (x**2 * gram.diagonal()).sum() / 2
+        assert out[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-(m.w0 + m.w @ x + pairs))), abs=1e-9)
+        assert out[r["doc_id"]]["predicted"] == (out[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_samples_take_texts_of_any_length_within_their_budget(spark):
+    docs = spark.createDataFrame([(i, "word " * (100_000 if i == 3 else 5)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    none = F.lit(False)
+    whole = labelled.labelled_sample(docs, labels, "y", none, 100, 10**7)
+    assert len(whole) == 40 and whole["text"].str.len().max() == 500_000
+    few = labelled.labelled_sample(docs, labels, "y", none, 100, 300)
+    assert 0 < few[few["y"] == 0]["text"].str.len().sum() <= 300 and few["text"].str.len().max() < 500_000
+    assert len(labelled.labelled_sample(docs, labels, "y", none, 7, 10**7)) == 14
 
 
 def test_samples_skip_the_held_out_fold(spark, documents):
