@@ -7,19 +7,22 @@ element below a dropped one is impossible, so a dynamic programme over the tree
 consistent choice of the largest total score. Kept text forms blocks in page order.
 
 There are no labelled pages. The trees learn from weak labels that a teacher gives on a bounded
-sample of pages (SAMPLE of them, up to SAMPLE_CHARS characters): elements inside <article>, <main> or a
+sample of pages (SAMPLE rows, SAMPLE_BUDGET characters): elements inside <article>, <main> or a
 body-of-text attribute, outside boilerplate elements, are article. Copies of the sample with
 semantic tags or attributes blanked make the trees use density, depth and siblings too.
 
 Edge cases: null and empty html and pages without an article give an empty text; unclosed and
-stray tags are repaired as browsers do for paragraphs, list items and table cells; repeated rows
-give repeated rows; without a usable sample the teacher's own rule decides; other columns
-are not read.
+stray tags are repaired as browsers do for heads, paragraphs, list items and table cells; elements
+inside svg and math may close themselves; an end tag finds its element at any depth, within its
+block; very long and deep pages are parsed whole; of two choices that score alike the shorter text
+is kept; repeated rows give repeated rows; without a usable sample the teacher's own rule decides;
+empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,9 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, labelled
 
-SAMPLE, SAMPLE_CHARS = 300, 60_000
+SAMPLE, SAMPLE_BUDGET = 300, 16_000_000
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,9 @@ BLOCKS = frozenset("address article aside blockquote body caption dd details dia
 ENDS_P = BLOCKS - frozenset(["body", "html", "td", "th", "tr", "caption", "summary"])
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
+#: Elements whose content may close itself; what a head holds.
+FOREIGN = ("svg", "math")
+HEAD = frozenset("head title meta link base basefont script style noscript template".split())
 #: Words in tags and attributes that tell boilerplate, and those that tell an article.
 BAD = ("nav", "menu", "header", "footer", "sidebar", "aside", "notice", "cookie", "consent", "banner", "ad", "ads", "advert", "advertisement", "sponsor", "promo", "form", "comment", "comments", "respond", "reply", "share", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "subscribe", "newsletter", "login", "search", "widget", "popup", "modal", "pagination", "copyright", "toolbar", "complementary", "contentinfo", "navigation", "alert", "disclaimer", "teaser")
 GOOD = ("article", "main", "content", "post", "entry", "story", "text", "articlebody", "body")
@@ -64,17 +70,25 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("root", frozenset(), -1)]
         self.open = [0]
+        #: Open elements of each tag.
+        self.held: Counter[str] = Counter()
 
-    def close_to(self, tags: tuple[str, ...], walls: tuple[str, ...] = ()) -> None:
+    def close_to(self, tags: tuple[str, ...], walls: frozenset | tuple[str, ...] = ()) -> None:
+        """Close the innermost open element of these tags, and what is open inside it, up to a wall."""
+        if not any(self.held[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[k]].tag
             if tag in tags:
+                self.held.subtract(self.nodes[i].tag for i in self.open[k:])
                 del self.open[k:]
                 return
             if tag in walls:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self.close_to(("head",))
         if tag in ENDS_P:
             self.close_to(("p",), ("table", "button", "article", "section", "div", "td", "li", "blockquote"))
         if tag in ENDS:
@@ -84,15 +98,21 @@ class Tree(HTMLParser):
         self.nodes.append(Node(tag, tokens, self.open[-1]))
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.held[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(self.held[t] for t in FOREIGN):
+            self.held[tag] -= 1
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or any(self.nodes[k].tag == tag for k in self.open[-8:]):
-            self.close_to((tag,))
+        """A block or silent element ends at any depth; another within the block that it stands in."""
+        self.close_to((tag,), () if tag in BLOCKS or tag in SILENT else BLOCKS | SILENT)
 
     def handle_data(self, data: str) -> None:
+        if self.held["head"] and self.nodes[self.open[-1]].tag == "head" and not data.isspace():
+            self.close_to(("head",))
         self.nodes[self.open[-1]].items.append(data)
 
 
@@ -304,11 +324,11 @@ def extract(html: str | None, model: Boosted | None) -> str:
 
 
 def train(pages: DataFrame) -> Boosted | None:
-    """Trees fitted on a sample of pages, in the order of a hash of their html."""
-    short = pages.where((F.length("html") <= SAMPLE_CHARS) & (F.length("html") > 0))
-    ids = short.select("page_id", F.xxhash64("page_id").alias("o")).where("page_id is not null").orderBy("o").limit(SAMPLE).collect()
-    wanted = [r["page_id"] for r in ids]
-    rows = short.where(F.col("page_id").isin(wanted)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").select("html").collect() if wanted else []
+    """Trees fitted on a sample of pages of any length, in the order of a hash of their ids, within SAMPLE_BUDGET."""
+    full = pages.where((F.length("html") > 0) & F.col("page_id").isNotNull())
+    ids = full.groupBy("page_id").agg(F.max(F.length("html")).alias("n")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()
+    wanted = [r["page_id"] for r in labelled.within(ids, SAMPLE_BUDGET)]
+    rows = full.where(F.col("page_id").isin(wanted)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").select("html").collect() if wanted else []
     return fit([r["html"] for r in rows])
 
 

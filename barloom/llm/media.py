@@ -8,9 +8,15 @@ fixed size (never on payload bytes) resolves the references.
 Media are stored as binary PPM images: 8-bit RGB samples, 64 pixels (192 bytes) to a row, so any
 payload padded to a multiple of 192 bytes is stored without loss and read back byte by byte.
 
+A caption belongs to the media of its figure, before or after it; that of a figure without media, or
+outside a figure, is text. A caption or figure that isn't closed ends with what it stands in, at the
+latest with the page: no words are lost.
+
 Edge cases: null and empty texts give one row of 192 spaces; null html gives an empty
-sequence; a reference that no medium has keeps its place with a null payload; equal payloads are
-joined once; repeated rows give repeated rows; other columns are not read.
+sequence; very long texts are one payload each, in Arrow batches bounded by bytes; a reference
+that no medium has keeps its place with a null payload; equal payloads are one medium (ties do not
+arise: equal digests have equal rows); repeated rows give repeated rows; empty tables give no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,46 +48,89 @@ class Interleaver(HTMLParser):
         self.out: list[dict] = []
         self.text: list[str] = []
         self.silent = 0
-        self.figure: list[int] | None = None
+        #: Open figures: their media, the captions met before any medium, and the caption so far.
+        self.figures: list[dict] = []
         self.caption: list[str] | None = None
 
+    def add(self, kind: str, text: str | None = None, digest: str | None = None, caption: str | None = None) -> dict:
+        self.out.append({"kind": kind, "text": text, "digest": digest, "caption": caption})
+        return self.out[-1]
+
     def flush(self) -> None:
         words = " ".join("".join(self.text).split())
         self.text = []
         if words:
-            self.out.append({"position": len(self.out), "kind": "text", "text": words, "digest": None, "caption": None})
+            self.add("text", words)
+
+    def end_caption(self) -> None:
+        words, self.caption = " ".join("".join(self.caption or []).split()), None
+        if not words:
+            return
+        if not self.figures:
+            self.add("text", words)
+            return
+        figure = self.figures[-1]
+        figure["words"] = f"{figure['words']} {words}".strip()
+        for medium in figure["media"]:
+            medium["caption"] = figure["words"]
+        if not figure["media"]:
+            figure["early"].append(self.add("text", words))
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        if self.figures:
+            self.figures.pop()
+
+    def medium(self, tag: str, given: dict[str, str | None]) -> None:
+        source, caption = given.get("src") or "", given.get("alt") or None
+        digest = source.removeprefix("sha256:") if source.startswith("sha256:") else hashlib.sha256(source.encode("utf-8", "surrogatepass")).hexdigest()
+        if self.figures:
+            figure = self.figures[-1]
+            caption = figure["words"] or caption
+            for early in figure["early"]:
+                early["kind"] = None
+            figure["early"].clear()
+            figure["media"].append(self.add(tag, digest=digest, caption=caption))
+        else:
+            self.add(tag, digest=digest, caption=caption)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT:
             self.silent += 1
-        elif tag in MEDIA:
+        elif tag in MEDIA and not self.silent:
             self.flush()
-            given = dict(attrs)
-            source = given.get("src") or ""
-            digest = source.removeprefix("sha256:") if source.startswith("sha256:") else hashlib.sha256(source.encode()).hexdigest()
-            if self.figure is not None:
-                self.figure.append(len(self.out))
-            self.out.append({"position": len(self.out), "kind": tag, "text": None, "digest": digest, "caption": given.get("alt") or None})
+            self.medium(tag, dict(attrs))
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
+        elif tag == "br":
+            self.handle_data(" ")
         elif tag in BLOCKS:
-            self.flush()
+            if self.caption is not None and tag != "figure":
+                self.caption.append(" ")
+            else:
+                self.end_caption()
+                self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append({"media": [], "early": [], "words": ""})
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in SILENT:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            words = " ".join("".join(self.caption).split())
-            for i in self.figure or []:
-                self.out[i]["caption"] = words
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            self.end_figure()
         elif tag in BLOCKS:
+            if self.caption is not None:
+                self.caption.append(" ")
             self.flush()
-            if tag == "figure":
-                self.figure = None
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -93,8 +142,9 @@ def interleave(html: str | None) -> list[dict]:
     parser = Interleaver()
     parser.feed(html or "")
     parser.close()
+    parser.end_caption()
     parser.flush()
-    return parser.out
+    return [{"position": i, **s} for i, s in enumerate(s for s in parser.out if s["kind"])]
 
 
 def store(payload: bytes) -> bytes:
@@ -144,7 +194,11 @@ def media_table(payloads: DataFrame) -> DataFrame:
 
 
 def resolved(media: DataFrame) -> DataFrame:
-    """One row per digest, of fixed size: what reading the stored bytes back gives."""
+    """One row per digest, of fixed size: what reading the stored bytes back gives.
+
+    Written, so that the join to come has an exchange of its own, in which Spark can split the
+    references of a common digest.
+    """
     common.small_batches(media.sparkSession)
     shape = "struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string>"
 
@@ -157,7 +211,7 @@ def resolved(media: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     rows = media.select("digest", F.pandas_udf(read, shape)("media").alias("r")).select("digest", "r.*")
-    return rows.dropDuplicates(["digest"])
+    return common.write_shared(rows.dropDuplicates(["digest"]), "resolved")
 
 
 def references(sequences: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,6 +35,49 @@ def test_interleaved_sequence_keeps_positions_and_captions():
     assert seq[1]["digest"] == "ab" and len(seq[3]["digest"]) == 64
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<figure><img src="sha256:aa"><figcaption>cap</figure><p>after text</p>', [("img", None, "cap"), ("text", "after text", None)]),
+        ('<figure><figcaption>cap</figcaption><img src="sha256:aa"><img src="sha256:bb" alt="x"></figure>z', [("img", None, "cap"), ("img", None, "cap"), ("text", "z", None)]),
+        ("a<figure><table><tr><td>1</table><figcaption>cap</figcaption></figure>z", [("text", "a", None), ("text", "1", None), ("text", "cap", None), ("text", "z", None)]),
+        ("<p>a<figcaption>stray <b>words</b></figcaption>z", [("text", "a", None), ("text", "stray words", None), ("text", "z", None)]),
+        ('<figure><img src="u"><figcaption>one<p>two<br>three', [("img", None, "one two three")]),
+        ('<figure><figure><img src="u"><figcaption>in</figcaption></figure><img src="v" alt="w"><figcaption>out</figure>', [("img", None, "in"), ("img", None, "out")]),
+        ("a<noscript><img src=u>b</noscript>c<template/>d", [("text", "acd", None)]),
+    ],
+)
+def test_captions_that_are_not_closed_or_stand_alone(html, want):
+    seq = media.interleave(html)
+    assert [(s["kind"], s["text"], s["caption"]) for s in seq] == want and [s["position"] for s in seq] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_no_words_are_lost_on_unbalanced_pages(seed):
+    """Random tags, opened and closed anywhere: every visible word appears once, in page order."""
+    rng, parts = np.random.default_rng(seed), []
+    for k in range(60):
+        tag = rng.choice(["p", "div", "b", "figure", "figcaption", "li", "ul", "td", "table", "span", "h2", "article", "i", "a"])
+        parts.append(rng.choice([f"<{tag}>", f"</{tag}>", f"<{tag} class=k>", '<img src="u">', "<br/>", "<svg><path d=x/><path d=y/><g><path/></g></svg>"]))
+        parts.append(f" w{k} ")
+    html = "".join(parts)
+    words = [f"w{k}" for k in range(60)]
+    shown = [w for s in media.interleave(html) for w in (s["text"] or "").split()]
+    captions = {w for s in media.interleave(html) for w in (s["caption"] or "").split()}
+    assert len(shown) == len(set(shown)) and sorted({*shown} | captions) == sorted(words)
+    nodes = html_extract.tree_of(html)
+    assert html_extract.text_of(nodes, ~html_extract.silent(nodes)).split() == words
+
+
+@pytest.mark.parametrize("n", [3, 9, 40])
+def test_self_closing_and_unclosed_elements_hide_nothing_else(n):
+    keep = lambda html: html_extract.text_of(nodes := html_extract.tree_of(html), ~html_extract.silent(nodes))
+    assert keep("<article><p>A</p><svg>" + '<path d="x"/>' * n + "</svg><p>B</p></article>") == "A\n\nB"
+    assert keep("<p>A<noscript>" + "<b>no " * n + "</noscript><p>B") == "A\n\nB"
+    assert keep("<html><head><title>T</title><meta x><p>A" + "<b>" * n + "</p>B") == "A\n\nB"
+    assert keep("<head><style>s</style>A" + "<div/>" * n + "B") == "A\n\nB"
+
+
 def test_digest_join_leaves_unknown_media(spark):
     pages = spark.createDataFrame([(1, '<img src="sha256:00"><img src="sha256:%s">' % hashlib.sha256(b" " * 192).hexdigest())], "page_id long, html string")
     stored = media.resolved(media.media_table(spark.createDataFrame([(bytearray(b" " * 192),)], "payload binary")))
