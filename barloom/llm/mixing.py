@@ -8,14 +8,18 @@ No source is ever sorted in one task: the place where a source's prefix sum reac
 is searched by digits of the keys (grouped sums of at most 4,096 cells a source, twice); only
 the documents of that one cell, a 16-millionth of the source, are sorted by a window.
 
+The table of sources, one row each, is the only thing that is ordered as a whole.
+
 Edge cases: null and empty texts have size 0 and take 0; a null source is a source of its own,
-the last; repeated rows are documents of their own with equal keys, ordered by size; an empty
-table gives no rows; other columns never meet the operator's, which are selected first.
+the last; repeated rows are documents of their own with equal keys, ordered by size; a null id draws
+its key from the text; very long texts count whole, and one larger than what is left of its source's
+budget counts in part (the stage takes it if half of it fits); an empty table gives no rows; other
+columns never meet the operator's, which are selected first or begin with two underscores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,19 +32,23 @@ WEIGHTS = (1, 2, 3)
 BROADCAST_SOURCES = 20_000
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the sampling key of each document.
+def sampling_key(size: Column) -> Column:
+    """-ln(u) / weight, u from 52 bits of md5 of the id (of the text where the id is null).
 
-    The document's quality weight rises from 0.05 to 1 as its mean word length nears six
-    characters; u comes from 52 bits of md5(doc_id).
+    The document's quality weight rises from 0.05 to 1 as its mean word length nears six characters.
     """
     text = common.whole_text()
-    sized = docs.select("doc_id", "source", common.word_count(text).alias("size"), F.length(text).alias("chars"))
-    per_word = (F.col("chars") - F.col("size")) / F.greatest(F.col("size"), F.lit(1))
+    per_word = (F.length(text) - size) / F.greatest(size, F.lit(1))
     weight = F.greatest(F.lit(0.05), 1 - F.abs(per_word - 6) / 8)
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
-    u = (bits + 1) / F.lit(float(2**52 + 1))
-    return sized.select("doc_id", "source", "size", (-F.log(u) / weight).alias("key"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(text)))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), name)), 1, 13), 16, 10).cast("long")
+    return -F.log((bits + 1) / F.lit(float(2**52 + 1))) / weight
+
+
+def document_stats(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and the sampling key of each document."""
+    size = common.word_count(common.whole_text())
+    return docs.select("doc_id", "source", "text", size.alias("size")).select("doc_id", "source", "size", sampling_key(F.col("size")).alias("key"))
 
 
 def source_targets(stats: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -68,20 +76,22 @@ def source_targets(stats: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ep
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (complete copies) and part (words of one more).
+def digit_columns(key: Column) -> tuple[Column, Column]:
+    """The two digits of a key's position between 0 and 1."""
+    digits = F.floor(key / (1 + key) * (1 << 2 * DIGIT)).cast("long")
+    return F.shiftright(digits, DIGIT), digits.bitwiseAND((1 << DIGIT) - 1)
 
-    taken = epochs x size + part; a source's taken words sum to its target, rounded.
-    """
-    stats = common.write_shared(document_stats(docs), "mix")
+
+def cuts(stats: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> tuple[DataFrame, bool]:
+    """Per source (s): source_size, target, epochs, budget, and the cell c1, c2 in which the running sum of
+    sizes passes the budget, with the sum b2 before it; and whether that table may be broadcast."""
     sources = common.write_shared(source_targets(stats, weights, most_epochs), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
     hint = F.broadcast if few else (lambda df: df)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budgets = sources.select(F.col("source").alias("s"), "source_size", "target", epochs.alias("epochs"), F.round(F.col("target") - epochs * F.col("source_size")).cast("long").alias("budget"))
-    place = F.col("key") / (1 + F.col("key"))
-    digits = F.floor(place * (1 << 2 * DIGIT)).cast("long")
-    rows = stats.withColumn("d1", F.shiftright(digits, DIGIT)).withColumn("d2", digits.bitwiseAND((1 << DIGIT) - 1))
+    d1, d2 = digit_columns(F.col("key"))
+    rows = stats.withColumns({"d1": d1, "d2": d2})
 
     def cut(cells: DataFrame, digit: str, start: str) -> DataFrame:
         """Per source the cell in which the running sum passes its budget, and the sum before it."""
@@ -96,17 +106,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     held = budgets.join(hint(first.withColumnRenamed("s", "t")), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
     two = rows.join(hint(held), same & (F.col("d1") == F.col("c1"))).groupBy("s", "d2", "budget", "b1").agg(F.sum("size").alias("words"))
     second = common.write_shared(cut(two, "d2", "b1").select("s", F.col("c.d2").alias("c2"), F.col("c.before").alias("b2")), "mix-cut")
-    held = held.join(hint(second.withColumnRenamed("s", "t")), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+    return common.write_shared(held.join(hint(second.withColumnRenamed("s", "t")), F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "b1"), "mix-cuts"), few
 
-    all_rows = rows.join(hint(held), same)
-    at_cut = (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))
-    below = (F.col("d1") < F.col("c1")) | ((F.col("d1") == F.col("c1")) & (F.col("d2") < F.col("c2")))
-    out = ["doc_id", "source", "size", "source_size", "target", "epochs", "part"]
-    clear = all_rows.where(~F.coalesce(at_cut, F.lit(False))).withColumn("part", F.when(below, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    order = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("b2") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    edge = all_rows.where(at_cut).withColumn("part", F.least(F.col("size"), F.greatest(F.col("budget") - before, F.lit(0))).cast("long"))
-    return clear.select(*out).unionByName(edge.select(*out))
+
+def taken(docs: DataFrame, held: DataFrame, few: bool) -> DataFrame:
+    """docs with a struct __mix: size, source_size, target, epochs (complete copies), part (words of one more).
+
+    Every row decides by its own key and its source's cut; only the rows of the cell in which a
+    budget ends meet in a window. Whole texts are not shuffled where the sources are few.
+    """
+    about = F.struct(*(c for c in held.columns if c != "s"))
+    own = held.select(F.col("s").alias("__s"), about.alias("__cut"))
+    d1, d2 = digit_columns(F.col("__key"))
+    c = F.col("__cut")
+    rows = docs.withColumn("__size", common.word_count(common.whole_text())).withColumn("__key", sampling_key(F.col("__size")))
+    rows = rows.withColumns({"__d1": d1, "__d2": d2}).join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__s")))
+    below = (F.col("__d1") < c["c1"]) | ((F.col("__d1") == c["c1"]) & (F.col("__d2") < c["c2"]))
+    at_cut = F.coalesce((F.col("__d1") == c["c1"]) & (F.col("__d2") == c["c2"]), F.lit(False))
+    clear = rows.where(~at_cut).withColumn("__part", F.when(below, F.col("__size")).otherwise(F.lit(0)).cast("long"))
+    order = Window.partitionBy("__s").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    before = c["b2"] + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    edge = rows.where(at_cut).withColumn("__part", F.least(F.col("__size"), F.greatest(c["budget"] - before, F.lit(0))).cast("long"))
+    out = F.struct(F.col("__size").alias("size"), c["source_size"].alias("source_size"), c["target"].alias("target"), c["epochs"].alias("epochs"), F.col("__part").alias("part"))
+    return clear.unionByName(edge).withColumn("__mix", out).select(*docs.columns, "__mix")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs (complete copies) and part (words of one more).
+
+    taken = epochs x size + part; a source's taken words sum to its target, rounded.
+    """
+    docs = docs.select("doc_id", "source", "text")
+    stats = common.write_shared(document_stats(docs), "mix")
+    return taken(docs, *cuts(stats, weights, most_epochs)).select("doc_id", "source", "__mix.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +152,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents stay whole: the one that a budget ends in is taken if at least half of it fits.
     """
-    mixed = mix(docs.select("doc_id", "text", "source"))
-    copies = (F.col("epochs") + (F.col("part") * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("int")).cast("int")
-    counted = mixed.select("doc_id", copies.alias("copies")).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(counted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    stats = common.write_shared(document_stats(docs), "mix")
+    m = F.col("__mix")
+    copies = (m["epochs"] + (m["part"] * 2 >= F.greatest(m["size"], F.lit(1))).cast("int")).cast("int")
+    mixed = taken(docs, *cuts(stats)).withColumn("__copies", copies).where("__copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -29,7 +29,7 @@ WITH sized AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
          length(coalesce(text, '')) AS chars,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS bits
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS bits
   FROM documents),
 stats AS (
   SELECT doc_id, source, size,
