@@ -57,11 +57,28 @@ def test_mixing_takes_smallest_keys_first(spark):
         assert parts == sorted(parts, reverse=True) and sum(0 < p < 1 for p in parts) <= 1
 
 
+def test_mixing_stage_of_repeated_ids(spark):
+    """Rows of one id are documents of their own: the mix keeps to its budget."""
+    rows = [(i % 7 if i % 3 else None, "w " * (i % 9 + 1) + str(i % 2), f"s{i % 4}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("size", "key", "target", "epochs", "part", "s", "c1", "d1")})
+    out = mixing.mixing_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for r in out.collect():
+        taken[r["source"]] += len(r["text"].split())
+    want = water_fill(sizes, {s: 1 + k % 3 for k, s in enumerate(sorted(sizes))})
+    assert all(abs(taken[s] - want[s]) <= 10 for s in sizes)
+
+
 def test_mixing_without_broadcasts(spark, documents, monkeypatch):
     rows = lambda: sorted(tuple(r) for r in mixing.mix(documents).collect())
     want = rows()
+    staged = lambda: sorted(r["doc_id"] for r in mixing.mixing_stage(spark, documents, "").collect())
+    also = staged()
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert rows() == want
+    assert rows() == want and staged() == also
 
 
 def test_boundaries_are_optimal():
@@ -90,8 +107,28 @@ def test_packing_fills_batches(spark):
         assert most == 1 or most * own[0]["padded_len"] <= 500
 
 
+def test_boundaries_of_many_lengths_are_optimal():
+    """Against the plain programme that looks at all places."""
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.geometric(0.002, 3000), return_counts=True)
+    cells = [(int(v), int(c), int(v * c), int(v)) for v, c in zip(*lengths, strict=True)]
+    n, (v, c) = len(cells), np.array([(x[0], x[1]) for x in cells]).T
+    count, total = np.r_[0, np.cumsum(c)], np.r_[0, np.cumsum(v * c)]
+    best = np.r_[0, np.full(n, np.inf)]
+    for _ in range(12):
+        best = np.array([0] + [min(best[:j] + v[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])) for j in range(1, n + 1)])
+    edges = np.array(packing.boundaries(cells, 12))
+    assert n > 800 and ((edges[np.searchsorted(edges, v)] - v) * c).sum() == best[n]
+
+
+def test_packing_spreads_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_ROWS", 100)
+    out = packing.pack(spark.createDataFrame([(None, 5)] * 1000, "doc_id long, n_tokens long"), budget=50).collect()
+    assert Counter(r["batch"] for r in out) == {k: 10 for k in range(100)}
+
+
 def test_packing_cells_hold_their_lengths(spark):
-    rows = [(n,) for n in [0, 1, 255, 256, 257, 300, 1023, 1024, 1025, 99_999, 10**7]]
+    rows = [(n,) for n in [0, 1, 255, 256, 257, 300, 1023, 1024, 1025, 99_999, 131_072, 131_073, 10**7]]
     for n, c in spark.createDataFrame(rows, "n long").select("n", packing.cell(F.col("n"))).collect():
         assert n <= c <= n * (1 + 1 / 32) + 1
 
@@ -186,6 +223,22 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == jaccard_classes(rows)
 
 
+def test_words_are_split_at_ascii_white_space_only(spark):
+    """Both sides split alike: other spaces are parts of words; long and short blocks hold the same links."""
+    base = [f"v{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, "\t".join(base[:39]) + " x"), (3, "\u2003".join(base)), (4, "\u2003".join(base) + " "), (5, "\x1c".join(base)), (6, None), (7, " \n"), (8, "\u00a0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (8, 0)}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    other = " ".join(f"o{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, other), (1, other), (2, other), (None, "z"), (None, "z"), (None, None)], "doc_id long, text string")
+    out = sorted((r["doc_id"] or -1, r["text"] or "") for r in ngram_join.ngram_join_stage(spark, docs, "").collect())
+    assert out == sorted([(1, "a b c d e f"), (1, other), (-1, "z"), (-1, "")])
+
+
 def test_ngram_join_without_broadcasts(spark, documents, monkeypatch):
     rows = lambda: sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(documents).collect())
     want = rows()
