@@ -69,6 +69,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def without_boilerplate(docs: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:
     """docs with __text, the text less its boilerplate lines, __n_lines, __n_removed and __whole_copy."""
     hits = lines.select("key", "line").join(found, "line").groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__held"))
+    hits = common.write_shared(hits, "hits")  # so that the join has an exchange of its own, in which a text with many copies can be split
     joined = docs.join(hits, F.xxhash64("text") == F.col("__key"), "left")
     all_lines = lines_of(F.col("text"))
     gone = lambda line: F.coalesce(F.array_contains("__held", line_hash(line)), F.lit(False))
