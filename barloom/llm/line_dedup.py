@@ -8,8 +8,8 @@ keeps its text: it is a copy as a whole, which is a matter for near-duplicate de
 marked as such.
 
 There is one way for every size. Line hashes meet the boilerplate hashes, the hits of each
-distinct text are gathered (no more than the text has lines), and texts meet their hits by a join on
-a hash of the text. Whether hits are broadcast is Spark's choice by their measured size.
+distinct text are gathered (no more than the text has lines), and texts meet their hits by a
+shuffled join on a hash of the text, whose hot partitions Spark splits.
 
 Lines are compared without white space at either end; blank lines always stay. Lines and texts are
 known by 64 bits of hash: two texts of one hash share their hits, which removes boilerplate lines
@@ -70,7 +70,7 @@ def without_boilerplate(docs: DataFrame, lines: DataFrame, found: DataFrame) ->
     """docs with __text, the text less its boilerplate lines, __n_lines, __n_removed and __whole_copy."""
     hits = lines.select("key", "line").join(found, "line").groupBy(F.col("key").alias("__key")).agg(F.collect_set("line").alias("__held"))
     hits = common.write_shared(hits, "hits")  # so that the join has an exchange of its own, in which a text with many copies can be split
-    joined = docs.join(hits, F.xxhash64("text") == F.col("__key"), "left")
+    joined = docs.join(hits.hint("merge"), F.xxhash64("text") == F.col("__key"), "left")
     all_lines = lines_of(F.col("text"))
     gone = lambda line: F.coalesce(F.array_contains("__held", line_hash(line)), F.lit(False))
     own = F.filter(all_lines, lambda line: ~gone(line))
