@@ -53,7 +53,9 @@ def backfill_bars(store: DataFrame, history: DataFrame, universe: DataFrame, mis
 
 def prune_bars(bars: DataFrame, target: str, days_to_keep: int = 430) -> DataFrame:
     """Bars of the kept days; on a store partitioned by month whole partitions drop out."""
-    return bars.where(F.col("dt") >= F.date_sub(F.lit(target).cast("date"), days_to_keep))
+    first = F.date_sub(F.lit(target).cast("date"), days_to_keep)
+    kept = bars.where(F.col("dt") >= first)
+    return kept.where(F.col("month") >= F.date_format(first, "yyyy-MM")) if "month" in bars.columns else kept
 
 
 def sync_bars(store: DataFrame, listing: DataFrame, history: DataFrame, target: str, min_codes: int = 1000) -> DataFrame:

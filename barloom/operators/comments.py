@@ -94,18 +94,13 @@ def clean_generated_text(text: Column) -> Column:
     return F.when(kept.rlike("[가-힣]"), kept).otherwise("")
 
 
-def rule_comment(df: DataFrame) -> DataFrame:
-    """Q4: volume sentence, support sentence and trade sentence, chosen by the code's seed.
+def rule_facts(df: DataFrame) -> DataFrame:
+    """Q4: kind of day, support, resistance, buy, stop and goal.
 
-    Needs code, close, low, rate, vol_ratio, ma5, ma20, ma60, ma120, former_peak.
+    Needs close, low, rate, vol_ratio, ma5, ma20, ma60, ma120, former_peak.
     """
     close, low, peak, rate, ratio = (F.col(c) for c in ("close", "low", "former_peak", "rate", "vol_ratio"))
-    seed = code_seed(F.col("code"), close)
-    pools = {k: pick_template(v, seed) for k, v in VOLUME_SENTENCES.items()}
     kind = F.when((rate >= 5) & (ratio >= 150), "surge_up").when(rate >= 5, "up").when((rate <= -5) & (ratio >= 150), "surge_down").when(rate <= -5, "down").when(ratio <= 50, "dry").otherwise("calm")
-    first = F.lit(None).cast("string")
-    for k, v in pools.items():
-        first = F.when(kind == k, v).otherwise(first)
     lines = [(f"{n}일선", F.coalesce(F.col(f"ma{n}"), F.lit(0.0))) for n in (5, 20, 60, 120)]
     rows = F.array(*(F.struct(won(k, v).alias("text"), v.alias("v")) for k, v in lines))
     below = F.filter(rows, lambda r: (r["v"] > 0) & (close >= r["v"]))
@@ -118,10 +113,24 @@ def rule_comment(df: DataFrame) -> DataFrame:
         buy = F.when(holds[n], won(f"{n}일선", F.col(f"ma{n}"))).otherwise(buy)
         stop = F.when(holds[n], won("20일선", F.col("ma20")) if n == 20 else won("전저점", low)).otherwise(stop)
     goal = F.when(peak > close * 1.03, won("전고점", peak)).otherwise(resist)
-    head = F.concat(format_won(close), F.lit("원("), signed_pct(rate), F.lit("), 거래량 "), F.format_string("%.0f%%", F.bround(ratio, 0)), F.lit(". "), first)
-    second = filled(pick_template(SUPPORT_SENTENCES, seed, 3), {"s": support, "r": resist})
-    third = filled(pick_template(TRADE_SENTENCES, seed, 7), {"b": buy, "x": stop, "t": goal})
-    return df.withColumn("comment", F.concat_ws(" ", head, second, third))
+    return df.withColumns({"kind": kind, "support": support, "resistance": resist, "buy": buy, "stop": stop, "goal": goal})
+
+
+def rule_comment(df: DataFrame) -> DataFrame:
+    """Q4: volume sentence, support sentence and trade sentence from the facts, chosen by the code's seed.
+
+    Needs code and what rule_facts needs.
+    """
+    f = rule_facts(df)
+    close, kind = F.col("close"), F.col("kind")
+    seed = code_seed(F.col("code"), close)
+    first = F.lit(None).cast("string")
+    for k, v in VOLUME_SENTENCES.items():
+        first = F.when(kind == k, pick_template(v, seed)).otherwise(first)
+    head = F.concat(format_won(close), F.lit("원("), signed_pct(F.col("rate")), F.lit("), 거래량 "), F.format_string("%.0f%%", F.bround("vol_ratio", 0)), F.lit(". "), first)
+    second = filled(pick_template(SUPPORT_SENTENCES, seed, 3), {"s": F.col("support"), "r": F.col("resistance")})
+    third = filled(pick_template(TRADE_SENTENCES, seed, 7), {"b": F.col("buy"), "x": F.col("stop"), "t": F.col("goal")})
+    return f.withColumn("comment", F.concat_ws(" ", head, second, third)).select(*df.columns, "comment")
 
 
 def rule_comment_candle(df: DataFrame) -> DataFrame:

@@ -44,11 +44,16 @@ def keep_newest_dates(df: DataFrame, n: int = 5, date: str = "scan_date") -> Dat
     return df.join(F.broadcast(days), date, "left_semi")
 
 
-def carry_forward(history: DataFrame, today: DataFrame, date: str = "scan_date", day: str | None = None) -> DataFrame:
-    """today's rows; if there are none, those of the newest stored date under today's date."""
-    newest = history.agg(F.max(date).alias("__newest"))
-    empty = today.agg((F.count("*") == 0).alias("__empty"))
-    old = history.crossJoin(F.broadcast(newest)).crossJoin(F.broadcast(empty)).where((F.col(date) == F.col("__newest")) & F.col("__empty")).drop("__newest", "__empty")
+def carry_forward(history: DataFrame, today: DataFrame, date: str = "scan_date", day: str | None = None, strategies: list[str] | None = None) -> DataFrame:
+    """today's rows, and for each of the strategies (None: all stored) without any, its rows of the newest stored date.
+
+    The newest date is that of the whole history; carried rows get today's date if day is given.
+    """
+    newest = history.agg(F.max(date).alias("__newest"))  # one row
+    old = history.crossJoin(F.broadcast(newest)).where(F.col(date) == F.col("__newest")).drop("__newest")
+    if strategies is not None:
+        old = old.where(F.col("strategy").isin(*strategies))
+    old = old.join(today.select("strategy").distinct(), "strategy", "left_anti").select(*history.columns)
     return today.unionByName(old if day is None else old.withColumn(date, F.lit(day).cast("date")))
 
 

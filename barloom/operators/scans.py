@@ -114,13 +114,13 @@ def supports(bars_with_no: DataFrame, last: int = 40, top: int = 3) -> DataFrame
     three = yes((low < back("low", 1)) & (low < F.lead("low", 1).over(series())))
     flagged = bars_with_no.withColumns({"__p5": F.when(five, low), "__p3": F.when(three, F.struct("bar_no", low.alias("low")))})
     frame = ind.rows(-(last - 3), -2)
-    lists = flagged.withColumns({"__a5": F.collect_list("__p5").over(frame), "__a3": F.collect_list("__p3").over(frame), "__enough": F.col("n_bars") >= last})
+    lists = flagged.withColumns({"__a5": F.collect_list("__p5").over(frame), "__a3": F.collect_list("__p3").over(frame)})
     near = F.filter("__a5", lambda p: p < F.col("close") * 1.01)
     p1, p2 = F.try_element_at("__a3", F.lit(-2)), F.try_element_at("__a3", F.lit(-1))
     slope = (p2["low"] - p1["low"]) / (p2["bar_no"] - p1["bar_no"])
     line = F.when(p2["low"] > p1["low"], F.bround(p2["low"] + slope * (F.col("bar_no") - p2["bar_no"]), 0))
     out = lists.withColumns({"h_supports": F.slice(F.sort_array(near, asc=False), 1, top), "trendline_support": line})
-    return out.drop("__p5", "__p3", "__a5", "__a3", "__enough")
+    return out.drop("__p5", "__p3", "__a5", "__a3")
 
 
 def scan_standard_candle(bars, universe=None, target=None, min_turnover=500e8, lookback_days=220, min_bars=80, label=500):
@@ -131,20 +131,27 @@ def scan_standard_candle(bars, universe=None, target=None, min_turnover=500e8, l
     f = supports(candle_features(cut, {label: min_turnover}, lookback_days if target is None else None))
     if target is not None:
         f = last_bar(f).where(F.col("dt") == F.lit(target).cast("date"))
-    return candle_picks(f, label, min_bars)
+    return candle_picks(f, label, min_bars=min_bars)
 
 
-def candle_picks(f: DataFrame, label: int, min_bars: int = 80) -> DataFrame:
-    """The candle-pick columns of the bars whose reference candle of this label qualifies."""
-    ref, close, low = F.col(f"ref{label}"), F.col("close"), F.col("low")
-    age = F.col("bar_no") - ref["bar_no"]
+def candle_picks(f: DataFrame, *labels: int, min_bars: int = 80) -> DataFrame:
+    """The candle-pick columns of the bars whose reference candle qualifies, for the first of the labels that does."""
+    close, low = F.col("close"), F.col("low")
     near = yes(pat.near(close, F.col("ma15"), 0.025) | pat.near(low, F.col("ma15"), 0.025) | pat.near(close, F.col("ma20"), 0.025) | pat.near(low, F.col("ma20"), 0.025))
-    hit = f.where((F.col("n_bars") >= min_bars) & ref.isNotNull() & ((age < 3) | near))
+
+    def chosen(label: int) -> Column:
+        ref = F.col(f"ref{label}")
+        hit = (F.col("n_bars") >= min_bars) & ref.isNotNull() & ((F.col("bar_no") - ref["bar_no"] < 3) | near)
+        return F.when(hit, F.struct(F.lit(label).alias("label"), ref.alias("ref")))
+
+    hit = f.withColumn("__pick", F.coalesce(*map(chosen, labels))).where("__pick is not null")
+    ref = F.col("__pick.ref")
+    age = F.col("bar_no") - ref["bar_no"]
     trend = lambda n: F.when(yes(F.col(f"p{n}") > F.col(f"ma{n}")), "up").otherwise("down")
     expected = F.struct(*(F.col(f"p{n}").alias(f"ma{n}") for n in (3, 5, 8, 20)), *(trend(n).alias(f"ma{n}_trend") for n in (3, 5, 8, 20)))
     return hit.select(
         F.col("dt").alias("scan_date"),
-        F.lit(label).alias("candle_class"),
+        F.col("__pick.label").alias("candle_class"),
         "code",
         age.alias("day_type"),
         close.cast("long").alias("close"),
@@ -174,11 +181,14 @@ def scan_integrated(bars, universe=None, target=None, high_turnover=500e8, low_t
     f = supports(candle_features(cut, {500: high_turnover, 150: low_turnover}, lookback_days if target is None else None))
     if target is not None:
         f = last_bar(f).where(F.col("dt") == F.lit(target).cast("date"))
-    return priority_cut(integrate(candle_picks(f, 500), candle_picks(f, 150)), n)
+    return priority_cut(candle_picks(f, 500, 150), n)
 
 
 def integrate(picks_500: DataFrame, picks_150: DataFrame) -> DataFrame:
-    """All picks of the higher class, and those of the lower whose code has none that day."""
+    """All picks of the higher class, and those of the lower whose code has none that day.
+
+    For picks made apart; candle_picks with two labels gives the same from one pass.
+    """
     return picks_500.unionByName(picks_150.join(picks_500.select("scan_date", "code"), ["scan_date", "code"], "left_anti"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number_or_null, pad_code, scale_change
@@ -30,8 +30,8 @@ def prefilter_turnover_change(listing: DataFrame, min_turnover: float = 150e8, m
     loose = F.coalesce(F.col("volume") * F.col("close") >= min_turnover, F.lit(False))
     strict = loose & F.coalesce(scale_change(F.col("change"), scale) >= min_change, F.lit(False))
     marked = listing.withColumns({"__loose": loose, "__strict": strict}).where("__loose")
-    enough = F.count_if("__strict").over(Window.partitionBy()) >= min_rows
-    return marked.withColumn("__enough", enough).where("__strict or not __enough").drop("__loose", "__strict", "__enough")
+    enough = marked.agg((F.count_if("__strict") >= min_rows).alias("__enough"))  # one row
+    return marked.crossJoin(F.broadcast(enough)).where("__strict or not __enough").drop("__loose", "__strict", "__enough")
 
 
 def resolve_columns(df: DataFrame) -> DataFrame:
@@ -77,3 +77,10 @@ def top_universe(listing: DataFrame, n: int = 800, markets: tuple[str, ...] = MA
 def full_universe(*listings: DataFrame) -> DataFrame:
     """All listings of all markets less the excluded instruments."""
     return exclude_instruments(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), listings))
+
+
+def with_fallback(prefiltered: DataFrame, full: DataFrame) -> DataFrame:
+    """The prefiltered listings, or all of full if there are none."""
+    none = prefiltered.agg((F.count("*") == 0).alias("__none"))  # one row
+    rest = full.crossJoin(F.broadcast(none)).where("__none").drop("__none")
+    return prefiltered.unionByName(rest, allowMissingColumns=True)

@@ -15,7 +15,7 @@ from ..plans.features import features, numbered
 from ..scratch import scratch_path
 from ..sources import readers, sinks
 from . import query
-from .derived import DENSE, FEATS, LISTING, MEANS, OVER, WIDE, dense, frame, lag_sql, listing, mean_sql, projected_sql, table, wide
+from .derived import FEATS, LISTING, MEANS, OVER, PANEL, WIDE, frame, lag_sql, listing, mean_sql, panel, projected_sql, table
 
 BAR = ["code", "dt", "open", "high", "low", "close", "volume"]
 TARGET = "1999-06-30"
@@ -26,25 +26,25 @@ def r6(name: str, col=None):
 
 
 def spark_panel(spark, sf_dir, **cols):
-    """code, dt and the given columns of the dense series, rounded if they are numbers."""
-    f = numbered(dense(spark, sf_dir)).withColumns(cols)
+    """code, dt and the given columns of all series, rounded if they are numbers."""
+    f = numbered(panel(spark, sf_dir)).withColumns(cols)
     kinds = dict(f.dtypes)
     return f.select("code", "dt", *(r6(c) if kinds[c] == "double" else c for c in cols))
 
 
 def panel_sql(**cols: str) -> str:
-    return f"WITH {DENSE} SELECT code, dt, " + ", ".join(f"{x} AS {c}" for c, x in cols.items()) + " FROM bars"
+    return f"WITH {PANEL} SELECT code, dt, " + ", ".join(f"{x} AS {c}" for c, x in cols.items()) + " FROM bars"
 
 
 def rounded(x: str) -> str:
     return f"round({x}, 6)"
 
 
-@query(f"WITH {DENSE} SELECT * FROM bars WHERE dt BETWEEN DATE '{TARGET}' - 400 AND DATE '{TARGET}'")
+@query(f"WITH {PANEL} SELECT * FROM bars WHERE dt BETWEEN DATE '{TARGET}' - 400 AND DATE '{TARGET}'")
 def s1_read_bars_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written by month and read back through the date window."""
     path = scratch_path(spark, "bars")
-    sinks.write_bars(dense(spark, sf_dir), path)
+    sinks.write_bars(panel(spark, sf_dir), path)
     return readers.read_bars_window(spark, path, TARGET)
 
 
@@ -60,18 +60,22 @@ def s2_bars_from_listing(spark, sf_dir):
 BATCH = "SELECT code, dt, open, high, low, close + 1 AS close, volume FROM bars WHERE dt >= DATE '1999-01-01' AND dt < DATE '2000-01-01'"
 
 
-@query(f"WITH {DENSE}, batch AS ({BATCH}) SELECT * FROM batch UNION ALL SELECT * FROM bars WHERE dt < DATE '1999-06-01'AND (code, dt) NOT IN (SELECT (code, dt) FROM batch)")
+@query(f"WITH {PANEL}, batch AS ({BATCH}) SELECT * FROM batch UNION ALL SELECT * FROM bars WHERE dt < DATE '1999-06-01'AND (code, dt) NOT IN (SELECT (code, dt) FROM batch)")
 def s3_upsert_bars(spark, sf_dir):
-    b = dense(spark, sf_dir)
+    """A year's batch over a stored table: only the batch's months are read and written."""
+    b = panel(spark, sf_dir)
     old = b.where("dt < date'1999-06-01'")
     new = b.where("dt >= date'1999-01-01' and dt < date'2000-01-01'").withColumn("close", F.col("close") + 1)
     twice = new.withColumn("seq", F.lit(2)).unionByName(new.withColumns({"close": F.col("close") + 5, "seq": F.lit(1)}))
-    return store.upsert_bars(old, twice, "seq")
+    path = scratch_path(spark, "store")
+    sinks.write_bars(old, path)
+    sinks.upsert_store(twice, path, "seq")
+    return spark.read.parquet(path).select(*BAR)
 
 
-@query(f"WITH {DENSE} SELECT dt, count(*) AS n_bars, count(*) >= 9 AS complete FROM bars GROUP BY dt")
+@query(f"WITH {PANEL} SELECT dt, count(*) AS n_bars, count(*) >= 9 AS complete FROM bars GROUP BY dt")
 def s4_bars_complete(spark, sf_dir):
-    return store.bars_complete(dense(spark, sf_dir), 9)
+    return store.bars_complete(panel(spark, sf_dir), 9)
 
 
 GAPS = f"""days AS (SELECT CAST(d AS DATE) AS dt FROM generate_series(DATE '{TARGET}' - 20, DATE '{TARGET}' - 1, INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
@@ -79,29 +83,29 @@ short AS (SELECT d.dt, count(b.code) AS n_bars FROM days d LEFT JOIN bars b ON b
 missing AS (SELECT * FROM short WHERE (SELECT count(*) FROM short) <= 14)"""
 
 
-@query(f"WITH {DENSE}, {GAPS} SELECT * FROM missing")
+@query(f"WITH {PANEL}, {GAPS} SELECT * FROM missing")
 def s5_find_missing_days(spark, sf_dir):
-    return store.find_missing_days(dense(spark, sf_dir), TARGET, max_gap_days=14, min_codes=10)
+    return store.find_missing_days(panel(spark, sf_dir), TARGET, max_gap_days=14, min_codes=10)
 
 
 HELD = "SELECT * FROM bars WHERE NOT (dt BETWEEN DATE '1999-06-14' AND DATE '1999-06-20' AND code > '000004')"
 
 
 @query(
-    f"""WITH {DENSE}, held AS ({HELD}), gaps AS (SELECT min(dt) AS a, max(dt) AS b FROM
+    f"""WITH {PANEL}, held AS ({HELD}), gaps AS (SELECT min(dt) AS a, max(dt) AS b FROM
   (SELECT d.dt FROM (SELECT CAST(d AS DATE) AS dt FROM generate_series(DATE '{TARGET}' - 20, DATE '{TARGET}' - 1, INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6) d
    LEFT JOIN held h ON h.dt = d.dt GROUP BY d.dt HAVING count(h.code) < 10))
 SELECT * FROM held UNION ALL SELECT b.* FROM bars b, gaps g WHERE b.dt BETWEEN g.a AND g.b AND (b.code, b.dt) NOT IN (SELECT (code, dt) FROM held)"""
 )
 def s6_backfill_bars(spark, sf_dir):
-    b = dense(spark, sf_dir)
+    b = panel(spark, sf_dir)
     held = b.where("not (dt between date'1999-06-14' and date'1999-06-20' and code > '000004')")
     return store.backfill_bars(held, b, b, store.find_missing_days(held, TARGET, max_gap_days=20, min_codes=10))
 
 
-@query(f"WITH {DENSE} SELECT * FROM bars WHERE dt >= DATE '{TARGET}' - 430")
+@query(f"WITH {PANEL} SELECT * FROM bars WHERE dt >= DATE '{TARGET}' - 430")
 def s7_prune_bars(spark, sf_dir):
-    return store.prune_bars(dense(spark, sf_dir), TARGET)
+    return store.prune_bars(panel(spark, sf_dir), TARGET)
 
 
 @query(
@@ -109,18 +113,18 @@ def s7_prune_bars(spark, sf_dir):
 SELECT code, dt, open, high, low, close, volume FROM kept UNION ALL SELECT code, dt, open, high, low, close, volume FROM today"""
 )
 def s8_sync_bars(spark, sf_dir):
-    b = wide(spark, sf_dir)
+    b = panel(spark, sf_dir)
     return store.sync_bars(b, listing(spark, sf_dir), b, "2002-01-02")
 
 
-CANDLE_LOG = f"WITH {DENSE} SELECT CAST(dt AS VARCHAR) AS date, code, close, volume FROM bars WHERE dt BETWEEN DATE '{TARGET}' - 20 AND DATE '{TARGET}'"
+CANDLE_LOG = f"WITH {PANEL} SELECT CAST(dt AS VARCHAR) AS date, code, close, volume FROM bars WHERE dt BETWEEN DATE '{TARGET}' - 20 AND DATE '{TARGET}'"
 
 
 @query(CANDLE_LOG)
 def s9_read_candle_log(spark, sf_dir):
     """NDJSON with bad lines and bad dates among the rows."""
     path = scratch_path(spark, "log")
-    rows = dense(spark, sf_dir).where(F.col("dt") <= F.lit(TARGET).cast("date")).select(F.col("dt").cast("string").alias("date"), "code", "close", "volume")
+    rows = panel(spark, sf_dir).where(F.col("dt") <= F.lit(TARGET).cast("date")).select(F.col("dt").cast("string").alias("date"), "code", "close", "volume")
     lines = rows.select(F.to_json(F.struct("*")).alias("value"))
     bad = rows.limit(2).select(F.lit("{broken").alias("value")).unionByName(rows.limit(2).select(F.lit('{"date":"soon","code":"x"}').alias("value")))
     lines.unionByName(bad).write.text(path)
@@ -130,7 +134,7 @@ def s9_read_candle_log(spark, sf_dir):
 @query(CANDLE_LOG)
 def s10_prune_candle_log(spark, sf_dir):
     path, out = scratch_path(spark, "log"), scratch_path(spark, "log")
-    dense(spark, sf_dir).where(F.col("dt") <= F.lit(TARGET).cast("date")).select(F.col("dt").cast("string").alias("date"), "code", "close", "volume").write.json(path)
+    panel(spark, sf_dir).where(F.col("dt") <= F.lit(TARGET).cast("date")).select(F.col("dt").cast("string").alias("date"), "code", "close", "volume").write.json(path)
     readers.prune_candle_log(spark, path, out, TARGET)
     return spark.read.schema("date string, code string, close double, volume double").json(out)
 
@@ -150,6 +154,29 @@ def s15_full_universe(spark, sf_dir):
     return uni.full_universe(rows.where("market = 'KOSPI'"), rows.where("market = 'KOSDAQ'")).select("code", "name", "market")
 
 
+def fallback_sql(least: float) -> str:
+    return f"""WITH {LISTING}, full_list AS (SELECT code, name, market FROM listing WHERE market IN ('KOSPI', 'KOSDAQ') AND {KEEP}),
+few AS (SELECT code, name, market FROM listing WHERE market IN ('KOSPI', 'KOSDAQ') AND {KEEP} AND volume * close >= {least})
+SELECT * FROM few UNION ALL SELECT * FROM full_list WHERE (SELECT count(*) FROM few) = 0"""
+
+
+def with_fallback(spark, sf_dir, least):
+    full = uni.full_universe(uni.market_filter(listing(spark, sf_dir), ("KOSPI", "KOSDAQ")))
+    few = uni.prefilter_turnover_change(full, least, -1e9)
+    return uni.with_fallback(few, full).select("code", "name", "market")
+
+
+@query(fallback_sql(20000.0))
+def s15_universe_prefiltered(spark, sf_dir):
+    return with_fallback(spark, sf_dir, 20000.0)
+
+
+@query(fallback_sql(1e15))
+def s15_universe_fallback(spark, sf_dir):
+    """No listing passes the prefilter, so the full list is scanned."""
+    return with_fallback(spark, sf_dir, 1e15)
+
+
 @query(f"WITH {LISTING} SELECT code, market FROM listing WHERE market IN ('KOSPI', 'KOSDAQ', 'KOSDAQ GLOBAL')")
 def p1_market_filter(spark, sf_dir):
     return uni.market_filter(listing(spark, sf_dir)).select("code", "market")
@@ -193,7 +220,7 @@ def p14_trading_day_target(spark, sf_dir):
 CANDLE = f"coalesce(c1 IS NOT NULL AND close * volume >= 30000 AND close >= open * 1.09 AND high >= c1 * 1.15 AND high >= low * 1.15, false)"
 
 
-@query(f"WITH {DENSE}, x AS (SELECT *, {lag_sql('close')} AS c1 FROM bars) SELECT code, dt, {CANDLE} AS candle FROM x")
+@query(f"WITH {PANEL}, x AS (SELECT *, {lag_sql('close')} AS c1 FROM bars) SELECT code, dt, {CANDLE} AS candle FROM x")
 def p5_standard_candle(spark, sf_dir):
     return spark_panel(spark, sf_dir, candle=pat.standard_candle(30000.0))
 
@@ -208,7 +235,7 @@ def p6_ma_alignment(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DENSE}, y AS (SELECT *, {projected_sql(5)} AS p5, {projected_sql(10)} AS p10, {projected_sql(20)} AS p20 FROM bars)
+    f"""WITH {PANEL}, y AS (SELECT *, {projected_sql(5)} AS p5, {projected_sql(10)} AS p10, {projected_sql(20)} AS p20 FROM bars)
 SELECT code, dt, coalesce(close >= p5 * 0.995, false) AS above5, coalesce(close >= p10 * 0.995, false) AS above10, coalesce(close >= p20 * 0.995, false) AS above20, coalesce((close - p10) / close > 0.08, false) AS stretched FROM y"""
 )
 def p7_ma_position_flags(spark, sf_dir):
@@ -229,7 +256,7 @@ def p8_near_ma(spark, sf_dir):
 SELECT code, dt, max(CAST(touch AS INT)) OVER {frame(10)} = 1 AS touched FROM t"""
 )
 def p9_upper_tail_touch(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir)).withColumn("tail_touch", pat.tail_touch_bar())
+    f = numbered(panel(spark, sf_dir)).withColumn("tail_touch", pat.tail_touch_bar())
     return f.select("code", "dt", pat.upper_tail_touch().alias("touched"))
 
 
@@ -244,7 +271,7 @@ SELECT code, dt, round(coalesce(list_filter(m, lambda x: x > 0 AND x <= close)[-
   round(coalesce(list_filter(m, lambda x: x > close)[1], CASE WHEN peak > close THEN peak END, close * 1.1), 6) AS resistance FROM l"""
 )
 def p13_support_resistance(spark, sf_dir):
-    f = features(dense(spark, sf_dir)).withColumn("peak", F.max("high").over(ind.rows(-21, -2)))
+    f = features(panel(spark, sf_dir)).withColumn("peak", F.max("high").over(ind.rows(-21, -2)))
     s, r = pat.support_resistance_role({f"{n}MA": F.col(f"ma{n}") for n in (5, 20, 60, 120)}, F.col("close"), F.col("low"), F.col("peak"))
     return f.select("code", "dt", r6("support", s), r6("resistance", r))
 
@@ -295,7 +322,7 @@ def w8_ma_disparity(spark, sf_dir):
 
 @query(panel_sql(high500=f"max(high) OVER ({OVER} ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)", high400d=f"max(high) OVER ({OVER} RANGE BETWEEN INTERVAL 400 DAY PRECEDING AND CURRENT ROW)", n_bars=f"count(*) OVER ({OVER} RANGE BETWEEN INTERVAL 400 DAY PRECEDING AND CURRENT ROW)"))
 def w9_window_high(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir), 400)
+    f = numbered(panel(spark, sf_dir), 400)
     return f.select("code", "dt", ind.window_high().alias("high500"), ind.window_high(lookback_days=400).alias("high400d"), "n_bars")
 
 
@@ -326,7 +353,7 @@ def w13_breakout_bar(spark, sf_dir):
 
 @query(f"WITH {FEATS}, x AS (SELECT *, {breakout_sql(60)} AS b FROM feats) SELECT code, dt, max(CASE WHEN b THEN bar_no END) OVER {frame(30)} AS last_no, bar_no FROM x", ints=("last_no", "bar_no"))
 def w14_latest_flag_within(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir)).withColumn("b", pat.breakout_bar(60, 20000.0, 1.5))
+    f = numbered(panel(spark, sf_dir)).withColumn("b", pat.breakout_bar(60, 20000.0, 1.5))
     return f.select("code", "dt", pat.latest_flag_within(F.col("b"), [F.col("close")])["bar_no"].alias("last_no"), "bar_no")
 
 
@@ -342,7 +369,7 @@ WHERE n.bar_no = x.bar_no OR x.bar_no - n.bar_no >= 3 OR x.volume < n.volume GRO
     ints=("age",),
 )
 def w16_reference_candle_age(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir)).withColumn("candle", F.when(pat.standard_candle(30000.0), F.struct("bar_no", "volume")))
+    f = numbered(panel(spark, sf_dir)).withColumn("candle", F.when(pat.standard_candle(30000.0), F.struct("bar_no", "volume")))
     f = f.withColumn("recent", pat.candle_ages())
     ref = pat.reference_candle(F.col("recent"), F.col("bar_no"), F.col("volume"))
     return f.select("code", "dt", (F.col("bar_no") - ref["bar_no"]).alias("age")).where("age is not null")
@@ -360,7 +387,7 @@ def w18_weak_rebound(spark, sf_dir):
 
 @query(panel_sql(drying=f"coalesce(avg(volume) OVER {frame(3)} < 0.6 * {lag_sql('volume', 3)}, false)"))
 def w19_volume_drying(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir)).withColumn("cum", F.sum("volume").over(ind.rows(Window.unboundedPreceding, 0)))
+    f = numbered(panel(spark, sf_dir)).withColumn("cum", F.sum("volume").over(ind.rows(Window.unboundedPreceding, 0)))
     return f.select("code", "dt", pat.volume_drying(F.col("cum"), back("cum", 3), F.lit(3), back("volume", 3)).alias("drying"))
 
 
@@ -371,7 +398,7 @@ SELECT code, dt, bar_no - b[2] AS days_ago, b[1] AS base_volume FROM y""",
     ints=("days_ago",),
 )
 def w22_base_candle_recent(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir)).withColumn("base", pat.base_candle_recent(20000.0))
+    f = numbered(panel(spark, sf_dir)).withColumn("base", pat.base_candle_recent(20000.0))
     f = f.withColumn("b", F.max(F.when(F.col("base"), F.struct("volume", "bar_no"))).over(ind.rows(-29, 0)))
     return f.select("code", "dt", (F.col("bar_no") - F.col("b.bar_no")).alias("days_ago"), F.col("b.volume").alias("base_volume"))
 
@@ -383,7 +410,7 @@ z AS (SELECT *, coalesce(bar_no = b[2], false) OR coalesce(ret >= 4 AND ratio >=
 SELECT code, dt, CASE WHEN fresh THEN 'base_today' WHEN dry THEN 'dry_pullback' ELSE 'steady' END AS state, round(CASE WHEN NOT fresh AND dry THEN (1 - volume / b[1]) * 100 END, 6) AS drop FROM z"""
 )
 def w23_volume_state(spark, sf_dir):
-    f = features(dense(spark, sf_dir)).withColumns({"base": pat.base_candle_recent(20000.0), "ratio": ind.volume_ratio()})
+    f = features(panel(spark, sf_dir)).withColumns({"base": pat.base_candle_recent(20000.0), "ratio": ind.volume_ratio()})
     f = f.withColumn("b", F.max(F.when(F.col("base"), F.struct("volume", "bar_no"))).over(ind.rows(-29, 0)))
     state, drop = pat.volume_state(F.col("bar_no") - F.col("b.bar_no"), F.col("b.volume"), F.col("ret"), F.col("ratio"))
     return f.select("code", "dt", state.alias("state"), r6("drop", drop))
@@ -402,7 +429,7 @@ def pattern3_sql(k: int) -> str:
 
 @query(f"WITH {FEATS} SELECT code, dt, CASE WHEN {strong_sql(0)} AND coalesce(high - close >= 0.75 * (close - open), false) THEN 2 {' '.join(map(pattern3_sql, (2, 3, 4)))} ELSE 1 END AS pattern FROM feats")
 def w25_sub_pattern(spark, sf_dir):
-    return features(dense(spark, sf_dir)).select("code", "dt", pat.sub_pattern().alias("pattern"))
+    return features(panel(spark, sf_dir)).select("code", "dt", pat.sub_pattern().alias("pattern"))
 
 
 def completed_sql(k: int) -> str:
@@ -417,17 +444,17 @@ TAIL2 = f"coalesce({lag_sql('high', 2)} - {lag_sql('close', 2)} >= 0.75 * ({lag_
 
 @query(f"WITH {FEATS} SELECT code, dt, CASE WHEN NOT {RESTED} THEN 1 WHEN {strong_sql(2)} AND {TAIL2} THEN 2 {' '.join(map(completed_sql, (3, 4, 5)))} ELSE 1 END AS pattern FROM feats")
 def w26_sub_pattern_completed(spark, sf_dir):
-    return features(dense(spark, sf_dir)).select("code", "dt", pat.sub_pattern_completed().alias("pattern"))
+    return features(panel(spark, sf_dir)).select("code", "dt", pat.sub_pattern_completed().alias("pattern"))
 
 
-@query(f"WITH {DENSE} SELECT dt, count(*) AS n_bars FROM bars GROUP BY dt")
+@query(f"WITH {PANEL} SELECT dt, count(*) AS n_bars FROM bars GROUP BY dt")
 def a1_bars_per_date(spark, sf_dir):
-    return store.bars_per_date(dense(spark, sf_dir))
+    return store.bars_per_date(panel(spark, sf_dir))
 
 
 @query(f"WITH {WIDE} SELECT code, count(*) AS n_bars FROM wide GROUP BY code")
 def a2_bars_per_code(spark, sf_dir):
-    return store.bars_per_code(wide(spark, sf_dir))
+    return store.bars_per_code(panel(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, round(CASE WHEN v IS NULL OR v = 0 THEN 5.0 ELSE v END, 6) AS v FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) END AS v FROM orders)")
@@ -465,9 +492,14 @@ def x7_parse_amount(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", amount.cast("long").alias("amount"), sc.to_base_unit(amount).alias("base"))
 
 
-@query(f"WITH {DENSE} SELECT code, dt, CAST(list_sum(list_transform(string_split(code, ''), lambda x: ascii(x))) AS BIGINT) + CAST(close AS BIGINT) % 997 AS seed FROM bars")
+@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 1000000 AS base FROM orders")
+def x8_to_base_unit(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", sc.to_base_unit(F.floor("o_totalprice"), 1_000_000).alias("base"))
+
+
+@query(f"WITH {PANEL} SELECT code, dt, CAST(list_sum(list_transform(string_split(code, ''), lambda x: ascii(x))) AS BIGINT) + CAST(close AS BIGINT) % 997 AS seed FROM bars")
 def x9_code_seed(spark, sf_dir):
-    return dense(spark, sf_dir).select("code", "dt", sc.code_seed(F.col("code"), F.col("close")).alias("seed"))
+    return panel(spark, sf_dir).select("code", "dt", sc.code_seed(F.col("code"), F.col("close")).alias("seed"))
 
 
 @query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE base64(encode(text)) END AS enc FROM documents")

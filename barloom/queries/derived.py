@@ -1,6 +1,6 @@
 """Inputs that the given tables yield, in Spark and as SQL CTEs of the same rows.
 
-Daily bars come from lineitem: a code is the supplier (dense: its last digit), a day the ship date,
+Daily bars come from lineitem: a code is a supplier, every supplier is one, a day the ship date,
 a price the whole price of a unit, so that sums are exact. Listings come from the last bars.
 """
 
@@ -25,12 +25,7 @@ def bars_of(spark: SparkSession, sf_dir: str, code: Column) -> DataFrame:
     return rows.groupBy("code", "dt").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("q").alias("volume"))
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of ten codes."""
-    return bars_of(spark, sf_dir, F.col("l_suppkey") % 10)
-
-
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of a code for each supplier."""
     return bars_of(spark, sf_dir, F.col("l_suppkey"))
 
@@ -43,7 +38,7 @@ def bars_sql(code: str) -> str:
   GROUP BY code, dt)"""
 
 
-DENSE = "bars AS " + bars_sql("l_suppkey % 10")
+PANEL = "bars AS " + bars_sql("l_suppkey")
 WIDE = "wide AS " + bars_sql("l_suppkey")
 OVER = "PARTITION BY code ORDER BY dt"
 
@@ -68,7 +63,7 @@ def projected_sql(n: int, k: int = 0) -> str:
 
 
 MEANS = (3, 5, 8, 10, 13, 15, 20, 60, 120, 224)
-FEATS = f"""{DENSE},
+FEATS = f"""{PANEL},
 f0 AS (SELECT *, row_number() OVER ({OVER}) AS bar_no, row_number() OVER ({OVER}) AS n_bars,
   {", ".join(f"{mean_sql('close', n)} AS ma{n}" for n in MEANS)},
   {mean_sql('volume', 5)} AS v5, {mean_sql('volume', 20)} AS v20,
@@ -81,7 +76,7 @@ feats AS (SELECT *, {lag_sql('ret')} AS ret1, {lag_sql('v20')} AS v20_1, {lag_sq
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing snapshot: the last bar of each supplier's series, names that the exclusions meet."""
-    b = wide(spark, sf_dir)
+    b = panel(spark, sf_dir)
     series = Window.partitionBy("code").orderBy("dt")
     last = b.withColumn("change", (F.col("close") - F.lag("close").over(series)) / F.lag("close").over(series) * 100)
     last = last.withColumn("__rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("dt")))).where("__rn = 1")
@@ -103,13 +98,18 @@ listing AS (SELECT b.code,
 
 
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A category and subthemes for most codes, from suppliers and their nations."""
+    """A category and subthemes for the suppliers of all regions but one, from their nations."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    joined = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).where("s_suppkey % 10 <> 3 and s_suppkey <= 10")
-    subs = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("alpha"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), F.lit("gamma"))).otherwise(F.array().cast("array<string>"))
-    return joined.select(F.lpad((F.col("s_suppkey") % 10).cast("string"), 6, "0").alias("code"), F.col("n_name").alias("category"), subs.alias("subthemes"))
+    joined = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).where("n_regionkey <> 3")
+    subs = F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("alpha"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), F.lit("gamma"))).otherwise(F.array().cast("array<string>"))
+    return joined.select(supplier_code().alias("code"), F.col("n_name").alias("category"), subs.alias("subthemes"))
+
+
+def supplier_code() -> Column:
+    return F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
 
 
-THEMES = """themes AS (SELECT lpad(CAST(s_suppkey % 10 AS VARCHAR), 6, '0') AS code, n_name AS category,
-  CASE WHEN s_suppkey % 2 = 0 THEN ['alpha', 'region ' || n_regionkey, 'gamma'] ELSE CAST([] AS VARCHAR[]) END AS subthemes
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 3 AND s_suppkey <= 10)"""
+CODE = "lpad(CAST(s_suppkey AS VARCHAR), 6, '0')"
+THEMES = f"""themes AS (SELECT {CODE} AS code, n_name AS category,
+  CASE WHEN s_nationkey % 2 = 0 THEN ['alpha', 'region ' || n_regionkey, 'gamma'] ELSE CAST([] AS VARCHAR[]) END AS subthemes
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 3)"""

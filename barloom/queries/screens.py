@@ -12,7 +12,7 @@ from ..operators import charts, joins, ranking, scans, watchlist
 from ..plans.features import numbered
 from . import query
 from .bars import CANDLE, breakout_sql, near_sql
-from .derived import DENSE, FEATS, LISTING, OVER, THEMES, dense, frame, lag_sql, listing, mean_sql, projected_sql, table, themes
+from .derived import CODE, FEATS, LISTING, OVER, PANEL, THEMES, frame, lag_sql, listing, mean_sql, panel, projected_sql, supplier_code, table, themes
 
 RATE = "round(ret, 6) AS rate"
 
@@ -28,11 +28,11 @@ C5 = pick_sql("n_bars >= 130 AND ret >= 6 AND ret < 300 AND close > open AND vol
 
 
 def c1(spark, sf_dir):
-    return scans.scan_volume_surge(dense(spark, sf_dir), lookback_days=None)
+    return scans.scan_volume_surge(panel(spark, sf_dir), lookback_days=None)
 
 
 def c5(spark, sf_dir):
-    return scans.scan_strong_candle(dense(spark, sf_dir), lookback_days=None, high=300.0, surge=1.5, min_turnover=0.0)
+    return scans.scan_strong_candle(panel(spark, sf_dir), lookback_days=None, high=300.0, surge=1.5, min_turnover=0.0)
 
 
 @query(f"WITH {FEATS} {C1}")
@@ -40,53 +40,89 @@ def c1_scan_volume_surge(spark, sf_dir):
     return c1(spark, sf_dir)
 
 
-MASKED = f"""{DENSE},
+MASKED = f"""{PANEL},
 g0 AS (SELECT *, count(*) OVER ({OVER} RANGE BETWEEN INTERVAL 400 DAY PRECEDING AND CURRENT ROW) AS n_bars, (close - {lag_sql('close')}) / {lag_sql('close')} * 100 AS ret, {mean_sql('volume', 20)} AS v20, {mean_sql('close', 60)} AS ma60, {mean_sql('close', 120)} AS ma120 FROM bars)"""
 
 
 @query(f"WITH {MASKED} " + pick_sql("n_bars >= 224 AND v20 > 0 AND volume >= 1.2 * v20", "yey", source="g0"))
 def c1_scan_volume_surge_400_days(spark, sf_dir):
     """Panel mode with the slice of 400 days that each date would load."""
-    return scans.scan_volume_surge(dense(spark, sf_dir))
+    return scans.scan_volume_surge(panel(spark, sf_dir))
 
 
 LAST = "(SELECT max(dt) FROM bars)"
 
 
 @query(
-    f"""WITH {DENSE}, cut AS (SELECT * FROM bars WHERE dt BETWEEN {LAST} - 400 AND {LAST}),
+    f"""WITH {PANEL}, cut AS (SELECT * FROM bars WHERE dt BETWEEN {LAST} - 400 AND {LAST}),
 f AS (SELECT *, row_number() OVER ({OVER}) AS n_bars, (close - {lag_sql('close')}) / {lag_sql('close')} * 100 AS ret, {mean_sql('volume', 20)} AS v20, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn FROM cut)
 SELECT {LAST} AS scan_date, 'yey' AS strategy, code, CAST(close AS BIGINT) AS close, {RATE}, 'predictive' AS match_type, 'Pattern 1' AS pattern FROM f WHERE rn = 1 AND n_bars >= 30 AND v20 > 0 AND volume >= 0.5 * v20"""
 )
 def c1_scan_as_of(spark, sf_dir):
     """As-of mode at the newest date, a gate of 30 bars and half the usual volume."""
-    b = dense(spark, sf_dir)
+    b = panel(spark, sf_dir)
     day = b.agg(F.max("dt")).first()[0]
     return scans.scan_volume_surge(b, target=str(day or "2001-01-01"), min_bars=30, surge=0.5)
 
 
-@query(
-    f"""WITH {FEATS},
-x AS (SELECT *, {', '.join(f"{breakout_sql(n)} AS x{n}" for n in (60, 120, 224))}, min(low) OVER ({OVER} ROWS BETWEEN 60 PRECEDING AND 3 PRECEDING) AS low60 FROM feats),
+RETEST = f"""x AS (SELECT *, {', '.join(f"{breakout_sql(n)} AS x{n}" for n in (60, 120, 224))}, min(low) OVER ({OVER} ROWS BETWEEN 60 PRECEDING AND 3 PRECEDING) AS low60 FROM feats),
 y AS (SELECT *, {', '.join(f"max(CASE WHEN x{n} THEN row(bar_no, low60) END) OVER {frame(30)} AS b{n}" for n in (60, 120, 224))} FROM x),
 z AS (SELECT *, CASE
  WHEN b120 IS NOT NULL AND ma120 > ma60 AND low >= b120[2] * 0.975 AND close >= 0.95 * ma60 AND close <= 1.05 * ma120 THEN 'Pattern 1'
  WHEN b60 IS NOT NULL AND ma60 > ma20 AND low >= b60[2] * 0.975 AND close >= 0.95 * ma20 AND close <= 1.05 * ma60 THEN 'Pattern 2'
- WHEN b224 IS NOT NULL AND ma224 > ma120 AND low >= b224[2] * 0.975 AND close >= 0.95 * ma120 AND close <= 1.05 * ma224 THEN 'Pattern 3' END AS pattern FROM y)
-{pick_sql("n_bars >= 224 AND win_high >= 1.0 * close AND ma5 > ma20 AND (ma5 >= ma5_1 OR ma20 >= ma20_1) AND pattern IS NOT NULL", "podosi", "pattern", "z")}"""
-)
+ WHEN b224 IS NOT NULL AND ma224 > ma120 AND low >= b224[2] * 0.975 AND close >= 0.95 * ma120 AND close <= 1.05 * ma224 THEN 'Pattern 3' END AS pattern FROM y)"""
+C2 = "n_bars >= {gate} AND win_high >= 1.0 * close AND ma5 > ma20 AND (ma5 >= ma5_1 OR ma20 >= ma20_1) AND pattern IS NOT NULL"
+EASY = {"high_factor": 1.0, "breakout_turnover": 20000.0, "breakout_surge": 1.5}
+
+
+@query(f"WITH {FEATS}, {RETEST} {pick_sql(C2.format(gate=224), 'podosi', 'pattern', 'z')}")
 def c2_scan_breakout_retest(spark, sf_dir):
-    return scans.scan_breakout_retest(dense(spark, sf_dir), lookback_days=None, high_factor=1.0, breakout_turnover=20000.0, breakout_surge=1.5)
+    return scans.scan_breakout_retest(panel(spark, sf_dir), lookback_days=None, **EASY)
+
+
+def as_of_sql(days: int, pick: str, source: str = "feats", more: str = "") -> str:
+    """The picks of the last bars in the slice of days up to the newest date; pick reads from lastrow."""
+    cut = f"bars AS (SELECT * FROM allbars WHERE dt BETWEEN (SELECT max(dt) FROM allbars) - {days} AND (SELECT max(dt) FROM allbars)),\nf0 AS ("
+    feats = FEATS.replace("bars AS ", "allbars AS ", 1).replace("f0 AS (", cut, 1)
+    return f"WITH {feats}{more}, lastrow AS (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) = 1) SELECT * REPLACE ({LAST} AS scan_date) FROM ({pick})"
+
+
+def newest(bars):
+    return str(bars.agg(F.max("dt")).first()[0] or "2001-01-01")
+
+
+@query(as_of_sql(1200, pick_sql(C2.format(gate=130), "podosi", "pattern", "lastrow"), "z", ", " + RETEST))
+def c2_scan_as_of(spark, sf_dir):
+    b = panel(spark, sf_dir)
+    return scans.scan_breakout_retest(b, target=newest(b), lookback_days=1200, min_bars=130, **EASY)
+
+
+@query(as_of_sql(1200, C3.replace("FROM feats", "FROM lastrow")))
+def c3_scan_as_of(spark, sf_dir):
+    b = panel(spark, sf_dir)
+    return scans.scan_ma60_rule(b, target=newest(b), lookback_days=1200)
+
+
+@query(as_of_sql(400, C4.replace("FROM feats", "FROM lastrow").replace("n_bars >= 140", "n_bars >= 30")))
+def c4_scan_as_of(spark, sf_dir):
+    b = panel(spark, sf_dir)
+    return scans.scan_surge_then_rest(b, target=newest(b), min_bars=30, high=300.0, surge=1.2)
+
+
+@query(as_of_sql(400, C5.replace("FROM feats", "FROM lastrow").replace("n_bars >= 130", "n_bars >= 30")))
+def c5_scan_as_of(spark, sf_dir):
+    b = panel(spark, sf_dir)
+    return scans.scan_strong_candle(b, target=newest(b), min_bars=30, high=300.0, surge=1.5, min_turnover=0.0)
 
 
 @query(f"WITH {FEATS} {C3}")
 def c3_scan_ma60_rule(spark, sf_dir):
-    return scans.scan_ma60_rule(dense(spark, sf_dir), lookback_days=None)
+    return scans.scan_ma60_rule(panel(spark, sf_dir), lookback_days=None)
 
 
 @query(f"WITH {FEATS} {C4}")
 def c4_scan_surge_then_rest(spark, sf_dir):
-    return scans.scan_surge_then_rest(dense(spark, sf_dir), lookback_days=None, high=300.0, surge=1.2)
+    return scans.scan_surge_then_rest(panel(spark, sf_dir), lookback_days=None, high=300.0, surge=1.2)
 
 
 @query(f"WITH {FEATS} {C5}")
@@ -106,32 +142,42 @@ p{label} AS (SELECT w.dt AS scan_date, {label} AS candle_class, w.code, w.bar_no
   round(CASE WHEN w.v20 > 0 THEN w.volume / w.v20 * 100 ELSE 100 END, 6) AS vol_ratio, round(w.volume / n.volume * 100, 6) AS vol_change_ratio, round(CASE WHEN w.ma5 > 0 THEN abs(w.ma3 - w.ma5) / w.ma5 * 100 ELSE 0 END, 6) AS ma3_ma5_disparity,
   coalesce(w.v5 > w.v20, false) AS vol_trend_up, w.bar_no > n.bar_no AND (w.cum - n.cum) / (w.bar_no - n.bar_no) < 0.6 * n.volume AS vol_drying_ok,
   coalesce(w.ma3 > w.ma5 AND w.ma5 > w.ma20, false) AS is_bullish_alignment, (w.bar_no - n.bar_no = 1 AND w.open > n.close) OR (w.bar_no - n.bar_no = 2 AND w.o1 > n.close) AS is_gap_up,
-  w.bar_no - n.bar_no = 2 AND w.weak AS has_weak_ma3_rebound, n.dt AS ref_date, round(w.p3, 6) AS p3, round(w.p8, 6) AS p8
+  w.bar_no - n.bar_no = 2 AND w.weak AS has_weak_ma3_rebound, n.dt AS ref_date, round(w.p3, 6) AS p3, round(w.p8, 6) AS p8, {', '.join(f"CASE WHEN coalesce(w.p{k} > w.ma{k}, false) THEN 'up' ELSE 'down' END AS t{k}" for k in (3, 5, 8, 20))}
   FROM w JOIN r{label} r USING (code, bar_no) JOIN {n} n ON n.code = w.code AND n.bar_no = coalesce(r.today, r.older)
   WHERE w.n_bars >= 80 AND (w.bar_no - n.bar_no < 3 OR {near_sql('w.close', 'w.ma15')} OR {near_sql('w.low', 'w.ma15')} OR {near_sql('w.close', 'w.ma20')} OR {near_sql('w.low', 'w.ma20')}))"""
 
 
 W = f"""{FEATS}, w AS (SELECT *, CAST(max(high) OVER ({OVER} ROWS BETWEEN 60 PRECEDING AND 2 PRECEDING) AS BIGINT) AS peak, sum(volume) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-  coalesce(({lag_sql('high', 1)} - {lag_sql('close', 2)}) / {lag_sql('close', 2)} * 100 < 3.5, false) AS weak, {projected_sql(3)} AS p3, {projected_sql(8)} AS p8 FROM feats)"""
+  coalesce(({lag_sql('high', 1)} - {lag_sql('close', 2)}) / {lag_sql('close', 2)} * 100 < 3.5, false) AS weak, {projected_sql(3)} AS p3, {projected_sql(5)} AS p5, {projected_sql(8)} AS p8, {projected_sql(20)} AS p20 FROM feats)"""
+
+
+#: Of every bar the pivots of the last 40 bars: three highest near or below the close, and the line of the last two.
+PIVOTS = f"""v AS (SELECT *, row_number() OVER ({OVER}) AS bar_no, lag(low, 1) OVER ({OVER}) AS a1, lag(low, 2) OVER ({OVER}) AS a2, lead(low, 1) OVER ({OVER}) AS z1, lead(low, 2) OVER ({OVER}) AS z2 FROM bars),
+five AS (SELECT * FROM v WHERE low < a1 AND low < a2 AND low < z1 AND low < z2), three AS (SELECT * FROM v WHERE low < a1 AND low < z1),
+sup AS (SELECT v.code, v.dt, coalesce(list(p.low ORDER BY p.low DESC) FILTER (WHERE p.low < v.close * 1.01), [])[1:3] AS h_supports FROM v LEFT JOIN five p ON p.code = v.code AND p.bar_no BETWEEN v.bar_no - 37 AND v.bar_no - 2 GROUP BY v.code, v.dt),
+l AS (SELECT v.code, v.dt, v.bar_no, list(row(p.bar_no, p.low) ORDER BY p.bar_no DESC) AS r FROM v JOIN three p ON p.code = v.code AND p.bar_no BETWEEN v.bar_no - 37 AND v.bar_no - 2 GROUP BY v.code, v.dt, v.bar_no),
+line AS (SELECT code, dt, round_even(r[1][2] + (r[1][2] - r[2][2]) / (r[1][1] - r[2][1]) * (bar_no - r[1][1]), 0) AS trendline_support FROM l WHERE len(r) >= 2 AND r[1][2] > r[2][2])"""
+SUPPORTED = "SELECT p.*, sup.h_supports, line.trendline_support FROM {} p JOIN sup ON sup.code = p.code AND sup.dt = p.scan_date LEFT JOIN line ON line.code = p.code AND line.dt = p.scan_date"
 
 
 def flat(df):
-    return df.withColumns({"p3": F.round("expected_ma.ma3", 6), "p8": F.round("expected_ma.ma8", 6)}).drop("h_supports", "trendline_support", "expected_ma")
+    return df.withColumns({"p3": F.round("expected_ma.ma3", 6), "p8": F.round("expected_ma.ma8", 6)} | {f"t{n}": F.col(f"expected_ma.ma{n}_trend") for n in (3, 5, 8, 20)}).drop("expected_ma")
 
 
-@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT * FROM p500", ints=("day_type",))
+@query(f"WITH {W}, {candle_sql(500, 30000.0)}, {PIVOTS} {SUPPORTED.format('p500')}", ints=("day_type",))
 def c6_scan_standard_candle(spark, sf_dir):
-    return flat(scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None))
+    return flat(scans.scan_standard_candle(panel(spark, sf_dir), min_turnover=30000.0, lookback_days=None))
 
 
 @query(
-    f"""WITH {W}, {candle_sql(500, 60000.0)}, {candle_sql(150, 30000.0)},
-u AS (SELECT * FROM p500 UNION ALL SELECT * FROM p150 WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM p500))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM u) WHERE pos <= 3""",
+    f"""WITH {W}, {candle_sql(500, 60000.0)}, {candle_sql(150, 30000.0)}, {PIVOTS},
+u AS (SELECT * FROM p500 UNION ALL SELECT * FROM p150 WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM p500)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM u) WHERE pos <= 3)
+{SUPPORTED.format('k')}""",
     ints=("day_type", "pos"),
 )
 def c7_scan_integrated(spark, sf_dir):
-    return flat(scans.scan_integrated(dense(spark, sf_dir), high_turnover=60000.0, low_turnover=30000.0, n=3, lookback_days=None))
+    return flat(scans.scan_integrated(panel(spark, sf_dir), high_turnover=60000.0, low_turnover=30000.0, n=3, lookback_days=None))
 
 
 @query(
@@ -142,7 +188,7 @@ SELECT dt AS scan_date, code, CAST(close AS BIGINT) AS close, CAST(low AS BIGINT
 FROM y WHERE n_bars >= 25 AND ref_date IS NOT NULL AND NOT cand AND (near15 OR near20)"""
 )
 def c8_scan_near_ma(spark, sf_dir):
-    return scans.scan_near_ma(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
+    return scans.scan_near_ma(panel(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
 
 
 ANCHORS = f"SELECT code, min(scan_date) AS anchor_date, arg_min(close, scan_date) AS anchor_close FROM ({C1}) GROUP BY code"
@@ -171,12 +217,12 @@ SELECT t.dt AS scan_date, t.code, 'n' || t.code AS name, CAST(t.close AS BIGINT)
 FROM t JOIN a ON a.code = t.code JOIN feats b ON b.code = a.code AND b.dt = a.anchor_date WHERE t.n_bars >= 25 AND t.touched_ma IS NOT NULL AND t.dt - a.anchor_date BETWEEN 1 AND 35"""
 )
 def c9_scan_tracked_pullback(spark, sf_dir):
-    return watchlist.scan_tracked_pullback(dense(spark, sf_dir), anchors(spark, sf_dir), lookback_days=None)
+    return watchlist.scan_tracked_pullback(panel(spark, sf_dir), anchors(spark, sf_dir), lookback_days=None)
 
 
 @query(f"WITH {FEATS}, a AS ({ANCHORS}) SELECT t.code, t.dt, CAST(t.bar_no - b.bar_no AS INT) AS elapsed FROM feats t JOIN a ON a.code = t.code AND t.dt > a.anchor_date JOIN feats b ON b.code = a.code AND b.dt = a.anchor_date")
 def w24_bars_elapsed(spark, sf_dir):
-    return watchlist.bars_elapsed(dense(spark, sf_dir), anchors(spark, sf_dir)).select("code", "dt", F.col("elapsed").cast("int").alias("elapsed"))
+    return watchlist.bars_elapsed(panel(spark, sf_dir), anchors(spark, sf_dir)).select("code", "dt", F.col("elapsed").cast("int").alias("elapsed"))
 
 
 CLOSE = "close"
@@ -190,7 +236,7 @@ review AS (SELECT c.scan_date, h.dt AS review_date, c.strategy, h.code, round((h
 
 
 def review(spark, sf_dir):
-    return watchlist.review_previous_picks(dense(spark, sf_dir), c1(spark, sf_dir))
+    return watchlist.review_previous_picks(panel(spark, sf_dir), c1(spark, sf_dir))
 
 
 @query(f"WITH {FEATS}, {REVIEW} SELECT * FROM review")
@@ -203,29 +249,19 @@ def a5_hit_split(spark, sf_dir):
     return watchlist.hit_split(review(spark, sf_dir))
 
 
-@query(f"WITH {DENSE} SELECT max(dt) AS previous_day FROM bars WHERE code = '000003' AND dt < DATE '1999-06-30'")
+@query(f"WITH {PANEL} SELECT max(dt) AS previous_day FROM bars WHERE code = '000003' AND dt < DATE '1999-06-30'")
 def w27_previous_trading_day(spark, sf_dir):
-    return watchlist.previous_trading_day(dense(spark, sf_dir), "1999-06-30", "000003")
-
-
-PIVOTS = f"""{DENSE}, v AS (SELECT *, row_number() OVER ({OVER}) AS bar_no, lag(low, 1) OVER ({OVER}) AS a1, lag(low, 2) OVER ({OVER}) AS a2, lead(low, 1) OVER ({OVER}) AS z1, lead(low, 2) OVER ({OVER}) AS z2 FROM bars)"""
+    return watchlist.previous_trading_day(panel(spark, sf_dir), "1999-06-30", "000003")
 
 
-@query(
-    f"""WITH {PIVOTS}, p AS (SELECT * FROM v WHERE low < a1 AND low < a2 AND low < z1 AND low < z2)
-SELECT v.code, v.dt, coalesce(list(p.low ORDER BY p.low DESC) FILTER (WHERE p.low < v.close * 1.01), [])[1:3] AS h_supports FROM v LEFT JOIN p ON p.code = v.code AND p.bar_no BETWEEN v.bar_no - 37 AND v.bar_no - 2 GROUP BY v.code, v.dt"""
-)
+@query(f"WITH {PANEL}, {PIVOTS} SELECT code, dt, h_supports FROM sup")
 def w20_pivot_supports(spark, sf_dir):
-    return scans.supports(numbered(dense(spark, sf_dir))).select("code", "dt", "h_supports")
+    return scans.supports(numbered(panel(spark, sf_dir))).select("code", "dt", "h_supports")
 
 
-@query(
-    f"""WITH {PIVOTS}, p AS (SELECT * FROM v WHERE low < a1 AND low < z1),
-l AS (SELECT v.code, v.dt, v.bar_no, list(row(p.bar_no, p.low) ORDER BY p.bar_no DESC) AS r FROM v JOIN p ON p.code = v.code AND p.bar_no BETWEEN v.bar_no - 37 AND v.bar_no - 2 GROUP BY v.code, v.dt, v.bar_no)
-SELECT code, dt, round_even(r[1][2] + (r[1][2] - r[2][2]) / (r[1][1] - r[2][1]) * (bar_no - r[1][1]), 0) AS trendline_support FROM l WHERE len(r) >= 2 AND r[1][2] > r[2][2]"""
-)
+@query(f"WITH {PANEL}, {PIVOTS} SELECT code, dt, trendline_support FROM line")
 def w21_trendline_support(spark, sf_dir):
-    return scans.supports(numbered(dense(spark, sf_dir))).select("code", "dt", "trendline_support").where("trendline_support is not null")
+    return scans.supports(numbered(panel(spark, sf_dir))).select("code", "dt", "trendline_support").where("trendline_support is not null")
 
 
 def chart_sql(means: tuple[int, ...], least: int) -> str:
@@ -235,7 +271,7 @@ def chart_sql(means: tuple[int, ...], least: int) -> str:
         if n == 224 and least == 5:
             mean = f"CASE WHEN n < 224 AND bar_no = n THEN avg_all ELSE {mean} END"
         cols.append(f"round({mean}, 6) AS ma{n}")
-    return f"""WITH {DENSE}, b AS (SELECT *, row_number() OVER ({OVER}) AS bar_no, count(*) OVER (PARTITION BY code) AS n, avg(close) OVER (PARTITION BY code) AS avg_all FROM bars),
+    return f"""WITH {PANEL}, b AS (SELECT *, row_number() OVER ({OVER}) AS bar_no, count(*) OVER (PARTITION BY code) AS n, avg(close) OVER (PARTITION BY code) AS avg_all FROM bars),
 m AS (SELECT *, {', '.join(cols)} FROM b)
 SELECT code, dt, CAST(bar_no - greatest(n - 40, 0) - 1 AS INT) AS x, open, high, low, close, volume, {', '.join(f'ma{n}' for n in means)}, close >= open AS up, least(open, close) AS body_bottom,
   CASE WHEN close = open THEN 1.0::DOUBLE ELSE abs(close - open) END AS body_height, CASE WHEN (bar_no - greatest(n - 40, 0) - 1) % 5 = 0 THEN strftime(dt, '%m-%d') ELSE '' END AS label FROM m WHERE n >= {least} AND bar_no > n - 40"""
@@ -243,30 +279,30 @@ SELECT code, dt, CAST(bar_no - greatest(n - 40, 0) - 1 AS INT) AS x, open, high,
 
 @query(chart_sql((5, 10, 20, 60, 120, 224), 40))
 def w28_chart_feed_report(spark, sf_dir):
-    return charts.chart_feed_report(dense(spark, sf_dir))
+    return charts.chart_feed_report(panel(spark, sf_dir))
 
 
 @query(chart_sql((3, 5, 8, 20, 60, 120, 224), 5))
 def w29_chart_feed_candle(spark, sf_dir):
-    return charts.chart_feed_candle(dense(spark, sf_dir))
+    return charts.chart_feed_candle(panel(spark, sf_dir))
 
 
-@query(f"WITH {FEATS} SELECT f.* FROM ({C1}) f WHERE code IN (SELECT lpad(CAST(s_suppkey % 10 AS VARCHAR), 6, '0') FROM supplier WHERE s_suppkey <= 4)")
+@query(f"WITH {FEATS} SELECT f.* FROM ({C1}) f WHERE code IN (SELECT {CODE} FROM supplier WHERE s_acctbal >= 0)")
 def j1_universe_bars(spark, sf_dir):
     """The universe meets the bars before the windows."""
-    few = table(spark, sf_dir, "supplier").where("s_suppkey <= 4").select(F.lpad((F.col("s_suppkey") % 10).cast("string"), 6, "0").alias("code"))
-    return scans.scan_volume_surge(dense(spark, sf_dir), few, lookback_days=None)
+    solvent = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(supplier_code().alias("code"))
+    return scans.scan_volume_surge(panel(spark, sf_dir), solvent, lookback_days=None)
 
 
 @query(f"WITH {FEATS}, a AS ({ANCHORS}) SELECT t.code, t.dt, a.anchor_date FROM bars t JOIN a ON a.code = t.code AND t.dt - a.anchor_date BETWEEN 1 AND 35")
 def j2_watchlist_bars(spark, sf_dir):
     known = anchors(spark, sf_dir).select("code", "anchor_date")
-    return dense(spark, sf_dir).join(known, "code").where(F.datediff("dt", "anchor_date").between(1, 35)).select("code", "dt", "anchor_date")
+    return panel(spark, sf_dir).join(known, "code").where(F.datediff("dt", "anchor_date").between(1, 35)).select("code", "dt", "anchor_date")
 
 
 @query(f"WITH {FEATS}, p AS ({C5}) SELECT p.scan_date, p.code, f.dt AS next_day, f.close AS next_close FROM p JOIN (SELECT *, {lag_sql('dt')} AS d1 FROM feats) f ON f.code = p.code AND f.d1 = p.scan_date")
 def j3_picks_next_bar(spark, sf_dir):
-    nxt = numbered(dense(spark, sf_dir)).withColumn("scan_date", back("dt")).select("code", "scan_date", F.col("dt").alias("next_day"), F.col("close").alias("next_close"))
+    nxt = numbered(panel(spark, sf_dir)).withColumn("scan_date", back("dt")).select("code", "scan_date", F.col("dt").alias("next_day"), F.col("close").alias("next_close"))
     return c5(spark, sf_dir).select("code", "scan_date").join(nxt, ["code", "scan_date"])
 
 
@@ -278,9 +314,9 @@ def j4_theme_join(spark, sf_dir):
     return joins.theme_join(c5(spark, sf_dir), themes(spark, sf_dir)).select("scan_date", "code", "category", "subthemes", "detail_theme")
 
 
-@query(f"WITH {FEATS} SELECT p.scan_date, p.code, coalesce(s.s_name, 'unknown') AS name FROM ({C5}) p LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey BETWEEN 1 AND 6) s ON lpad(CAST(s.s_suppkey AS VARCHAR), 6, '0') = p.code")
+@query(f"WITH {FEATS} SELECT p.scan_date, p.code, coalesce(s.s_name, 'unknown') AS name FROM ({C5}) p LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) s ON {CODE} = p.code")
 def j5_name_join(spark, sf_dir):
-    names = table(spark, sf_dir, "supplier").where("s_suppkey between 1 and 6").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_name").alias("name"))
+    names = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(supplier_code().alias("code"), F.col("s_name").alias("name"))
     return joins.name_join(c5(spark, sf_dir).withColumn("name", F.lit("unknown")), names).select("scan_date", "code", "name")
 
 
@@ -301,42 +337,47 @@ def j7_corp_join(spark, sf_dir):
 
 @query(f"WITH {W}, {candle_sql(500, 60000.0)}, {candle_sql(150, 30000.0)} SELECT scan_date, code, candle_class FROM p500 UNION ALL SELECT scan_date, code, candle_class FROM p150 WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM p500)")
 def j8_integrate(spark, sf_dir):
-    f = scans.supports(scans.candle_features(dense(spark, sf_dir), {500: 60000.0, 150: 30000.0}, None))
-    return scans.integrate(scans.candle_picks(f, 500), scans.candle_picks(f, 150)).select("scan_date", "code", "candle_class")
+    f = scans.supports(scans.candle_features(panel(spark, sf_dir), {500: 60000.0, 150: 30000.0}, None))
+    return scans.candle_picks(f, 500, 150).select("scan_date", "code", "candle_class")
 
 
 @query(f"WITH {FEATS}, a AS ({C5}), b AS ({C4}) SELECT scan_date, code, strategy FROM a UNION ALL SELECT scan_date, code, strategy FROM b WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM a)")
 def j9_append_tracked(spark, sf_dir):
-    rest = scans.scan_surge_then_rest(dense(spark, sf_dir), lookback_days=None, high=300.0, surge=1.2)
+    rest = scans.scan_surge_then_rest(panel(spark, sf_dir), lookback_days=None, high=300.0, surge=1.2)
     return watchlist.append_tracked(c5(spark, sf_dir), rest).select("scan_date", "code", "strategy")
 
 
 @query(
-    f"""WITH {THEMES}, c AS (SELECT DISTINCT lpad(CAST(s_suppkey % 10 AS VARCHAR), 6, '0') AS code FROM supplier)
-SELECT c.code, CASE WHEN t.code IS NOT NULL THEN array_to_string(list_concat([t.category], t.subthemes)[1:4], ', ') WHEN c.code = '000003' THEN 'manual' ELSE '기타' END AS themes FROM c LEFT JOIN themes t USING (code)"""
+    f"""WITH {THEMES}, c AS (SELECT {CODE} AS code, s_acctbal FROM supplier)
+SELECT c.code, CASE WHEN t.code IS NOT NULL THEN array_to_string(list_concat([t.category], t.subthemes)[1:4], ', ') WHEN s_acctbal >= 0 THEN 'manual' ELSE '기타' END AS themes FROM c LEFT JOIN themes t USING (code)"""
 )
 def j13_stock_themes(spark, sf_dir):
-    codes = table(spark, sf_dir, "supplier").select(F.lpad((F.col("s_suppkey") % 10).cast("string"), 6, "0").alias("code")).distinct()
-    manual = codes.where("code = '000003'").withColumn("tags", F.array(F.lit("manual")))
-    return joins.stock_themes(codes, themes(spark, sf_dir), manual)
+    s = table(spark, sf_dir, "supplier").select(supplier_code().alias("code"), "s_acctbal")
+    manual = s.where("s_acctbal >= 0").select("code", F.array(F.lit("manual")).alias("tags"))
+    return joins.stock_themes(s.select("code"), themes(spark, sf_dir), manual)
 
 
-@query(f"WITH {FEATS}, p AS ({C1} UNION ALL {C5}) SELECT strategy, count(*) AS picks, count(*) FILTER (WHERE code > '000004') AS with_chart, count(*) FILTER (WHERE rate > 0) AS with_comment FROM p GROUP BY strategy")
+@query(f"WITH {FEATS}, p AS ({C1} UNION ALL {C5}) SELECT strategy, count(*) AS picks, count(*) FILTER (WHERE rate > 1) AS with_chart, count(*) FILTER (WHERE rate > 0) AS with_comment FROM p GROUP BY strategy")
 def a4_strategy_totals(spark, sf_dir):
-    p = c1(spark, sf_dir).unionByName(c5(spark, sf_dir)).withColumns({"chart": F.when(F.col("code") > "000004", "x"), "comment": F.when(F.col("rate") > 0, "up").otherwise("")})
+    p = c1(spark, sf_dir).unionByName(c5(spark, sf_dir)).withColumns({"chart": F.when(F.col("rate") > 1, "x"), "comment": F.when(F.col("rate") > 0, "up").otherwise("")})
     return ranking.strategy_totals(p)
 
 
 @query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT candle_class, day_type, count(*) AS n FROM p500 GROUP BY candle_class, day_type", ints=("day_type",))
 def a7_scan_summary(spark, sf_dir):
-    return ranking.scan_summary(scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None), ["candle_class", "day_type"])
+    return ranking.scan_summary(scans.scan_standard_candle(panel(spark, sf_dir), min_turnover=30000.0, lookback_days=None), ["candle_class", "day_type"])
 
 
-@query(f"WITH {W}, {candle_sql(500, 60000.0)} SELECT scan_date, code, day_type, vol_ratio, row_number() OVER (ORDER BY day_type, vol_ratio DESC, code, scan_date) AS n FROM p500 QUALIFY n <= 20", ints=("day_type", "n"))
+@query(f"WITH {W}, {candle_sql(500, 60000.0)} SELECT scan_date, code, day_type, vol_ratio FROM p500", ints=("day_type",))
 def o1_candle_sort(spark, sf_dir):
-    rows = scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=60000.0, lookback_days=None).select("scan_date", "code", "day_type", "vol_ratio")
-    top = scans.candle_sort(rows).orderBy("day_type", F.desc("vol_ratio"), "code", "scan_date").limit(20)
-    return top.withColumn("n", F.row_number().over(Window.orderBy("day_type", F.desc("vol_ratio"), "code", "scan_date")))
+    """Rows come in the order; a test looks at it."""
+    return scans.candle_sort(scans.scan_standard_candle(panel(spark, sf_dir), min_turnover=60000.0, lookback_days=None)).select("scan_date", "code", "day_type", "vol_ratio")
+
+
+@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT * FROM (SELECT scan_date, code, candle_class, day_type, vol_ratio, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM p500) WHERE pos <= 2", ints=("day_type", "pos"))
+def o2_priority_cut(spark, sf_dir):
+    rows = scans.scan_standard_candle(panel(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
+    return scans.priority_cut(rows.select("scan_date", "code", "candle_class", "day_type", "vol_ratio"), 2)
 
 
 @query(f"WITH {FEATS}, p AS ({C1}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM p) WHERE rank <= 3", ints=("rank",))
@@ -352,7 +393,7 @@ SELECT scan_date, code, strategy, CASE WHEN n > 4 THEN b ELSE a END AS rank FROM
     ints=("rank",),
 )
 def o4_report_order(spark, sf_dir):
-    both = c1(spark, sf_dir).unionByName(scans.scan_ma60_rule(dense(spark, sf_dir), lookback_days=None))
+    both = c1(spark, sf_dir).unionByName(scans.scan_ma60_rule(panel(spark, sf_dir), lookback_days=None))
     one = joins.dedup_first(both, ["scan_date", "code"], ["strategy"])
     return ranking.report_order(one, 4, ("scan_date",)).select("scan_date", "code", "strategy", "rank")
 
@@ -370,10 +411,22 @@ def t8_keep_newest_dates(spark, sf_dir):
 
 @query(f"WITH {FEATS}, p AS ({C1}) SELECT * REPLACE (DATE '2030-01-01' AS scan_date) FROM p WHERE scan_date = (SELECT max(scan_date) FROM p)")
 def t9_carry_forward(spark, sf_dir):
+    """Nothing today: the newest stored date's picks."""
     picks = c1(spark, sf_dir)
     return ranking.carry_forward(picks, picks.where("scan_date > date'2029-01-01'"), day="2030-01-01")
 
 
+CARRY = f"h AS ({C1} UNION ALL {C3} UNION ALL {C5}), l AS (SELECT * FROM h WHERE scan_date = (SELECT max(scan_date) FROM h))"
+
+
+@query(f"WITH {FEATS}, {CARRY} SELECT * FROM l WHERE strategy = 'yey' UNION ALL SELECT * FROM l WHERE strategy = 'ma60_rule'")
+def t9_carry_forward_one_strategy(spark, sf_dir):
+    """Today has volume surges only; of the two others one is carried, from the newest stored date."""
+    history = c1(spark, sf_dir).unionByName(scans.scan_ma60_rule(panel(spark, sf_dir), lookback_days=None)).unionByName(c5(spark, sf_dir))
+    today = history.join(F.broadcast(history.agg(F.max("scan_date").alias("scan_date"))), "scan_date", "left_semi").where("strategy = 'yey'")
+    return ranking.carry_forward(history, today, strategies=["ma60_rule", "yey"])
+
+
 @query(f"WITH {FEATS}, a AS ({C1}), b AS ({C5}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE scan_date NOT IN (SELECT scan_date FROM b)")
 def t10_replace_date_slice(spark, sf_dir):
     return ranking.replace_date_slice(c1(spark, sf_dir), c5(spark, sf_dir))
@@ -398,13 +451,18 @@ def u3_ordered_distinct_tags(spark, sf_dir):
     return grouped.select("conv_id", F.array_distinct(F.transform("t", lambda x: x["role"])).alias("tags"))
 
 
+@query(f"WITH {FEATS}, a AS ({C5}), b AS ({C1}) SELECT scan_date, code, strategy FROM a UNION ALL SELECT scan_date, code, strategy FROM b WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM a)")
+def u4_union_with_anti(spark, sf_dir):
+    return scans.integrate(c5(spark, sf_dir), c1(spark, sf_dir)).select("scan_date", "code", "strategy")
+
+
 @query(f"WITH {FEATS}, a AS ({C1}), b AS ({C5}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE (code, scan_date) NOT IN (SELECT (code, scan_date) FROM b)")
 def u5_merge_keyed(spark, sf_dir):
     return joins.merge_keyed(c1(spark, sf_dir), c5(spark, sf_dir), ["code", "scan_date"])
 
 
-@query(f"WITH {DENSE} SELECT code, dt, array_to_string(list_filter([{TOUCH}], lambda x: x IS NOT NULL), ', ') AS touches FROM (SELECT *, {', '.join(f'{mean_sql(CLOSE, k)} AS ma{k}' for k in (5, 10, 13, 20, 60, 120))} FROM bars)")
+@query(f"WITH {PANEL} SELECT code, dt, array_to_string(list_filter([{TOUCH}], lambda x: x IS NOT NULL), ', ') AS touches FROM (SELECT *, {', '.join(f'{mean_sql(CLOSE, k)} AS ma{k}' for k in (5, 10, 13, 20, 60, 120))} FROM bars)")
 def x12_touch_list(spark, sf_dir):
-    f = numbered(dense(spark, sf_dir)).withColumns({f"ma{k}": ind.sma(k) for k in (5, 10, 13, 20, 60, 120)})
+    f = numbered(panel(spark, sf_dir)).withColumns({f"ma{k}": ind.sma(k) for k in (5, 10, 13, 20, 60, 120)})
     return f.select("code", "dt", F.concat_ws(", ", touch_list(F.col("low"), {f"{k}MA": F.col(f"ma{k}") for k in (5, 10, 13, 20, 60, 120)}, 0.015)).alias("touches"))
 

@@ -14,7 +14,7 @@ from ..scratch import scratch_path
 from ..sources import readers, sinks
 from . import query
 from .bars import CANDLE, near_sql
-from .derived import FEATS, LISTING, OVER, THEMES, dense, lag_sql, listing, projected_sql, table, themes
+from .derived import FEATS, LISTING, OVER, THEMES, lag_sql, listing, panel, projected_sql, supplier_code, table, themes
 from .screens import C1, C5, REVIEW, W, c1, c5, candle_sql, review
 
 
@@ -23,22 +23,20 @@ def news_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")), "yyyy.MM.dd")
     path = F.concat(F.lit("/news/"), F.when(F.col("doc_id") % 3 == 0, F.lit("evening")).otherwise(day), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md"))
-    stock = lambda k: F.concat(F.lit("stock"), ((F.col("doc_id") * k) % 13).cast("string"))
+    stock = lambda k: F.concat(F.lit("stock"), ((F.col("doc_id") * k) % 1000).cast("string"))
     text = F.concat(F.lit("date: "), day, F.lit("\n### "), "source", F.lit("\n#### "), stock(1), F.lit(" (+1.5%), "), stock(3), F.lit(" (-2%)\n"), F.coalesce("text", F.lit("")), F.lit("\n### later\n"))
     return d.select(path.alias("path"), text.alias("text"), "doc_id")
 
 
 def stock_names(spark, sf_dir):
-    """Names of ten codes, and aliases of two more."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 10")
-    names = s.select(F.concat(F.lit("stock"), (F.col("s_suppkey") - 1).cast("string")).alias("name"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_suppkey").alias("pos"))
-    aliases = s.where("s_suppkey <= 2").select(F.concat(F.lit("stock"), (F.col("s_suppkey") + 9).cast("string")).alias("alias"), F.lpad((F.col("s_suppkey") + 10).cast("string"), 6, "0").alias("code"))
-    return names, aliases
+    """Names of the suppliers in credit, aliases of the others."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("stock"), (F.col("s_suppkey") - 1).cast("string")).alias("name"), supplier_code().alias("code"), F.col("s_suppkey").alias("pos"), "s_acctbal")
+    return s.where("s_acctbal >= 0").select("name", "code", "pos"), s.where("s_acctbal < 0").select(F.col("name").alias("alias"), "code")
 
 
 NEWS = """nf AS (SELECT doc_id, strftime(DATE '2023-01-01' + CAST(doc_id % 700 AS INT), '%Y-%m-%d') AS news_date, source, text,
   array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS body FROM documents),
-nt AS (SELECT *, unnest([row(doc_id % 13, '+1.5%'), row((doc_id * 3) % 13, '-2%')]) AS t FROM nf WHERE length(body) >= 5)"""
+nt AS (SELECT *, unnest([row(doc_id % 1000, '+1.5%'), row((doc_id * 3) % 1000, '-2%')]) AS t FROM nf WHERE length(body) >= 5)"""
 
 
 @query("SELECT doc_id, strftime(DATE '2023-01-01' + CAST(doc_id % 700 AS INT), '%Y-%m-%d') AS news_date FROM documents")
@@ -71,7 +69,7 @@ def n4_news_tokens(spark, sf_dir):
 
 ITEMS = f"""{NEWS}, ni AS (SELECT lpad(CAST(t[1] + 1 AS VARCHAR), 6, '0') AS code, news_date, 'stock' || t[1] AS stock_name, source AS category, t[2] AS rate,
   substr(string_split(body, chr(10))[1], 1, 80) AS title, substr(body, 1, 600) AS content,
-  CASE WHEN doc_id % 3 = 0 THEN '/news/evening_' ELSE '/news/' || replace(news_date, '-', '.') || '_' END || doc_id || '.md' AS path FROM nt WHERE t[1] < 12),
+  CASE WHEN doc_id % 3 = 0 THEN '/news/evening_' ELSE '/news/' || replace(news_date, '-', '.') || '_' END || doc_id || '.md' AS path FROM nt JOIN supplier ON s_suppkey = t[1] + 1),
 items AS (SELECT code, news_date, stock_name, category, rate, title, content FROM ni QUALIFY row_number() OVER (PARTITION BY code, news_date, substr(title, 1, 30) ORDER BY path, stock_name, rate) = 1)"""
 
 
@@ -90,7 +88,7 @@ def a3_news_per_year(spark, sf_dir):
     return news.news_per_year(news.news_items(news_files(spark, sf_dir), *stock_names(spark, sf_dir)))
 
 
-@query(f"WITH {NEWS} SELECT doc_id, lpad(CAST(t[1] + 1 AS VARCHAR), 6, '0') AS code FROM nt WHERE t[1] < 12")
+@query(f"WITH {NEWS} SELECT doc_id, lpad(CAST(t[1] + 1 AS VARCHAR), 6, '0') AS code FROM nt JOIN supplier ON s_suppkey = t[1] + 1")
 def j11_news_code_join(spark, sf_dir):
     blocks = news.news_blocks(news.news_lines(news.news_dates(news_files(spark, sf_dir)))).where(F.length("text") >= 5)
     rows = joins.news_code_join(news.news_tokens(blocks), *stock_names(spark, sf_dir))
@@ -103,18 +101,18 @@ def n6_headlines_from_pages(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FEATS}, p AS (SELECT *, CASE WHEN code > '000006' THEN 1 ELSE 0 END AS e FROM ({C5})), h AS (SELECT lpad(CAST(page_id % 10 AS VARCHAR), 6, '0') AS code, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda t: trim(regexp_replace(t, '<[^>]+>', '', 'g'))), lambda t: t <> '')[1:5] AS headlines FROM pages WHERE page_id < 4)
+    f"""WITH {FEATS}, p AS (SELECT *, CASE WHEN rate > 20 THEN 1 ELSE 0 END AS e FROM ({C5})), h AS (SELECT lpad(CAST(page_id AS VARCHAR), 6, '0') AS code, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda t: trim(regexp_replace(t, '<[^>]+>', '', 'g'))), lambda t: t <> '')[1:5] AS headlines FROM pages)
 SELECT p.scan_date AS issue_date, p.code, round_even(p.rate, 2) AS rate, CASE WHEN len(h.headlines) > 0 THEN array_to_string(h.headlines, ' / ') ELSE '뉴스 없음' END AS summary, coalesce(h.headlines, []) AS headlines FROM p LEFT JOIN h USING (code) WHERE e = 0"""
 )
 def n7_daily_issues(spark, sf_dir):
-    heads = news.headlines_from_pages(table(spark, sf_dir, "pages").where("page_id < 4"), "").withColumn("code", F.lpad((F.col("page_id") % 10).cast("string"), 6, "0"))
-    picks = c5(spark, sf_dir).withColumn("elapsed_days", F.when(F.col("code") > "000006", 1).otherwise(0))
+    heads = news.headlines_from_pages(table(spark, sf_dir, "pages"), "").withColumn("code", F.lpad(F.col("page_id").cast("string"), 6, "0"))
+    picks = c5(spark, sf_dir).withColumn("elapsed_days", F.when(F.col("rate") > 20, 1).otherwise(0))
     return news.daily_issues(picks, heads)
 
 
-@query(f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, code FROM p WHERE code <= '000006'")
+@query(f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, code FROM p WHERE rate <= 20")
 def p11_day0_predictive(spark, sf_dir):
-    picks = c5(spark, sf_dir).withColumn("elapsed_days", F.when(F.col("code") > "000006", F.lit(None)).otherwise(0))
+    picks = c5(spark, sf_dir).withColumn("elapsed_days", F.when(F.col("rate") > 20, F.lit(None)).otherwise(0))
     return universe.day0_only(universe.predictive_only(picks)).select("scan_date", "code")
 
 
@@ -210,18 +208,58 @@ def q3_clean_generated_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", comments.clean_generated_text(F.when(F.col("doc_id") % 2 == 0, latin).otherwise(made)).alias("clean"))
 
 
-@query()
+def pool_sql(pool: list[str], step: int) -> str:
+    return f"[{', '.join(repr(x) for x in pool)}][CAST((seed // {step}) % {len(pool)} AS INT) + 1]"
+
+
+def won_sql(label: str, x: str) -> str:
+    return f"'{label}(' || format('{{:.0f}}', {x}) || '원)'"
+
+
+FACTS = f"""base AS (SELECT *, coalesce(ret, 0) AS rate, CASE WHEN v20 > 0 THEN volume / v20 * 100 ELSE 100 END AS ratio,
+  coalesce(max(high) OVER ({OVER} ROWS BETWEEN 21 PRECEDING AND 2 PRECEDING), 0) AS peak,
+  CAST(list_sum(list_transform(string_split(code, ''), lambda x: ascii(x))) AS BIGINT) + CAST(close AS BIGINT) % 997 AS seed,
+  [row({won_sql('5일선', 'ma5')}, ma5), row({won_sql('20일선', 'ma20')}, ma20), row({won_sql('60일선', 'ma60')}, ma60), row({won_sql('120일선', 'ma120')}, ma120)] AS lines FROM feats),
+facts AS (SELECT *, CASE WHEN rate >= 5 AND ratio >= 150 THEN 'surge_up' WHEN rate >= 5 THEN 'up' WHEN rate <= -5 AND ratio >= 150 THEN 'surge_down' WHEN rate <= -5 THEN 'down' WHEN ratio <= 50 THEN 'dry' ELSE 'calm' END AS kind,
+  coalesce(list_filter(lines, lambda r: r[2] > 0 AND close >= r[2])[-1][1], {won_sql('전저점', 'low')}) AS support,
+  coalesce(list_filter(lines, lambda r: r[2] > 0 AND close < r[2])[1][1], CASE WHEN peak > close THEN {won_sql('전고점', 'peak')} ELSE '상단 이격 저항대' END) AS resistance,
+  CASE WHEN ma5 > 0 AND close >= ma5 THEN {won_sql('5일선', 'ma5')} WHEN ma20 > 0 AND close >= ma20 THEN {won_sql('20일선', 'ma20')} WHEN ma60 > 0 AND close >= ma60 THEN {won_sql('60일선', 'ma60')} ELSE {won_sql('전저점', 'low')} END AS buy,
+  CASE WHEN NOT coalesce(ma5 > 0 AND close >= ma5, false) AND ma20 > 0 AND close >= ma20 THEN {won_sql('20일선', 'ma20')} ELSE {won_sql('전저점', 'low')} END AS stop FROM base WHERE bar_no >= 25),
+goals AS (SELECT *, CASE WHEN peak > close * 1.03 THEN {won_sql('전고점', 'peak')} ELSE resistance END AS goal FROM facts)"""
+
+
+#: The rate with two digits, decimal ties to the even digit: whole hundredths, and what is left of ten digits.
+HUNDREDTHS = "CAST(round(abs(rate) * 1e10) AS BIGINT) // 100000000"
+LEFT = "CAST(round(abs(rate) * 1e10) AS BIGINT) % 100000000"
+EVEN_PCT = f"format('{{:+.2f}}%', sign(rate) * ({HUNDREDTHS} + CASE WHEN {LEFT} > 50000000 OR ({LEFT} = 50000000 AND ({HUNDREDTHS}) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE + 0.0::DOUBLE)"
+
+
+def commented(spark, sf_dir):
+    f = features(panel(spark, sf_dir)).withColumns({"rate": F.coalesce("ret", F.lit(0.0)), "vol_ratio": ind.volume_ratio(), "former_peak": F.coalesce(ind.former_peak_recent(), F.lit(0.0))})
+    return f.where("bar_no >= 25")
+
+
+@query(f"WITH {FEATS}, {FACTS} SELECT code, dt, kind, support, resistance, buy, stop, goal FROM goals")
+def q4_rule_facts(spark, sf_dir):
+    return comments.rule_facts(commented(spark, sf_dir)).select("code", "dt", "kind", "support", "resistance", "buy", "stop", "goal")
+
+
+@query(
+    f"""WITH {FEATS}, {FACTS} SELECT code, dt, format('{{:,}}', CAST(close AS BIGINT)) || '원(' || {EVEN_PCT} || '), 거래량 ' || format('{{:.0f}}%', ratio) || '. ' ||
+  CASE kind {' '.join(f"WHEN '{k}' THEN {pool_sql(v, 1)}" for k, v in comments.VOLUME_SENTENCES.items())} END || ' ' ||
+  replace(replace({pool_sql(comments.SUPPORT_SENTENCES, 3)}, '{{s}}', support), '{{r}}', resistance) || ' ' ||
+  replace(replace(replace({pool_sql(comments.TRADE_SENTENCES, 7)}, '{{b}}', buy), '{{x}}', stop), '{{t}}', goal) AS comment FROM goals"""
+)
 def q4_rule_comment(spark, sf_dir):
-    f = features(dense(spark, sf_dir)).withColumns({"rate": F.coalesce("ret", F.lit(0.0)), "vol_ratio": ind.volume_ratio(), "former_peak": F.coalesce(ind.former_peak_recent(), F.lit(0.0))})
-    return comments.rule_comment(f.where("bar_no >= 25")).select("code", "dt", "comment")
+    return comments.rule_comment(commented(spark, sf_dir)).select("code", "dt", "comment")
 
 
 def candles(spark, sf_dir):
-    return scans.scan_standard_candle(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
+    return scans.scan_standard_candle(panel(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
 
 
 def near(spark, sf_dir):
-    return scans.scan_near_ma(dense(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
+    return scans.scan_near_ma(panel(spark, sf_dir), min_turnover=30000.0, lookback_days=None)
 
 
 ZERO = "format('{:.0f}', %s)"
@@ -256,13 +294,13 @@ def q6_rule_comment_near_ma(spark, sf_dir):
     return comments.rule_comment_near_ma(near(spark, sf_dir)).select("scan_date", "code", "commentary")
 
 
-KIND = "CASE WHEN max_profit >= 3 THEN '성공' WHEN day_return < 0 THEN '조정' ELSE '유지' END"
+KIND = "CASE WHEN max_profit >= 3 THEN '성공: 최고 ' || format('{:+.1f}%', round_even(max_profit, 1)) WHEN day_return < 0 THEN '조정: ' || format('{:+.1f}%', round_even(day_return, 1)) ELSE '유지: ' || format('{:+.1f}%', round_even(day_return, 1)) END"
+TOUCHED = "array_to_string(list_filter([ma_touches, extreme_touches], lambda x: x <> ''), ', ')"
 
 
-@query(f"WITH {FEATS}, {REVIEW} SELECT review_date, code, {KIND} AS kind, ma_touches <> '' OR extreme_touches <> '' AS touched FROM review")
+@query(f"WITH {FEATS}, {REVIEW} SELECT review_date, code, {KIND} || CASE WHEN {TOUCHED} = '' THEN '' ELSE ' (' || {TOUCHED} || ')' END AS review FROM review")
 def q7_rule_review(spark, sf_dir):
-    rows = comments.rule_review(review(spark, sf_dir))
-    return rows.select("review_date", "code", F.substring("review", 1, 2).alias("kind"), F.col("review").contains("(").alias("touched"))
+    return comments.rule_review(review(spark, sf_dir)).select("review_date", "code", "review")
 
 
 @query(
@@ -315,7 +353,7 @@ STATUS = " UNION ALL ".join(
 @query(f"WITH {FEATS}, s AS (SELECT *, {', '.join(f'{projected_sql(n)} AS p{n}, {projected_sql(n, 1)} AS q{n}' for n in (5, 10, 20))}, {', '.join(f'{lag_sql(f"ma{n}")} AS m{n}' for n in (60, 120, 224))} FROM feats) {STATUS}")
 def p15_ma_status_rows(spark, sf_dir):
     cols = {f"p{n}": ind.projected_sma(n) for n in (5, 10, 20)} | {f"ma{n}": ind.sma(n) for n in (60, 120, 224)} | {f"t{n}": ind.sma_trend(n, "commentator") for n in (5, 10, 20, 60, 120, 224)}
-    return comments.ma_status_rows(numbered(dense(spark, sf_dir)).withColumns(cols))
+    return comments.ma_status_rows(numbered(panel(spark, sf_dir)).withColumns(cols))
 
 
 @query(f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, code, CAST(scan_date - DATE '1999-01-01' AS INT) AS elapsed FROM p")
@@ -352,17 +390,7 @@ def s11_read_picks_json(spark, sf_dir):
     """The newest date's picks as a dated JSON array, read by its file name."""
     newest = sinks.publish_latest(named(spark, sf_dir))
     path = scratch_path(spark, "results")
-    fields = F.struct("code", "name", "close", "rate", "match_type", "pattern")
-    rows = newest.groupBy("scan_date").agg(F.to_json(F.collect_list(fields)).alias("value"), F.date_format(F.max("scan_date"), "yyyyMMdd").alias("d"))
-    parts = [(r["d"], r["value"]) for r in rows.select("d", "value").collect()]  # one date
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for day, value in parts:
-        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/scan_results_v2_{day}.json"))
-        out.write(bytearray(value.encode()))
-        out.close()
-    if not parts:
-        return newest.select("scan_date", "strategy", "code", "name", "close", "rate", "match_type", "pattern")
+    sinks.write_dated_arrays(newest, ["code", "name", "close", "rate", "match_type", "pattern"], path)
     return readers.read_picks_json(spark, path)
 
 
@@ -371,52 +399,92 @@ def s13_read_themes(spark, sf_dir):
     return readers.read_themes(themes(spark, sf_dir)).select("code", "tags")
 
 
-HISTORY = f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, strategy, CAST(row_number() OVER (PARTITION BY scan_date ORDER BY code) - 1 AS INT) AS pos, code, 'n' || code AS name, close, rate, match_type, pattern FROM p"
+HISTORY = f"WITH {FEATS}, p AS ({C5}), five AS (SELECT * FROM p WHERE scan_date IN (SELECT DISTINCT scan_date FROM p ORDER BY scan_date DESC LIMIT 5))"
 
 
-@query(HISTORY)
-def s14_read_history(spark, sf_dir):
-    """The nested history written as one JSON value and read back to rows."""
+def history_file(spark, sf_dir):
+    """The history of the five newest dates, written as JSON."""
     w = Window.partitionBy("scan_date", "strategy").orderBy("code")
-    history = named(spark, sf_dir).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    history = ranking.keep_newest_dates(named(spark, sf_dir)).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
     path = scratch_path(spark, "history")
     sinks.write_text(sinks.nested_history(history), path)
-    return readers.read_history(spark, path)
+    return path
+
+
+@query(f"{HISTORY} SELECT scan_date, strategy, CAST(row_number() OVER (PARTITION BY scan_date ORDER BY code) - 1 AS INT) AS pos, code, 'n' || code AS name, close, rate, match_type, pattern FROM five")
+def s14_read_history(spark, sf_dir):
+    """The nested history read back to rows."""
+    return readers.read_history(spark, history_file(spark, sf_dir))
+
+
+@query(f"{HISTORY} SELECT strftime(scan_date, '%Y%m%d') AS day, list(code ORDER BY code) AS codes, list(close ORDER BY code) AS closes FROM five GROUP BY scan_date")
+def f3_write_history(spark, sf_dir):
+    """What the written JSON says, parsed without the reader."""
+    days = F.from_json("value", "map<string,map<string,array<struct<code:string,close:bigint>>>>")
+    rows = spark.read.text(history_file(spark, sf_dir)).select(F.explode(days).alias("day", "s")).select("day", F.explode("s").alias("strategy", "picks"))
+    return rows.select("day", F.col("picks.code").alias("codes"), F.col("picks.close").alias("closes"))
 
 
-@query(f"WITH {FEATS}, x AS (SELECT code, dt FROM feats WHERE bar_no % 50 = 0) SELECT code, dt AS ref_date FROM x")
+@query(f"WITH {NEAR} SELECT code, ref_date, CAST(close AS BIGINT) AS close FROM nearma")
 def s16_read_near_ma_ndjson(spark, sf_dir):
     path = scratch_path(spark, "near")
-    rows = numbered(dense(spark, sf_dir)).where("bar_no % 50 = 0").select("code", F.col("dt").alias("ref_date"), F.col("close").cast("long").alias("close"))
-    rows.select(F.to_json(F.struct("*")).alias("value")).unionByName(rows.limit(1).select(F.lit("").alias("value"))).write.text(path)
-    return readers.read_near_ma_ndjson(spark, path).select("code", "ref_date")
+    rows = near(spark, sf_dir).withColumn("name", F.concat(F.lit("n"), "code"))
+    rows.select(F.to_json(F.struct("*")).alias("value")).unionByName(spark.range(1).select(F.lit("").alias("value"))).write.text(path)
+    return readers.read_near_ma_ndjson(spark, path).select("code", "ref_date", "close")
 
 
-@query()
+@query(
+    f"""WITH {W}, {candle_sql(500, 30000.0)}, {NEAR[len(FEATS) + 2:]},
+a AS (SELECT scan_date, 'scan_results' AS part, row_number() OVER (PARTITION BY scan_date ORDER BY code) AS pos, code, day_type, CAST(NULL AS BOOLEAN) AS near15 FROM p500),
+b AS (SELECT dt AS scan_date, 'ma_stocks' AS part, row_number() OVER (PARTITION BY dt ORDER BY code) AS pos, code, CAST(NULL AS INT) AS day_type, near15 FROM nearma)
+SELECT * FROM a UNION ALL SELECT * FROM b""",
+    ints=("pos", "day_type"),
+)
 def f2_write_integrated(spark, sf_dir):
+    """The integrated file of every date, written and parsed again."""
     w = Window.partitionBy("scan_date").orderBy("code")
     a = candles(spark, sf_dir).withColumn("pos", F.row_number().over(w)).select("scan_date", "pos", "code", "day_type")
     b = near(spark, sf_dir).withColumn("pos", F.row_number().over(w)).select("scan_date", "pos", "code", "near15")
-    return sinks.integrated(a, b)
+    path = scratch_path(spark, "integrated")
+    sinks.write_integrated(a, b, path)
+    parsed = F.from_json("value", "scan_date date, scan_results array<struct<code:string,day_type:int>>, ma_stocks array<struct<code:string,near15:boolean>>")
+    files = spark.read.text(path).select(parsed.alias("v")).select("v.*")
+    part = lambda name, *cols: files.select("scan_date", F.lit(name).alias("part"), F.posexplode(name).alias("p", "r")).select("scan_date", "part", (F.col("p") + 1).alias("pos"), "r.code", *cols)
+    return part("scan_results", "r.day_type", F.lit(None).cast("boolean").alias("near15")).unionByName(part("ma_stocks", F.lit(None).cast("int").alias("day_type"), "r.near15"))
 
 
-@query(f"WITH {LISTING} SELECT code, market FROM listing")
+@query(f"WITH {LISTING} SELECT code, market, amount FROM listing")
 def f4_write_snapshots(spark, sf_dir):
-    """Keyed JSON of the latest prices, and what it says when read."""
-    rows = sinks.keyed_json(listing(spark, sf_dir).select("code", "market", "amount"))
-    return rows.select("code", F.get_json_object("value", "$.market").alias("market"))
+    """Latest prices written as JSON keyed by code, and read again."""
+    path = scratch_path(spark, "snapshots")
+    sinks.write_keyed(sinks.keyed_json(listing(spark, sf_dir).select("code", "market", "amount")), path)
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<market:string,amount:double>>")).alias("code", "v"))
+    return rows.select("code", "v.market", "v.amount")
 
 
-@query(f"WITH {STATEMENTS} SELECT code, count(*) AS years, min(year) AS first_year FROM st GROUP BY code")
+@query(f"WITH {STATEMENTS} SELECT * EXCLUDE (r) FROM st")
 def f5_write_financials(spark, sf_dir):
-    rows = sinks.yearly_json(financials.financial_statement_long(filings(spark, sf_dir)))
-    years = F.from_json("value", "array<struct<year:int,revenue:bigint>>")
-    return rows.select("code", F.size(years).cast("long").alias("years"), F.element_at(years, 1)["year"].alias("first_year"))
+    """The years of each code written as JSON, and read again."""
+    path = scratch_path(spark, "financials")
+    sinks.write_keyed(sinks.yearly_json(financials.financial_statement_long(filings(spark, sf_dir))), path)
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,array<struct<year:int,revenue:bigint,operating_profit:bigint,net_income:bigint>>>")).alias("code", "years"))
+    return rows.select("code", F.explode("years").alias("y")).select("code", "y.*")
 
 
-@query(f"WITH {FEATS}, p AS ({C1} UNION ALL {C5}) SELECT scan_date, strategy, code FROM p WHERE (strategy, scan_date) IN (SELECT (strategy, max(scan_date)) FROM p GROUP BY strategy)")
+@query(f"WITH {FEATS}, p AS ({C1} UNION ALL {C5}) SELECT scan_date, strategy, code, close FROM p WHERE (strategy, scan_date) IN (SELECT (strategy, max(scan_date)) FROM p GROUP BY strategy)")
 def f6_publish_latest(spark, sf_dir):
-    return sinks.publish_latest(c1(spark, sf_dir).unionByName(c5(spark, sf_dir))).select("scan_date", "strategy", "code")
+    """The newest result of each strategy under latest/, twice, and read again."""
+    path = scratch_path(spark, "published")
+    picks = c1(spark, sf_dir).unionByName(c5(spark, sf_dir))
+    for _ in range(2):
+        sinks.write_latest(picks, path)
+    return spark.read.schema("scan_date date, code string, close bigint, strategy string").json(f"{path}/latest").select("scan_date", "strategy", "code", "close")
+
+
+@query("SELECT conv_id, list(role ORDER BY turn)[1:3] AS roles FROM conversations GROUP BY conv_id")
+def o6_first_items(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("conv_id", ranking.first_items(F.transform("t", lambda x: x["role"]), 3).alias("roles"))
 
 
 @query(f"WITH {FEATS}, p AS ({C5}) SELECT 'v2' AS technique, code, scan_date, close FROM p")

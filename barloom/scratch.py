@@ -16,6 +16,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path; the file system deletes it when the session ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folders.get(app) or _own_folders.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -11,8 +11,12 @@ from ..plans.features import as_of
 
 
 def read_bars_window(spark: SparkSession, path: str, target: str, lookback_days: int | None = 400) -> DataFrame:
-    """Bars of the days up to the target; the date filter reaches the scan."""
-    return as_of(spark.read.parquet(path), target, lookback_days).select("code", "dt", "open", "high", "low", "close", "volume")
+    """Bars of the days up to the target; only the months of the window are listed, and the date filter reaches their scan."""
+    stored, end = spark.read.parquet(path), F.lit(target).cast("date")
+    stored = stored.where(F.col("month") <= F.date_format(end, "yyyy-MM"))
+    if lookback_days is not None:
+        stored = stored.where(F.col("month") >= F.date_format(F.date_sub(end, lookback_days), "yyyy-MM"))
+    return as_of(stored, target, lookback_days).select("code", "dt", "open", "high", "low", "close", "volume")
 
 
 def read_candle_log(spark: SparkSession, path: str, as_of_date: str, days: int = 20) -> DataFrame:
@@ -28,11 +32,11 @@ def prune_candle_log(spark: SparkSession, path: str, out: str, as_of_date: str,
 
 
 def read_picks_json(spark: SparkSession, path: str, schema: str = schemas.PICK_JSON) -> DataFrame:
-    """Arrays of picks, one file a day and strategy: scan_results_<strategy>_<yyyymmdd>.json."""
+    """Arrays of picks, one file (or folder) a day and strategy: scan_results_<strategy>_<yyyymmdd>.json."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    name = F.col("_metadata.file_name")
-    day = F.to_date(F.regexp_extract(name, r"_(\d{8})", 1), "yyyyMMdd")
-    return rows.select(day.alias("scan_date"), F.regexp_extract(name, r"scan_results_(.*)_\d{8}", 1).alias("strategy"), "*")
+    named = lambda part: F.regexp_extract(F.col("_metadata.file_path"), r"scan_results_([^/]*)_(\d{8})\.json", part)
+    columns = [f.split()[0] for f in schema.split(",")]
+    return rows.select(F.to_date(named(2), "yyyyMMdd").alias("scan_date"), named(1).alias("strategy"), *columns)
 
 
 def read_themes(raw: DataFrame) -> DataFrame:
@@ -43,9 +47,9 @@ def read_themes(raw: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, pick: str = schemas.PICK_JSON) -> DataFrame:
-    """{date: {strategy: [pick]}} as rows with scan_date, strategy, pos."""
+    """{date: {strategy: [pick]}}, one object to a line, as rows with scan_date, strategy, pos."""
     fields = ",".join(f.strip().replace(" ", ":", 1) for f in pick.split(","))
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path)
     days = text.select(F.explode(F.from_json("value", f"map<string,map<string,array<struct<{fields}>>>>")).alias("d", "s"))
     rows = days.select("d", F.explode("s").alias("strategy", "p")).select("d", "strategy", F.posexplode("p").alias("pos", "pick"))
     return rows.select(parse_two_date_formats(F.col("d")).alias("scan_date"), "strategy", "pos", "pick.*")

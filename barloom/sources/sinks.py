@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bars import upsert_bars
+from ..scratch import scratch_path
+
 
 def write_picks(df: DataFrame, path: str, fmt: str = "json") -> None:
     """one partition a date and strategy; a rerun replaces only the dates it holds."""
@@ -12,11 +15,27 @@ def write_picks(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """The bar store by month; an upsert replaces only the months it touches."""
+    """The bar store by month; only the months of df are replaced."""
     months = df.withColumn("month", F.date_format("dt", "yyyy-MM"))
     months.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
+def upsert_store(batch: DataFrame, path: str, seq_col: str | None = None) -> None:
+    """Upsert a batch into the stored bars: only the batch's months are read, merged and written."""
+    spark = batch.sparkSession
+    month = F.date_format("dt", "yyyy-MM")
+    months = [r["m"] for r in batch.select(month.alias("m")).distinct().collect()]  # a batch spans few months
+    old = spark.read.parquet(path).where(F.col("month").isin(months))
+    merged = scratch_path(spark, "merged")  # what is read and what is overwritten are the same files
+    upsert_bars(old, batch, seq_col).write.parquet(merged)
+    write_bars(spark.read.parquet(merged), path)
+
+
+def write_integrated(scan_results: DataFrame, ma_stocks: DataFrame, path: str) -> None:
+    """an object a date and line."""
+    write_text(integrated(scan_results, ma_stocks), path)
+
+
 def integrated(scan_results: DataFrame, ma_stocks: DataFrame, by: str = "scan_date") -> DataFrame:
     """per date one object {scan_results, ma_stocks}, arrays in their pos order."""
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -25,17 +44,19 @@ def integrated(scan_results: DataFrame, ma_stocks: DataFrame, by: str = "scan_da
         return df.groupBy(by).agg(F.transform(rows, lambda x: x["r"]).alias(name))
 
     joined = packed(scan_results, "scan_results").join(packed(ma_stocks, "ma_stocks"), by, "full")
-    return joined.select(by, F.to_json(F.struct("scan_results", "ma_stocks")).alias("value"))
+    return joined.select(by, F.to_json(F.struct(by, "scan_results", "ma_stocks")).alias("value"))
 
 
 def nested_history(history: DataFrame) -> DataFrame:
-    """one row of JSON {yyyymmdd: {strategy: [pick]}}, picks in their pos order."""
+    """JSON objects {yyyymmdd: {strategy: [pick]}}, one for each date and strategy, picks in their pos order.
+
+    A row for each, so that no task holds more than one date's picks of a strategy.
+    """
     fields = [c for c in history.columns if c not in ("scan_date", "strategy", "pos")]
     rows = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r"))))
     lists = history.groupBy("scan_date", "strategy").agg(F.transform(rows, lambda x: x["r"]).alias("l"))
-    days = lists.groupBy("scan_date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "l")))).alias("m"))
     day = F.date_format("scan_date", "yyyyMMdd")
-    return days.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(day.alias("d"), "m")), lambda a, b: F.when(a["d"] < b["d"], -1).otherwise(1)))).alias("value"))
+    return lists.select(F.to_json(F.create_map(day, F.create_map("strategy", "l"))).alias("value"))
 
 
 def keyed_json(df: DataFrame, key: str = "code") -> DataFrame:
@@ -50,10 +71,27 @@ def yearly_json(financials: DataFrame) -> DataFrame:
     return financials.groupBy("code").agg(F.to_json(years).alias("value"))
 
 
+def write_keyed(rows: DataFrame, path: str, key: str = "code") -> None:
+    """lines {key: value} of keyed or yearly JSON."""
+    write_text(rows.select(F.concat(F.lit("{"), F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), "value", F.lit("}")).alias("value")), path)
+
+
 def publish_latest(picks: DataFrame) -> DataFrame:
     """the newest dated result of each strategy."""
-    newest = Window.partitionBy("strategy")
-    return picks.withColumn("__new", F.max("scan_date").over(newest)).where("scan_date = __new").drop("__new")
+    newest = picks.groupBy("strategy").agg(F.max("scan_date").alias("scan_date"))
+    return picks.join(newest, ["strategy", "scan_date"], "left_semi").select(*picks.columns)
+
+
+def write_latest(picks: DataFrame, path: str) -> None:
+    """the newest results under latest/, a folder a strategy; strategies without picks keep theirs."""
+    publish_latest(picks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy").json(f"{path}/latest")
+
+
+def write_dated_arrays(picks: DataFrame, fields: list[str], path: str) -> None:
+    """A JSON array of picks for each date and strategy, in a folder named as its dated file."""
+    name = F.concat(F.lit("scan_results_"), "strategy", F.lit("_"), F.date_format("scan_date", "yyyyMMdd"), F.lit(".json"))
+    arrays = picks.groupBy("scan_date", "strategy").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
+    arrays.select(name.alias("file"), "value").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def write_text(df: DataFrame, path: str) -> None:

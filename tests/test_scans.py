@@ -160,7 +160,39 @@ def test_date_filter_reaches_the_scan(spark, bars, tmp_path):
     sinks.write_bars(bars, str(tmp_path / "bars"))
     df = readers.read_bars_window(spark, str(tmp_path / "bars"), "2020-06-30", 60)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(dt), LessThanOrEqual(dt" in plan and df.count() > 0
+    assert "LessThanOrEqual(dt" in plan.partition("PushedFilters")[2] and df.count() > 0
+    assert "month" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    kept = store.prune_bars(spark.read.parquet(str(tmp_path / "bars")), "2021-03-01", 60)
+    assert "month" in kept._jdf.queryExecution().executedPlan().toString().partition("PartitionFilters: [")[2].partition("]")[0]
+
+
+def test_upsert_writes_only_the_months_of_the_batch(spark, bars, tmp_path):
+    from barloom.sources import sinks
+
+    path = str(tmp_path / "bars")
+    sinks.write_bars(bars, path)
+    files = lambda: {f for f in map(str, (tmp_path / "bars").rglob("*.parquet"))}
+    before, batch = files(), bars.where("dt between date'2020-03-05' and date'2020-04-02'").withColumn("close", F.col("close") + 1)
+    want = sorted(tuple(r) for r in store.upsert_bars(bars, batch).collect())
+    sinks.upsert_store(batch, path)
+    assert {f.split("month=")[1][:7] for f in before ^ files()} == {"2020-03", "2020-04"}
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select(*store.KEYS, *store.FIELDS).collect()) == want
+
+
+def test_candles_are_sorted_and_chosen_in_one_pass(spark, bars):
+    f = scans.supports(scans.candle_features(bars, {500: 2000.0, 150: 500.0}, None))
+    rows = lambda df: sorted(map(str, df.collect()))
+    one = scans.candle_picks(f, 500, 150)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(code") == 1
+    assert rows(one) == rows(scans.integrate(scans.candle_picks(f, 500), scans.candle_picks(f, 150)))
+    keys = [(r["day_type"], -r["vol_ratio"], r["code"]) for r in scans.candle_sort(one).collect()]
+    assert keys == sorted(keys)
+
+
+def test_an_empty_prefilter_falls_back_to_the_full_list(spark):
+    df = spark.createDataFrame([("1", "x"), ("2", "y")], "code string, name string")
+    assert universe.with_fallback(df.limit(0), df).count() == 2
+    assert [r["code"] for r in universe.with_fallback(df.where("code = '2'"), df).collect()] == ["2"]
 
 
 def candle(code, day, o, h, low, c, v=1000.0):
@@ -236,11 +268,14 @@ def test_watchlist_registers_once(spark):
 
 
 def test_retention_and_carry_forward(spark):
-    days = spark.createDataFrame([(START + dt.timedelta(days=k), f"c{k}") for k in range(6)], "scan_date date, code string")
-    assert ranking.keep_newest_dates(days).count() == 5
-    (row,) = ranking.carry_forward(days, days.limit(0), day="2024-01-01").collect()
-    assert row["code"] == "c5"
-    assert ranking.replace_date_slice(days, days.limit(1).withColumn("code", F.lit("new"))).count() == 6
+    days = spark.createDataFrame([(START + dt.timedelta(days=k), f"c{k}", s) for k in range(6) for s in ("a", "b")], "scan_date date, code string, strategy string")
+    assert ranking.keep_newest_dates(days).count() == 10
+    assert {(r["code"], r["strategy"]) for r in ranking.carry_forward(days, days.limit(0), day="2024-01-01").collect()} == {("c5", "a"), ("c5", "b")}
+    today = spark.createDataFrame([(START + dt.timedelta(days=9), "new", "a")], days.schema)
+    carried = ranking.carry_forward(days, today, day="2024-01-01", strategies=["a", "b", "none"])
+    assert {(r["code"], r["strategy"]) for r in carried.collect()} == {("new", "a"), ("c5", "b")}
+    assert ranking.carry_forward(days, today, strategies=["a"]).count() == 1
+    assert ranking.replace_date_slice(days, days.limit(1).withColumn("code", F.lit("new"))).count() == 11
 
 
 def test_news_blocks_follow_their_headers(spark):
