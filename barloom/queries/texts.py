@@ -228,10 +228,9 @@ facts AS (SELECT *, CASE WHEN rate >= 5 AND ratio >= 150 THEN 'surge_up' WHEN ra
 goals AS (SELECT *, CASE WHEN peak > close * 1.03 THEN {won_sql('전고점', 'peak')} ELSE resistance END AS goal FROM facts)"""
 
 
-#: The rate with two digits, decimal ties to the even digit: whole hundredths, and what is left of ten digits.
-HUNDREDTHS = "CAST(round(abs(rate) * 1e10) AS BIGINT) // 100000000"
-LEFT = "CAST(round(abs(rate) * 1e10) AS BIGINT) % 100000000"
-EVEN_PCT = f"format('{{:+.2f}}%', sign(rate) * ({HUNDREDTHS} + CASE WHEN {LEFT} > 50000000 OR ({LEFT} = 50000000 AND ({HUNDREDTHS}) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE + 0.0::DOUBLE)"
+#: The rate with two digits, ties of its decimal digits to the even one.
+HUNDREDTHS = "CAST(CAST(abs(rate) AS VARCHAR) AS DECIMAL(28,17)) * 100"
+EVEN_PCT = f"format('{{:+.2f}}%', sign(rate) * (trunc({HUNDREDTHS}) + CASE WHEN ({HUNDREDTHS}) % 1 > 0.5 OR (({HUNDREDTHS}) % 1 = 0.5 AND trunc({HUNDREDTHS}) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 100.0::DOUBLE + 0.0::DOUBLE)"
 
 
 def commented(spark, sf_dir):
@@ -294,7 +293,7 @@ def q6_rule_comment_near_ma(spark, sf_dir):
     return comments.rule_comment_near_ma(near(spark, sf_dir)).select("scan_date", "code", "commentary")
 
 
-KIND = "CASE WHEN max_profit >= 3 THEN '성공: 최고 ' || format('{:+.1f}%', round_even(max_profit, 1)) WHEN day_return < 0 THEN '조정: ' || format('{:+.1f}%', round_even(day_return, 1)) ELSE '유지: ' || format('{:+.1f}%', round_even(day_return, 1)) END"
+KIND = "CASE WHEN max_profit >= 3 THEN '성공: 최고 ' || format('{:+.1f}%', round_even(max_profit, 1) + 0.0::DOUBLE) WHEN day_return < 0 THEN '조정: ' || format('{:+.1f}%', round_even(day_return, 1) + 0.0::DOUBLE) ELSE '유지: ' || format('{:+.1f}%', round_even(day_return, 1) + 0.0::DOUBLE) END"
 TOUCHED = "array_to_string(list_filter([ma_touches, extreme_touches], lambda x: x <> ''), ', ')"
 
 
