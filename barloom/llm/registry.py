@@ -75,16 +75,16 @@ WITH boiler AS (
   WHERE trim(line, ' \t\r') <> '' AND source IS NOT NULL
   GROUP BY 1 HAVING count(DISTINCT source) >= 10),
 lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+  SELECT no, doc_id, text, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents WHERE text IS NOT NULL),
+  FROM (SELECT row_number() OVER () AS no, doc_id, text FROM documents WHERE text IS NOT NULL)),
 marked AS (
-  SELECT doc_id, text, line, pos, trim(line, ' \t\r') IN (SELECT k FROM boiler) AS gone FROM lines),
+  SELECT no, doc_id, text, line, pos, trim(line, ' \t\r') IN (SELECT k FROM boiler) AS gone FROM lines),
 bare AS (
   SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
          count(*) FILTER (WHERE NOT gone AND trim(line, ' \t\r') <> '') AS n_own,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS bare
-  FROM marked GROUP BY doc_id, text),
+  FROM marked GROUP BY no, doc_id, text),
 judged AS (
   SELECT *, n_gone > 0 AND n_own > 0 AS cut FROM bare)
 SELECT doc_id, n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_removed, n_gone > 0 AND n_own = 0 AS whole_copy,
@@ -95,5 +95,132 @@ SELECT doc_id, 0, 0, false, NULL FROM documents WHERE text IS NULL
 """
 
 
+NGRAM_JOIN_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+texts AS (
+  SELECT words, min(doc_id) AS first_id, count(*) AS n_docs, row_number() OVER (ORDER BY min(doc_id), words) AS tid
+  FROM split WHERE len(words) > 0 GROUP BY words),
+sets AS (
+  SELECT tid, list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1),
+                                           lambda i: array_to_string(words[i:i + 4], ' '))) AS grams
+  FROM texts),
+grams AS (
+  SELECT tid, len(grams) AS n, unnest(grams) AS gram FROM sets),
+pairs AS (
+  SELECT a.tid AS x, b.tid AS y
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.tid < b.tid
+  GROUP BY a.tid, b.tid HAVING 5 * count(*) >= 4 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (
+  SELECT x AS tid, x AS other FROM links
+  UNION
+  SELECT r.tid, l.y FROM reach r JOIN links l ON r.other = l.x),
+classes AS (
+  SELECT r.tid, min(t.first_id) AS class_id FROM reach r JOIN texts t ON t.tid = r.other GROUP BY r.tid),
+linked AS (
+  SELECT l.x AS tid, sum(t.n_docs) AS n FROM links l JOIN texts t ON t.tid = l.y GROUP BY l.x),
+named AS (
+  SELECT t.words, coalesce(c.class_id, t.first_id) AS class_id, CAST(t.n_docs - 1 + coalesce(l.n, 0) AS BIGINT) AS n_links
+  FROM texts t LEFT JOIN classes c ON c.tid = t.tid LEFT JOIN linked l ON l.tid = t.tid)
+SELECT s.doc_id, n.class_id, n.n_links, s.doc_id IS NOT DISTINCT FROM n.class_id AS kept
+FROM split s JOIN named n ON n.words = s.words
+UNION ALL
+SELECT doc_id, doc_id, 0, true FROM split WHERE len(words) = 0
+"""
+
+
+PQ_NEAR_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, min(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+  GROUP BY vec_id),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM usable a JOIN usable b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+links AS (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (
+  SELECT x AS vec_id, x AS other FROM links
+  UNION
+  SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+classes AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (
+  SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+       coalesce(c.component_id, e.vec_id) IS NOT DISTINCT FROM e.vec_id AS kept
+FROM embeddings e LEFT JOIN classes c ON c.vec_id = e.vec_id LEFT JOIN counts n ON n.vec_id = e.vec_id
+"""
+
+
+URL_FILTER_SQL = """
+WITH RECURSIVE rules(name, start, verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+         ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+numbered AS (
+  SELECT row_number() OVER () AS no, page_id, coalesce(html, '') AS html,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+ruled AS (
+  SELECT n.no, arg_max(r.name || r.start, (length(r.name || r.start), r.name, r.start)) AS rule,
+         arg_max(r.verdict, (length(r.name || r.start), r.name, r.start)) AS verdict
+  FROM numbered n JOIN rules r
+    ON (n.host = r.name OR ends_with(n.host, '.' || r.name)) AND starts_with(n.path, r.start)
+  GROUP BY n.no),
+judged AS (
+  SELECT n.no, n.page_id, n.host, n.path, r.rule, r.verdict FROM numbered n LEFT JOIN ruled r ON r.no = n.no),
+hrefs AS (
+  SELECT no, host, trim(unnest(regexp_extract_all(html,
+    '(?is)<[a-z][^<>]*?\\s(?:href|src)\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''<>]+)', 1)), '"'' ' || chr(9) || chr(10) || chr(13)) AS link
+  FROM numbered),
+schemed AS (
+  SELECT no, host, link, lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme FROM hrefs WHERE link <> ''),
+targets AS (
+  SELECT DISTINCT no, host AS src,
+         CASE WHEN scheme = '' AND NOT starts_with(link, '//') THEN CASE WHEN NOT starts_with(link, '#') THEN host END
+              WHEN scheme = '' OR scheme IN ('http', 'https')
+              THEN translate(regexp_extract('x:' || link, '(?s)^.*?://([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS dst
+  FROM schemed),
+edges AS (
+  SELECT src, dst, count(*) AS n FROM targets WHERE src <> '' AND dst <> '' GROUP BY src, dst),
+both_ways AS (
+  SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+shares AS (
+  SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
+votes AS (
+  SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
+  FROM judged WHERE rule IS NOT NULL GROUP BY 1, 2),
+walked AS (
+  SELECT 0 AS step, kind, host, 0.15::DOUBLE * n / sum(n) OVER (PARTITION BY kind) AS mass FROM votes
+  UNION ALL
+  SELECT w.step + 1, w.kind, s.dst, sum(0.85::DOUBLE * w.mass * s.share)
+  FROM walked w JOIN shares s ON s.kind = w.kind AND s.src = w.host
+  WHERE w.step < 150 GROUP BY w.step, w.kind, s.dst),
+ranks AS (
+  SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0) AS trust,
+         coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) AS distrust
+  FROM walked GROUP BY host)
+SELECT j.page_id, j.host, j.path, j.rule,
+       coalesce(j.verdict, CASE WHEN r.distrust > r.trust THEN 'block' ELSE 'allow' END) AS verdict,
+       round(coalesce(r.trust, 0), 6) AS trust, round(coalesce(r.distrust, 0), 6) AS distrust
+FROM judged j LEFT JOIN ranks r ON r.host = j.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op3_line_dedup": LINE_DEDUP_SQL}
+    return {
+        "op1_mixing": MIXING_SQL,
+        "op3_line_dedup": LINE_DEDUP_SQL,
+        "op6_ngram_jaccard": NGRAM_JOIN_SQL,
+        "op8_pq_near_dedup": PQ_NEAR_SQL,
+        "op10_url_filter": URL_FILTER_SQL,
+    }

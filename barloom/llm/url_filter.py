@@ -121,5 +121,6 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, mar
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every page."""
-    return judge(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    """The verdict on every page, and its host's ranks to six decimals (they settle to nine)."""
+    judged = judge(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
