@@ -109,17 +109,17 @@ def cuts(stats: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int
     return common.write_shared(held.join(hint(second.withColumnRenamed("s", "t")), F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "b1"), "mix-cuts"), few
 
 
-def taken(docs: DataFrame, held: DataFrame, few: bool) -> DataFrame:
+def taken(docs: DataFrame, size: Column, key: Column, held: DataFrame, few: bool) -> DataFrame:
     """docs with a struct __mix: size, source_size, target, epochs (complete copies), part (words of one more).
 
-    Every row decides by its own key and its source's cut; only the rows of the cell in which a
+    size and key give the size and the sampling key of a row of docs. Every row decides by its own key and its source's cut; only the rows of the cell in which a
     budget ends meet in a window. Whole texts are not shuffled where the sources are few.
     """
     about = F.struct(*(c for c in held.columns if c != "s"))
     own = held.select(F.col("s").alias("__s"), about.alias("__cut"))
     d1, d2 = digit_columns(F.col("__key"))
     c = F.col("__cut")
-    rows = docs.withColumn("__size", common.word_count(common.whole_text())).withColumn("__key", sampling_key(F.col("__size")))
+    rows = docs.withColumn("__size", size).withColumn("__key", key)
     rows = rows.withColumns({"__d1": d1, "__d2": d2}).join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__s")))
     below = (F.col("__d1") < c["c1"]) | ((F.col("__d1") == c["c1"]) & (F.col("__d2") < c["c2"]))
     at_cut = F.coalesce((F.col("__d1") == c["c1"]) & (F.col("__d2") == c["c2"]), F.lit(False))
@@ -136,9 +136,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
 
     taken = epochs x size + part; a source's taken words sum to its target, rounded.
     """
-    docs = docs.select("doc_id", "source", "text")
     stats = common.write_shared(document_stats(docs), "mix")
-    return taken(docs, *cuts(stats, weights, most_epochs)).select("doc_id", "source", "__mix.*")
+    return taken(stats, F.col("size"), F.col("key"), *cuts(stats, weights, most_epochs)).select("doc_id", "source", "__mix.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,5 +154,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stats = common.write_shared(document_stats(docs), "mix")
     m = F.col("__mix")
     copies = (m["epochs"] + (m["part"] * 2 >= F.greatest(m["size"], F.lit(1))).cast("int")).cast("int")
-    mixed = taken(docs, *cuts(stats)).withColumn("__copies", copies).where("__copies > 0")
+    size = common.word_count(common.whole_text())
+    mixed = taken(docs, size, sampling_key(F.col("__size")), *cuts(stats)).withColumn("__copies", copies).where("__copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
