@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_dedup, media, mixing, ngram_join, packing, pq_near, quality, toxicity, url_filter
+from . import html_extract, line_dedup, media, mixing, ngram_join, packing, periodic_runs, pq_near, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pq_near_dedup": pq_near.op8_pq_near_dedup,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     }
 
 
@@ -216,6 +217,72 @@ FROM judged j LEFT JOIN ranks r ON r.host = j.host
 """
 
 
+PERIODIC_RUNS_SQL = """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+split AS (
+  SELECT row_number() OVER () AS no, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS digits
+  FROM documents),
+hashed AS (
+  SELECT no, doc_id, words, len(words) AS n,
+         xor(list_reduce(list_prepend(4294967295, digits), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM split, crc),
+places AS MATERIALIZED (
+  SELECT no, doc_id, words, n, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS parts
+  FROM hashed),
+texts AS (
+  SELECT no, doc_id, n FROM places),
+original AS MATERIALIZED (
+  SELECT no, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM places),
+sources AS (
+  SELECT no, i, CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END AS j
+  FROM (SELECT no, planted, a, n, parts, unnest(range(n)) AS i FROM places)),
+flat AS MATERIALIZED (
+  SELECT s.no, s.i, o.w FROM sources s JOIN original o ON o.no = s.no AND o.i = s.j),
+lags AS (
+  SELECT no, n, unnest(range(1, n // 4 + 1)) AS q FROM texts),
+anchors AS (
+  SELECT no, q, unnest(range(0, n - 3 * q, q)) AS i FROM lags),
+worded AS MATERIALIZED (
+  SELECT a.no, a.q, a.i + a.q AS i, f.w FROM anchors a JOIN flat f ON f.no = a.no AND f.i = a.i),
+twice AS MATERIALIZED (
+  SELECT a.no, a.q, a.i + a.q AS i, a.w FROM worded a JOIN flat f ON f.no = a.no AND f.i = a.i AND f.w = a.w),
+thrice AS MATERIALIZED (
+  SELECT a.no, a.q, a.i + a.q AS i, a.w FROM twice a JOIN flat f ON f.no = a.no AND f.i = a.i AND f.w = a.w),
+likely AS MATERIALIZED (
+  SELECT DISTINCT a.no, a.q FROM thrice a JOIN flat f ON f.no = a.no AND f.i = a.i AND f.w = a.w),
+compared AS MATERIALIZED (
+  SELECT l.no, l.q, f.i, f.w, f.i - l.q AS before FROM likely l JOIN flat f ON f.no = l.no),
+equal AS MATERIALIZED (
+  SELECT x.no, x.q, x.i, x.i - row_number() OVER (PARTITION BY x.no, x.q ORDER BY x.i) AS stretch
+  FROM compared x JOIN flat f ON f.no = x.no AND f.i = x.before AND f.w = x.w),
+stretches AS (
+  SELECT no, q, min(i) - q AS start, count(*) + q AS length FROM equal GROUP BY no, q, stretch
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT no, start, length, min(q) AS period FROM stretches GROUP BY no, start, length),
+summed AS (
+  SELECT no, count(*) AS n_runs, arg_max({'start': start, 'length': length, 'period': period}, (length, -start, -period)) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY no),
+dropped AS (
+  SELECT DISTINCT no, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT f.no, string_agg(f.w, ' ' ORDER BY f.i) AS text FROM flat f ANTI JOIN dropped d ON d.no = f.no AND d.i = f.i GROUP BY f.no)
+SELECT t.doc_id, CAST(coalesce(s.n_runs, 0) AS BIGINT) AS n_runs, CAST(s.best.start AS BIGINT) AS start,
+       CAST(s.best.length AS BIGINT) AS length, CAST(s.best.period AS BIGINT) AS period,
+       CAST(1000 * s.best.length // s.best.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(s.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN summed s ON s.no = t.no LEFT JOIN kept k ON k.no = t.no
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": MIXING_SQL,
@@ -223,4 +290,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard": NGRAM_JOIN_SQL,
         "op8_pq_near_dedup": PQ_NEAR_SQL,
         "op10_url_filter": URL_FILTER_SQL,
+        "op11_periodic_runs": PERIODIC_RUNS_SQL,
     }
