@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_dedup, media, mixing, ngram_join, packing, periodic_runs, pq_near, quality, toxicity, url_filter
+from . import html_extract, line_dedup, media, mixing, ngram_join, packing, periodic_runs, pq_near, quality, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
