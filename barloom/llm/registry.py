@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_dedup, media, mixing, ngram_join, packing, periodic_runs, pq_near, quality, toxicity, url_filter, whitening
+from . import exact_top_k, html_extract, line_dedup, media, mixing, ngram_join, packing, periodic_runs, pq_near, quality, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_exact_top_k": exact_top_k.op12_exact_top_k,
         "op13_whitening": whitening.op13_whitening,
     }
 
@@ -284,6 +285,24 @@ FROM texts t LEFT JOIN summed s ON s.no = t.no LEFT JOIN kept k ON k.no = t.no
 """
 
 
+EXACT_TOP_K_SQL = """
+WITH numbered AS (
+  SELECT row_number() OVER () AS no, vec_id, embedding FROM embeddings),
+usable AS (
+  SELECT no, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS v
+  FROM numbered
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS (
+  SELECT q.no, q.vec_id AS query_id, c.vec_id, c.no AS other, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON len(q.v) = len(c.v) AND q.no <> c.no
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id ASC NULLS LAST, other) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": MIXING_SQL,
@@ -292,4 +311,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_pq_near_dedup": PQ_NEAR_SQL,
         "op10_url_filter": URL_FILTER_SQL,
         "op11_periodic_runs": PERIODIC_RUNS_SQL,
+        "op12_exact_top_k": EXACT_TOP_K_SQL,
     }
