@@ -4,7 +4,7 @@ import pytest
 
 from barloom.llm import registry
 
-ROWS = {"op1": 13, "op2": 13, "op3": 13, "op4": 13, "op5": 13, "op6": 13, "op7": 13, "op8": 10, "op9": 6, "op10": 6}
+ROWS = {"op1": 13, "op2": 13, "op3": 13, "op4": 13, "op5": 13, "op6": 13, "op7": 13, "op8": 10, "op9": 6, "op10": 6, "op11": 13, "op12": 0, "op13": 20}
 
 
 @pytest.mark.parametrize("name", list(registry.queries()))
