@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from . import indicators as ind
@@ -54,7 +54,7 @@ def tail_touch_bar(tol: float = 0.025) -> Column:
 
 def upper_tail_touch(touched: str = "tail_touch", k: int = 10) -> Column:
     """Whether the flag column held in the last k bars."""
-    return F.max(F.col(touched).cast("int")).over(rows(-(k - 1), 0)) == 1
+    return yes(F.col("bar_no") - F.max(F.when(F.col(touched), F.col("bar_no"))).over(rows(Window.unboundedPreceding, 0)) < k)
 
 
 def ma60_law_flag(tol: float = 0.025) -> Column:
@@ -74,35 +74,42 @@ def support_resistance_role(lines: dict[str, Column], close: Column, low: Column
 
 def former_peak_ref() -> Column:
     """Highest high 60 to 2 bars before, truncated; carried from a reference candle."""
-    return F.max("high").over(rows(-60, -2)).cast("long")
+    return ind.extreme("high", 59, -2).cast("long")
 
 
 def pre_breakout_low() -> Column:
-    return F.min("low").over(rows(-60, -3))
+    return ind.extreme("low", 58, -3)
 
 
-def breakout_bar(n: int, min_turnover: float = 2e9, surge: float = 2.5) -> Column:
-    """The close crosses its n-bar mean on a surge of volume."""
-    mean, before = ind.sma(n), ind.full_mean(F.col("close"), n, -1)
+def breakout_bar(n: int, min_turnover: float = 2e9, surge: float = 2.5, known: bool = False) -> Column:
+    """The close crosses its n-bar mean on a surge of volume; known: ma<n> and v20 are columns already."""
+    mean, before, usual = (F.col(f"ma{n}"), back(f"ma{n}"), F.col("v20")) if known else (ind.sma(n), ind.full_mean("close", n, -1), ind.volume_sma(20))
     crossed = (F.col("close") > mean) & (back("close") <= before)
-    return yes(crossed & (F.col("close") * F.col("volume") >= min_turnover) & (F.col("volume") >= surge * ind.volume_sma(20)))
+    return yes(crossed & (F.col("close") * F.col("volume") >= min_turnover) & (F.col("volume") >= surge * usual))
 
 
 def latest_flag_within(flag: Column, payload: list[Column], k: int = 30) -> Column:
     """Struct (bar_no, payload...) of the latest bar of the last k whose flag column holds, else null."""
-    return F.max(F.when(flag, F.struct(F.col("bar_no"), *payload))).over(rows(-(k - 1), 0))
+    latest = F.last(F.when(flag, F.struct(F.col("bar_no"), *payload)), ignorenulls=True).over(rows(Window.unboundedPreceding, 0))
+    return F.when(F.col("bar_no") - latest["bar_no"] < k, latest)
 
 
-def candle_ages(max_age: int = 15) -> Column:
-    """Array of the standard candles of the last bars, newest last; needs a column candle (struct or null)."""
-    return F.collect_list("candle").over(rows(-max_age, 0))
+def reference_candle(candle: str = "candle", max_age: int = 15, bars: Column | None = None) -> Column:
+    """The standard candle (struct with bar_no and volume, or null) that a bar refers to.
 
+    Its own, else the youngest of the last bars that is 3 bars old or has more volume than the bar. Those of age 1
+    and 2 are looked up, the others are the last one carried along, so no frame is gathered. bars:
+    number of bars of the slice, which must hold the candle and the bar before it.
+    """
+    bar_no = F.col("bar_no")
+
+    def held(c: Column) -> Column:
+        age = bar_no - c["bar_no"]
+        return F.when((age <= max_age) if bars is None else (age <= max_age) & (age < bars - 1), c)
 
-def reference_candle(candles: Column, bar_no: Column, volume: Column) -> Column:
-    """The candle of age 0, else the youngest that is 3 bars old or has more volume than today."""
-    today = F.filter(candles, lambda c: c["bar_no"] == bar_no)
-    older = F.filter(candles, lambda c: (c["bar_no"] < bar_no) & ((bar_no - c["bar_no"] >= 3) | (volume < c["volume"])))
-    return F.coalesce(F.try_element_at(today, F.lit(1)), F.array_max(older))
+    young = [F.when(F.col("volume") < back(candle, k)["volume"], held(back(candle, k))) for k in (1, 2)]
+    old = F.last(candle, ignorenulls=True).over(rows(Window.unboundedPreceding, -3))
+    return F.coalesce(held(F.col(candle)), *young, held(old))
 
 
 def gap_up_after(open_after: Column, close_ref: Column) -> Column:

@@ -18,17 +18,23 @@ MEANS = (3, 5, 8, 10, 13, 15, 20, 60, 120, 224)
 
 
 def numbered(bars: DataFrame, lookback_days: int | None = None) -> DataFrame:
-    """Bars with day (integer day number), bar_no in the series and n_bars in the slice."""
+    """Bars with day (integer day number), bar_no in the series, n_bars in the slice, and the running columns of the indicators."""
     days = bars.withColumn("day", F.datediff("dt", F.lit("1970-01-01").cast("date")))
-    return days.withColumns({"bar_no": F.row_number().over(series()), "n_bars": ind.in_slice(lookback_days)})
+    return ind.with_running(days).withColumn("n_bars", ind.in_slice(lookback_days))
 
 
-def features(bars: DataFrame, lookback_days: int | None = None) -> DataFrame:
-    """numbered bars with means, volume means, returns, values of the bar before and the window high."""
+def features(bars: DataFrame, lookback_days: int | None = None, keep_running: bool = False) -> DataFrame:
+    """Bars with bar_no, n_bars, means, volume means, returns, values of the bar before, the window high and pre_low.
+
+    keep_running leaves the running columns in, for indicators that are added later.
+    """
     cols: dict[str, Column] = {f"ma{n}": ind.sma(n) for n in MEANS}
-    cols |= {"v5": ind.volume_sma(5), "v20": ind.volume_sma(20), "ret": ind.daily_return(), "c1": back("close"), "o1": back("open"), "vol1": back("volume"), "win_high": ind.window_high(lookback_days=lookback_days)}
-    first = numbered(bars, lookback_days).withColumns(cols)
-    return first.withColumns({"ret1": F.lag("ret").over(series()), "v20_1": F.lag("v20").over(series()), "ma5_1": F.lag("ma5").over(series()), "ma20_1": F.lag("ma20").over(series())})
+    cols |= {"v5": ind.volume_sma(5), "v20": ind.volume_sma(20), "ret": ind.daily_return(), "c1": back("close"), "o1": back("open"), "vol1": back("volume"), "win_high": ind.window_high(lookback_days=lookback_days), "pre_low": pat.pre_breakout_low()}
+    first = numbered(bars, lookback_days)
+    helpers = [c for c in first.columns if c.startswith("__")]
+    done = first.withColumns(cols)
+    done = done if keep_running else done.drop(*helpers)
+    return done.withColumns({"ret1": F.lag("ret").over(series()), "v20_1": F.lag("v20").over(series()), "ma5_1": F.lag("ma5").over(series()), "ma20_1": F.lag("ma20").over(series())})
 
 
 def held(mean: str | Column, n: int, k: int = 0) -> Column:
@@ -39,10 +45,10 @@ def held(mean: str | Column, n: int, k: int = 0) -> Column:
 
 def breakouts(feats: DataFrame, spans: tuple[int, ...] = (60, 120, 224), k: int = 30, min_turnover: float = 2e9, surge: float = 2.5) -> DataFrame:
     """feats with b60, b120, b224: struct (bar_no, low60) of the latest breakout of the last k bars."""
-    flagged = feats.withColumns({f"__x{n}": pat.breakout_bar(n, min_turnover, surge) for n in spans} | {"__low": pat.pre_breakout_low()})
-    low = F.col("__low").alias("low60")
+    flagged = feats.withColumns({f"__x{n}": pat.breakout_bar(n, min_turnover, surge, known=True) for n in spans})
+    low = F.col("pre_low").alias("low60")
     found = flagged.withColumns({f"b{n}": pat.latest_flag_within(F.col(f"__x{n}"), [low], k) for n in spans})
-    return found.drop("__low", *(f"__x{n}" for n in spans))
+    return found.drop(*(f"__x{n}" for n in spans))
 
 
 def as_of(bars: DataFrame, target: str, lookback_days: int | None = 400) -> DataFrame:

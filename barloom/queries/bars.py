@@ -271,7 +271,7 @@ SELECT code, dt, round(coalesce(list_filter(m, lambda x: x > 0 AND x <= close)[-
   round(coalesce(list_filter(m, lambda x: x > close)[1], CASE WHEN peak > close THEN peak END, close * 1.1), 6) AS resistance FROM l"""
 )
 def p13_support_resistance(spark, sf_dir):
-    f = features(panel(spark, sf_dir)).withColumn("peak", F.max("high").over(ind.rows(-21, -2)))
+    f = features(panel(spark, sf_dir), keep_running=True).withColumn("peak", ind.extreme("high", 20, -2))
     s, r = pat.support_resistance_role({f"{n}MA": F.col(f"ma{n}") for n in (5, 20, 60, 120)}, F.col("close"), F.col("low"), F.col("peak"))
     return f.select("code", "dt", r6("support", s), r6("resistance", r))
 
@@ -370,8 +370,7 @@ WHERE n.bar_no = x.bar_no OR x.bar_no - n.bar_no >= 3 OR x.volume < n.volume GRO
 )
 def w16_reference_candle_age(spark, sf_dir):
     f = numbered(panel(spark, sf_dir)).withColumn("candle", F.when(pat.standard_candle(30000.0), F.struct("bar_no", "volume")))
-    f = f.withColumn("recent", pat.candle_ages())
-    ref = pat.reference_candle(F.col("recent"), F.col("bar_no"), F.col("volume"))
+    ref = pat.reference_candle()
     return f.select("code", "dt", (F.col("bar_no") - ref["bar_no"]).alias("age")).where("age is not null")
 
 
@@ -410,7 +409,7 @@ z AS (SELECT *, coalesce(bar_no = b[2], false) OR coalesce(ret >= 4 AND ratio >=
 SELECT code, dt, CASE WHEN fresh THEN 'base_today' WHEN dry THEN 'dry_pullback' ELSE 'steady' END AS state, round(CASE WHEN NOT fresh AND dry THEN (1 - volume / b[1]) * 100 END, 6) AS drop FROM z"""
 )
 def w23_volume_state(spark, sf_dir):
-    f = features(panel(spark, sf_dir)).withColumns({"base": pat.base_candle_recent(20000.0), "ratio": ind.volume_ratio()})
+    f = features(panel(spark, sf_dir), keep_running=True).withColumns({"base": pat.base_candle_recent(20000.0), "ratio": ind.volume_ratio()})
     f = f.withColumn("b", F.max(F.when(F.col("base"), F.struct("volume", "bar_no"))).over(ind.rows(-29, 0)))
     state, drop = pat.volume_state(F.col("bar_no") - F.col("b.bar_no"), F.col("b.volume"), F.col("ret"), F.col("ratio"))
     return f.select("code", "dt", state.alias("state"), r6("drop", drop))

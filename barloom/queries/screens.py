@@ -337,7 +337,7 @@ def j7_corp_join(spark, sf_dir):
 
 @query(f"WITH {W}, {candle_sql(500, 60000.0)}, {candle_sql(150, 30000.0)} SELECT scan_date, code, candle_class FROM p500 UNION ALL SELECT scan_date, code, candle_class FROM p150 WHERE (scan_date, code) NOT IN (SELECT (scan_date, code) FROM p500)")
 def j8_integrate(spark, sf_dir):
-    f = scans.supports(scans.candle_features(panel(spark, sf_dir), {500: 60000.0, 150: 30000.0}, None))
+    f = scans.candle_features(panel(spark, sf_dir), {500: 60000.0, 150: 30000.0}, None)
     return scans.candle_picks(f, 500, 150).select("scan_date", "code", "candle_class")
 
 

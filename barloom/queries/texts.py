@@ -234,7 +234,7 @@ EVEN_PCT = f"format('{{:+.2f}}%', sign(rate) * (trunc({HUNDREDTHS}) + CASE WHEN
 
 
 def commented(spark, sf_dir):
-    f = features(panel(spark, sf_dir)).withColumns({"rate": F.coalesce("ret", F.lit(0.0)), "vol_ratio": ind.volume_ratio(), "former_peak": F.coalesce(ind.former_peak_recent(), F.lit(0.0))})
+    f = features(panel(spark, sf_dir), keep_running=True).withColumns({"rate": F.coalesce("ret", F.lit(0.0)), "vol_ratio": ind.volume_ratio(), "former_peak": F.coalesce(ind.former_peak_recent(), F.lit(0.0))})
     return f.where("bar_no >= 25")
 
 

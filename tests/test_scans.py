@@ -180,7 +180,7 @@ def test_upsert_writes_only_the_months_of_the_batch(spark, bars, tmp_path):
 
 
 def test_candles_are_sorted_and_chosen_in_one_pass(spark, bars):
-    f = scans.supports(scans.candle_features(bars, {500: 2000.0, 150: 500.0}, None))
+    f = scans.candle_features(bars, {500: 2000.0, 150: 500.0}, None)
     rows = lambda df: sorted(map(str, df.collect()))
     one = scans.candle_picks(f, 500, 150)
     assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(code") == 1
@@ -218,8 +218,7 @@ def test_reference_candle_search(spark):
         days[16] = days[19] = candle("a", 16, 100, 100, 100, 100, 500)
         days[16], days[19] = candle("a", 16, 100, 100, 100, 100, 500), candle("a", 19, 100, 100, 100, 100, volume_today)
         f = feat.numbered(spark.createDataFrame(days, SCHEMA)).withColumn("candle", F.when(pat.standard_candle(1000.0), F.struct("bar_no", "volume")))
-        f = f.withColumn("r", pat.candle_ages())
-        ref = pat.reference_candle(F.col("r"), F.col("bar_no"), F.col("volume"))
+        ref = pat.reference_candle()
         return f.select("dt", (F.col("bar_no") - ref["bar_no"]).alias("age")).orderBy(F.desc("dt")).first()["age"]
 
     assert search(2000) == 4 and search(900) == 1
