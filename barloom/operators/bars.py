@@ -21,12 +21,16 @@ def bars_from_listing(listing: DataFrame, dt: Column | str) -> DataFrame:
 
 
 def upsert_bars(store: DataFrame, batch: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Insert or replace on (code, dt): a bar of the batch wins; inside it the largest seq_col."""
+    """Insert or replace on (code, dt): a bar of the batch wins; inside it the largest seq_col, then the largest values.
+
+    An aggregate that combines before the shuffle, so repeated keys travel once.
+    """
     order = F.col(seq_col) if seq_col else F.lit(0)
     old = store.select(*KEYS, *FIELDS, F.lit(0).alias("__batch"), F.lit(None).cast("long").alias("__seq"))
     new = batch.select(*KEYS, *FIELDS, F.lit(1).alias("__batch"), order.cast("long").alias("__seq"))
-    newest = Window.partitionBy(*KEYS).orderBy(F.desc("__batch"), F.desc_nulls_last("__seq"))
-    return old.unionByName(new).withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").select(*KEYS, *FIELDS)
+    order = F.struct("__batch", F.coalesce("__seq", F.lit(-(2**63))), *FIELDS)
+    newest = old.unionByName(new).groupBy(*KEYS).agg(F.max_by(F.struct(*FIELDS), order).alias("bar"))
+    return newest.select(*KEYS, "bar.*")
 
 
 def bars_complete(bars: DataFrame, min_codes: int = 1000) -> DataFrame:
@@ -43,12 +47,17 @@ def find_missing_days(bars: DataFrame, target: str, lookback_days: int = 20, max
     return short.withColumn("__all", F.count("*").over(Window.partitionBy())).where(F.col("__all") <= max_gap_days).drop("__all")
 
 
-def backfill_bars(store: DataFrame, history: DataFrame, universe: DataFrame, missing: DataFrame) -> DataFrame:
-    """The store with the history of the universe's codes over the whole span of the missing days."""
+def backfill_rows(history: DataFrame, universe: DataFrame, missing: DataFrame) -> DataFrame:
+    """The history of the universe's codes over the whole span of the missing days."""
     span = missing.agg(F.min("dt").alias("__from"), F.max("dt").alias("__to"))
     rows = history.join(universe.select("code").distinct(), "code", "left_semi").crossJoin(F.broadcast(span)).where(F.col("dt").between(F.col("__from"), F.col("__to")))
     filled = [falsy_default(number_or_null(F.col(n)), F.col("close")).alias(n) for n in ("open", "high", "low")]
-    return upsert_bars(store, rows.select(*KEYS, *filled, "close", falsy_default(number_or_null(F.col("volume")), F.lit(0.0)).alias("volume")))
+    return rows.select(*KEYS, *filled, "close", falsy_default(number_or_null(F.col("volume")), F.lit(0.0)).alias("volume"))
+
+
+def backfill_bars(store: DataFrame, history: DataFrame, universe: DataFrame, missing: DataFrame) -> DataFrame:
+    """The store with the history over the missing days."""
+    return upsert_bars(store, backfill_rows(history, universe, missing))
 
 
 def prune_bars(bars: DataFrame, target: str, days_to_keep: int = 430) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import universe as uni
 from ..plans.features import features, numbered
 from ..scratch import scratch_path
 from ..sources import readers, sinks
+from ..sources.store import BarStore
 from . import query
 from .derived import FEATS, LISTING, MEANS, OVER, PANEL, WIDE, frame, lag_sql, listing, mean_sql, panel, projected_sql, table
 
@@ -67,10 +68,10 @@ def s3_upsert_bars(spark, sf_dir):
     old = b.where("dt < date'1999-06-01'")
     new = b.where("dt >= date'1999-01-01' and dt < date'2000-01-01'").withColumn("close", F.col("close") + 1)
     twice = new.withColumn("seq", F.lit(2)).unionByName(new.withColumns({"close": F.col("close") + 5, "seq": F.lit(1)}))
-    path = scratch_path(spark, "store")
-    sinks.write_bars(old, path)
-    sinks.upsert_store(twice, path, "seq")
-    return spark.read.parquet(path).select(*BAR)
+    kept = BarStore(spark, scratch_path(spark, "store"))
+    kept.upsert(old)
+    kept.upsert(twice, "seq")
+    return kept.read()
 
 
 @query(f"WITH {PANEL} SELECT dt, count(*) AS n_bars, count(*) >= 9 AS complete FROM bars GROUP BY dt")
@@ -105,7 +106,11 @@ def s6_backfill_bars(spark, sf_dir):
 
 @query(f"WITH {PANEL} SELECT * FROM bars WHERE dt >= DATE '{TARGET}' - 430")
 def s7_prune_bars(spark, sf_dir):
-    return store.prune_bars(panel(spark, sf_dir), TARGET)
+    """Expired months leave the store unread; the oldest kept one is rewritten."""
+    kept = BarStore(spark, scratch_path(spark, "store"))
+    kept.upsert(panel(spark, sf_dir))
+    kept.prune(TARGET, 430)
+    return kept.read()
 
 
 @query(
@@ -113,8 +118,12 @@ def s7_prune_bars(spark, sf_dir):
 SELECT code, dt, open, high, low, close, volume FROM kept UNION ALL SELECT code, dt, open, high, low, close, volume FROM today"""
 )
 def s8_sync_bars(spark, sf_dir):
+    """A store that the daily job prunes and completes in one commit."""
     b = panel(spark, sf_dir)
-    return store.sync_bars(b, listing(spark, sf_dir), b, "2002-01-02")
+    kept = BarStore(spark, scratch_path(spark, "store"))
+    kept.upsert(b)
+    kept.sync(listing(spark, sf_dir), b, "2002-01-02")
+    return kept.read()
 
 
 CANDLE_LOG = f"WITH {PANEL} SELECT CAST(dt AS VARCHAR) AS date, code, close, volume FROM bars WHERE dt BETWEEN DATE '{TARGET}' - 20 AND DATE '{TARGET}'"
@@ -133,10 +142,10 @@ def s9_read_candle_log(spark, sf_dir):
 
 @query(CANDLE_LOG)
 def s10_prune_candle_log(spark, sf_dir):
-    path, out = scratch_path(spark, "log"), scratch_path(spark, "log")
-    panel(spark, sf_dir).where(F.col("dt") <= F.lit(TARGET).cast("date")).select(F.col("dt").cast("string").alias("date"), "code", "close", "volume").write.json(path)
-    readers.prune_candle_log(spark, path, out, TARGET)
-    return spark.read.schema("date string, code string, close double, volume double").json(out)
+    log = readers.candle_log(spark, scratch_path(spark, "log"))
+    log.replace(panel(spark, sf_dir).where(F.col("dt") <= F.lit(TARGET).cast("date")).select(F.col("dt").cast("string").alias("date"), "code", F.lit(None).cast("string").alias("name"), "close", "volume"))
+    readers.prune_candle_log(log, TARGET)
+    return log.read().drop("name")
 
 
 RATE = "CASE WHEN abs(change) < 1 THEN change * 100 ELSE change END"

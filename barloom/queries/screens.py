@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import indicators as ind
 from ..functions.indicators import back
 from ..functions.scalars import touch_list
-from ..operators import charts, joins, ranking, scans, watchlist
+from ..operators import asof, charts, joins, ranking, scans, watchlist
 from ..plans.features import numbered
+from ..scratch import scratch_path
+from ..sources.store import DatedStore
 from . import query
 from .bars import CANDLE, breakout_sql, near_sql
 from .derived import CODE, FEATS, LISTING, OVER, PANEL, THEMES, frame, lag_sql, listing, mean_sql, panel, projected_sql, supplier_code, table, themes
@@ -294,16 +297,30 @@ def j1_universe_bars(spark, sf_dir):
     return scans.scan_volume_surge(panel(spark, sf_dir), solvent, lookback_days=None)
 
 
-@query(f"WITH {FEATS}, a AS ({ANCHORS}) SELECT t.code, t.dt, a.anchor_date FROM bars t JOIN a ON a.code = t.code AND t.dt - a.anchor_date BETWEEN 1 AND 35")
+SURGES = f"""{PANEL}, surges AS MATERIALIZED (SELECT code, dt AS anchor_date FROM
+  (SELECT *, row_number() OVER ({OVER}) AS n_bars, {mean_sql('volume', 20)} AS v20 FROM bars) WHERE n_bars >= 224 AND v20 > 0 AND volume >= 1.2 * v20)"""
+
+
+@query(f"WITH {SURGES} SELECT t.code, t.dt, a.anchor_date FROM bars t JOIN surges a ON a.code = t.code AND t.dt BETWEEN a.anchor_date + 1 AND a.anchor_date + 35")
 def j2_watchlist_bars(spark, sf_dir):
-    known = anchors(spark, sf_dir).select("code", "anchor_date")
-    return panel(spark, sf_dir).join(known, "code").where(F.datediff("dt", "anchor_date").between(1, 35)).select("code", "dt", "anchor_date")
+    """The bars 1 to 35 days after each volume surge; a code has many."""
+    surges = c1(spark, sf_dir).select("code", F.col("scan_date").alias("anchor_date"))
+    return asof.range_join(panel(spark, sf_dir).select("code", "dt"), surges, "code", "dt", "anchor_date", 1, 35)
+
+
+@query(f"WITH {SURGES}, days AS (SELECT code, dt + 3 AS day FROM bars) SELECT d.code, d.day, a.anchor_date FROM days d ASOF LEFT JOIN surges a ON a.code = d.code AND d.day >= a.anchor_date")
+def j2_latest_surge(spark, sf_dir):
+    """The latest surge as of three days after each bar, whether or not that day has a bar."""
+    surges = c1(spark, sf_dir).select("code", F.col("scan_date").alias("anchor_date"))
+    days = panel(spark, sf_dir).select("code", F.date_add("dt", 3).alias("day"))
+    return asof.as_of_join(days, surges, "code", "day", "anchor_date")
 
 
 @query(f"WITH {FEATS}, p AS ({C5}) SELECT p.scan_date, p.code, f.dt AS next_day, f.close AS next_close FROM p JOIN (SELECT *, {lag_sql('dt')} AS d1 FROM feats) f ON f.code = p.code AND f.d1 = p.scan_date")
 def j3_picks_next_bar(spark, sf_dir):
-    nxt = numbered(panel(spark, sf_dir)).withColumn("scan_date", back("dt")).select("code", "scan_date", F.col("dt").alias("next_day"), F.col("close").alias("next_close"))
-    return c5(spark, sf_dir).select("code", "scan_date").join(nxt, ["code", "scan_date"])
+    """The first bar after each pick, whenever it comes."""
+    following = panel(spark, sf_dir).select("code", F.col("dt").alias("next_day"), F.col("close").alias("next_close"))
+    return asof.as_of_join(c5(spark, sf_dir).select("code", "scan_date"), following, "code", "scan_date", "next_day", forward=True, strict=True, inner=True)
 
 
 @query(
@@ -429,7 +446,11 @@ def t9_carry_forward_one_strategy(spark, sf_dir):
 
 @query(f"WITH {FEATS}, a AS ({C1}), b AS ({C5}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE scan_date NOT IN (SELECT scan_date FROM b)")
 def t10_replace_date_slice(spark, sf_dir):
-    return ranking.replace_date_slice(c1(spark, sf_dir), c5(spark, sf_dir))
+    """Results stored by month; those of the later scan replace their dates in the months that they touch."""
+    kept = DatedStore(spark, scratch_path(spark, "results"), schemas.PICK.replace("name string, ", ""), "scan_date")
+    kept.replace(c1(spark, sf_dir))
+    kept.replace_dates(c5(spark, sf_dir))
+    return kept.read()
 
 
 @query(f"WITH {LISTING} SELECT code, market FROM listing WHERE market IN ('KOSPI', 'KOSDAQ')")

@@ -477,7 +477,7 @@ def f6_publish_latest(spark, sf_dir):
     picks = c1(spark, sf_dir).unionByName(c5(spark, sf_dir))
     for _ in range(2):
         sinks.write_latest(picks, path)
-    return spark.read.schema("scan_date date, code string, close bigint, strategy string").json(f"{path}/latest").select("scan_date", "strategy", "code", "close")
+    return sinks.latest_store(spark, path, "scan_date date, strategy string, code string, close bigint").read()
 
 
 @query("SELECT conv_id, list(role ORDER BY turn)[1:3] AS roles FROM conversations GROUP BY conv_id")

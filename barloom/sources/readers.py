@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalars import parse_two_date_formats
 from ..plans.features import as_of
+from .store import PartStore
 
 
 def read_bars_window(spark: SparkSession, path: str, target: str, lookback_days: int | None = 400) -> DataFrame:
@@ -19,16 +20,25 @@ def read_bars_window(spark: SparkSession, path: str, target: str, lookback_days:
     return as_of(stored, target, lookback_days).select("code", "dt", "open", "high", "low", "close", "volume")
 
 
+def recent_candles(rows: DataFrame, as_of_date: str, days: int = 20) -> DataFrame:
+    """Rows of the last days by their text date; rows with bad dates go."""
+    return rows.where(parse_two_date_formats(F.col("date")) >= F.date_sub(F.lit(as_of_date).cast("date"), days))
+
+
 def read_candle_log(spark: SparkSession, path: str, as_of_date: str, days: int = 20) -> DataFrame:
     """NDJSON rows of the last days; blank lines, bad JSON and bad dates are skipped."""
     raw = spark.read.schema(schemas.CANDLE_LOG + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    day = parse_two_date_formats(F.col("date"))
-    return raw.where("_corrupt_record is null").drop("_corrupt_record").where(day >= F.date_sub(F.lit(as_of_date).cast("date"), days))
+    return recent_candles(raw.where("_corrupt_record is null").drop("_corrupt_record"), as_of_date, days)
+
+
+def candle_log(spark: SparkSession, path: str) -> PartStore:
+    """A log of candles that is replaced as a whole."""
+    return PartStore(spark, path, schemas.CANDLE_LOG, F.lit("log"), "json")
 
 
-def prune_candle_log(spark: SparkSession, path: str, out: str, as_of_date: str, days: int = 20) -> None:
-    """The kept rows as a new log; the caller swaps the paths."""
-    read_candle_log(spark, path, as_of_date, days).write.json(out)
+def prune_candle_log(log: PartStore, as_of_date: str, days: int = 20) -> None:
+    """Keep the last days, by one commit; readers see the log before or after."""
+    log.replace(recent_candles(log.read(), as_of_date, days))
 
 
 def read_picks_json(spark: SparkSession, path: str, schema: str = schemas.PICK_JSON) -> DataFrame:

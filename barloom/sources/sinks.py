@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bars import upsert_bars
-from ..scratch import scratch_path
+from .store import PartStore
 
 
 def write_picks(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -20,17 +19,6 @@ def write_bars(df: DataFrame, path: str) -> None:
     months.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def upsert_store(batch: DataFrame, path: str, seq_col: str | None = None) -> None:
-    """Upsert a batch into the stored bars: only the batch's months are read, merged and written."""
-    spark = batch.sparkSession
-    month = F.date_format("dt", "yyyy-MM")
-    months = [r["m"] for r in batch.select(month.alias("m")).distinct().collect()]  # a batch spans few months
-    old = spark.read.parquet(path).where(F.col("month").isin(months))
-    merged = scratch_path(spark, "merged")  # what is read and what is overwritten are the same files
-    upsert_bars(old, batch, seq_col).write.parquet(merged)
-    write_bars(spark.read.parquet(merged), path)
-
-
 def write_integrated(scan_results: DataFrame, ma_stocks: DataFrame, path: str) -> None:
     """an object a date and line."""
     write_text(integrated(scan_results, ma_stocks), path)
@@ -82,15 +70,23 @@ def publish_latest(picks: DataFrame) -> DataFrame:
     return picks.join(newest, ["strategy", "scan_date"], "left_semi").select(*picks.columns)
 
 
+def latest_store(spark: SparkSession, path: str, schema: str) -> PartStore:
+    """The published results under latest/, a part a strategy."""
+    return PartStore(spark, f"{path}/latest", schema, F.col("strategy"), "json")
+
+
 def write_latest(picks: DataFrame, path: str) -> None:
-    """the newest results under latest/, a folder a strategy; strategies without picks keep theirs."""
-    publish_latest(picks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy").json(f"{path}/latest")
+    """publish the newest results by one commit; strategies without picks keep theirs."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picks.schema.fields)
+    latest_store(picks.sparkSession, path, schema).replace(publish_latest(picks))
 
 
 def write_dated_arrays(picks: DataFrame, fields: list[str], path: str) -> None:
-    """A JSON array of picks for each date and strategy, in a folder named as its dated file."""
+    """A JSON array of picks for each date and strategy, in the order of pos, if any, and fields; in a folder named as its dated file."""
     name = F.concat(F.lit("scan_results_"), "strategy", F.lit("_"), F.date_format("scan_date", "yyyyMMdd"), F.lit(".json"))
-    arrays = picks.groupBy("scan_date", "strategy").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
+    order = F.struct(*(c for c in ("pos", *fields) if c in picks.columns))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("r")))), lambda x: x["r"])
+    arrays = picks.groupBy("scan_date", "strategy").agg(F.to_json(rows).alias("value"))
     arrays.select(name.alias("file"), "value").write.mode("overwrite").partitionBy("file").text(path)
 
 

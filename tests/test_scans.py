@@ -166,19 +166,6 @@ def test_date_filter_reaches_the_scan(spark, bars, tmp_path):
     assert "month" in kept._jdf.queryExecution().executedPlan().toString().partition("PartitionFilters: [")[2].partition("]")[0]
 
 
-def test_upsert_writes_only_the_months_of_the_batch(spark, bars, tmp_path):
-    from barloom.sources import sinks
-
-    path = str(tmp_path / "bars")
-    sinks.write_bars(bars, path)
-    files = lambda: {f for f in map(str, (tmp_path / "bars").rglob("*.parquet"))}
-    before, batch = files(), bars.where("dt between date'2020-03-05' and date'2020-04-02'").withColumn("close", F.col("close") + 1)
-    want = sorted(tuple(r) for r in store.upsert_bars(bars, batch).collect())
-    sinks.upsert_store(batch, path)
-    assert {f.split("month=")[1][:7] for f in before ^ files()} == {"2020-03", "2020-04"}
-    assert sorted(tuple(r) for r in spark.read.parquet(path).select(*store.KEYS, *store.FIELDS).collect()) == want
-
-
 def test_candles_are_sorted_and_chosen_in_one_pass(spark, bars):
     f = scans.candle_features(bars, {500: 2000.0, 150: 500.0}, None)
     rows = lambda df: sorted(map(str, df.collect()))
