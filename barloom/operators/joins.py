@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the theme of stocks without one.
@@ -53,10 +53,11 @@ def news_code_join(tokens: DataFrame, names: DataFrame, aliases: DataFrame) -> D
     return joined.withColumn("code", F.coalesce("__a", "__b")).where("code is not null").drop("__a", "__b")
 
 
-def dedup_first(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key in an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in an explicit order, then by content (U2): an aggregate that combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.struct(*rest).alias("r"))).alias("__first"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"__first.{c}") for c in df.columns))
 
 
 def merge_keyed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

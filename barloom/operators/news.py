@@ -62,11 +62,11 @@ def news_blocks(lines: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def news_tokens(blocks: DataFrame) -> DataFrame:
-    """A row for each 'name (+n%)' of a header; without one the text before '(' and an empty rate."""
+    """A row (token: its place) for each 'name (+n%)' of a header; without one the text before '(' and an empty rate."""
     names, rates = (F.regexp_extract_all("header", F.lit(TOKEN), i) for i in (1, 2))
     found = F.arrays_zip(names.alias("n"), rates.alias("r"))
     alone = F.array(F.struct(F.element_at(F.split("header", r"\("), 1).alias("n"), F.lit("").alias("r")))
-    rows = blocks.withColumn("t", F.explode(F.when(F.size(names) > 0, found).otherwise(alone)))
+    rows = blocks.select("*", F.posexplode(F.when(F.size(names) > 0, found).otherwise(alone)).alias("token", "t"))
     return rows.withColumns({"stock_name": F.regexp_replace("t.n", r"^\s+|\s+$", ""), "rate": F.col("t.r")}).drop("t")
 
 
@@ -75,7 +75,7 @@ def news_items(files: DataFrame, names: DataFrame, aliases: DataFrame, encode: b
     blocks = news_blocks(news_lines(news_dates(files))).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.length("text") >= 5)
     items = news_code_join(news_tokens(blocks), names, aliases)
     items = items.withColumns({"title": F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80), "content": F.substring("text", 1, 600)})
-    items = dedup_first(items.withColumn("__t", F.substring("title", 1, 30)), ["code", "news_date", "__t"], ["path", "block", "stock_name"]).drop("__t")
+    items = dedup_first(items.withColumn("__t", F.substring("title", 1, 30)), ["code", "news_date", "__t"], ["path", "block", "token"]).drop("__t")
     if encode:
         items = items.withColumns({"title": encode_b64(F.col("title")), "content": encode_b64(F.col("content"))})
     return items.select("code", "news_date", "stock_name", "category", "rate", "title", "content")

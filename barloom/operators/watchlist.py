@@ -10,6 +10,7 @@ from ..functions.indicators import series
 from ..functions.patterns import yes
 from ..functions.scalars import touch_list
 from ..plans.features import as_of, last_bar, numbered
+from .joins import dedup_first
 
 
 def register_anchors(watchlist: DataFrame, picks: DataFrame, signal_date: str | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -17,9 +18,8 @@ def register_anchors(watchlist: DataFrame, picks: DataFrame, signal_date: str |
 
     A code's first signal is final. signal_date None takes each pick's own scan_date.
     """
-    first = Window.partitionBy("code").orderBy(*order)
     day = F.col("scan_date") if signal_date is None else F.lit(signal_date).cast("date")
-    new = picks.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").join(watchlist.select("code"), "code", "left_anti")
+    new = dedup_first(picks, ["code"], list(order)).join(watchlist.select("code"), "code", "left_anti")
     rows = new.select("code", "name", day.alias("anchor_date"), F.col("close").cast("long").alias("anchor_close"), "pattern", F.lit("active").alias("status"))
     return watchlist.select("code", "name", "anchor_date", "anchor_close", "pattern", "status").unionByName(rows)
 

@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_of(spark: SparkSession, sf_dir: str, code: Column) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(
+def bars_of(spark: SparkSession, sf_dir: str, code: Column, lines: DataFrame | None = None) -> DataFrame:
+    rows = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         F.lpad(code.cast("string"), 6, "0").alias("code"),
         F.col("l_shipdate").cast("date").alias("dt"),
         F.floor(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).cast("double").alias("p"),
@@ -30,16 +30,23 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(spark, sf_dir, F.col("l_suppkey"))
 
 
-def bars_sql(code: str) -> str:
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a code for each nation's suppliers: few series with a bar nearly every day."""
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    return bars_of(spark, sf_dir, F.col("nation"), table(spark, sf_dir, "lineitem").join(nation, "l_suppkey"))
+
+
+def bars_sql(code: str, rows: str = "lineitem") -> str:
     key = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
     return f"""(SELECT code, dt, first(p ORDER BY {key}) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY {key}) AS close, sum(q) AS volume
   FROM (SELECT lpad(CAST({code} AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS dt,
-               floor(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) AS p, CAST(l_quantity AS DOUBLE) AS q, {key} FROM lineitem)
+               floor(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) AS p, CAST(l_quantity AS DOUBLE) AS q, {key} FROM {rows})
   GROUP BY code, dt)"""
 
 
 PANEL = "bars AS " + bars_sql("l_suppkey")
 WIDE = "wide AS " + bars_sql("l_suppkey")
+DENSE = "dense AS " + bars_sql("s_nationkey", "lineitem JOIN supplier ON s_suppkey = l_suppkey")
 OVER = "PARTITION BY code ORDER BY dt"
 
 

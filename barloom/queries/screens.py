@@ -15,7 +15,7 @@ from ..scratch import scratch_path
 from ..sources.store import DatedStore
 from . import query
 from .bars import CANDLE, breakout_sql, near_sql
-from .derived import CODE, FEATS, LISTING, OVER, PANEL, THEMES, frame, lag_sql, listing, mean_sql, panel, projected_sql, supplier_code, table, themes
+from .derived import CODE, DENSE, FEATS, LISTING, OVER, PANEL, THEMES, dense, frame, lag_sql, listing, mean_sql, panel, projected_sql, supplier_code, table, themes
 
 RATE = "round(ret, 6) AS rate"
 
@@ -118,6 +118,49 @@ def c5_scan_as_of(spark, sf_dir):
     return scans.scan_strong_candle(b, target=newest(b), min_bars=30, high=300.0, surge=1.5, min_turnover=0.0)
 
 
+def slices_sql(pick: str, more: str = "", source: str = "feats") -> str:
+    """The picks of each code's last bar of each month, from slices of 400 days cut for each; pick reads from lastrow."""
+    cut = f"""{DENSE},
+ends AS (SELECT code, max(dt) AS day FROM dense GROUP BY code, date_trunc('month', dt)),
+bars AS (SELECT e.code || ' ' || strftime(e.day, '%Y-%m-%d') AS code, dt, open, high, low, close, volume FROM ends e JOIN dense b ON b.code = e.code AND b.dt BETWEEN e.day - 400 AND e.day),
+f0 AS ("""
+    feats = cut + FEATS.partition("f0 AS (")[2]
+    return f"WITH {feats}{more}, lastrow AS (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY code ORDER BY dt DESC) = 1) SELECT * REPLACE (split_part(code, ' ', 1) AS code) FROM ({pick})"
+
+
+def at_month_ends(spark, sf_dir, scan, **settings):
+    """A scan of every date over slices of 400 days, at each code's last bar of each month."""
+    d = dense(spark, sf_dir)
+    ends = d.groupBy("code", F.trunc("dt", "month")).agg(F.max("dt").alias("scan_date")).select("code", "scan_date")
+    return scan(d, **settings).join(ends, ["code", "scan_date"], "left_semi")
+
+
+@query(slices_sql(C1.replace("FROM feats", "FROM lastrow")))
+def c1_scan_at_month_ends(spark, sf_dir):
+    """With the gate of 224 bars and a slice that holds about 240."""
+    return at_month_ends(spark, sf_dir, scans.scan_volume_surge)
+
+
+@query(slices_sql(pick_sql(C2.format(gate=224), "podosi", "pattern", "lastrow"), ", " + RETEST, "z"))
+def c2_scan_at_month_ends(spark, sf_dir):
+    return at_month_ends(spark, sf_dir, scans.scan_breakout_retest, **EASY)
+
+
+@query(slices_sql(C3.replace("FROM feats", "FROM lastrow")))
+def c3_scan_at_month_ends(spark, sf_dir):
+    return at_month_ends(spark, sf_dir, scans.scan_ma60_rule)
+
+
+@query(slices_sql(C4.replace("FROM feats", "FROM lastrow")))
+def c4_scan_at_month_ends(spark, sf_dir):
+    return at_month_ends(spark, sf_dir, scans.scan_surge_then_rest, high=300.0, surge=1.2)
+
+
+@query(slices_sql(C5.replace("FROM feats", "FROM lastrow")))
+def c5_scan_at_month_ends(spark, sf_dir):
+    return at_month_ends(spark, sf_dir, scans.scan_strong_candle, high=300.0, surge=1.5, min_turnover=0.0)
+
+
 @query(f"WITH {FEATS} {C3}")
 def c3_scan_ma60_rule(spark, sf_dir):
     return scans.scan_ma60_rule(panel(spark, sf_dir), lookback_days=None)

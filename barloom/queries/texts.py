@@ -73,9 +73,9 @@ ITEMS = f"""{NEWS}, ni AS (SELECT lpad(CAST(t[1] + 1 AS VARCHAR), 6, '0') AS cod
 items AS (SELECT code, news_date, stock_name, category, rate, title, content FROM ni QUALIFY row_number() OVER (PARTITION BY code, news_date, substr(title, 1, 30) ORDER BY path, stock_name, rate) = 1)"""
 
 
-@query(f"WITH {ITEMS} SELECT * EXCLUDE (rate) FROM items")
+@query(f"WITH {ITEMS} SELECT * FROM items")
 def n5_news_items(spark, sf_dir):
-    return news.news_items(news_files(spark, sf_dir), *stock_names(spark, sf_dir)).drop("rate")
+    return news.news_items(news_files(spark, sf_dir), *stock_names(spark, sf_dir))
 
 
 @query(f"WITH {ITEMS} SELECT code, news_date, base64(encode(title)) AS title FROM items")
@@ -384,13 +384,21 @@ def f1_write_picks(spark, sf_dir):
     return spark.read.schema(schemas.PICK).json(path).select("scan_date", "strategy", "code", "name", "close", "rate", "match_type", "pattern")
 
 
-@query(f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, 'v2' AS strategy, code, 'n' || code AS name, close, rate, match_type, pattern FROM p WHERE scan_date = (SELECT max(scan_date) FROM p)")
+FOUND = "scan_date, 'v2' AS strategy, {} AS found_in, code, close, rate, match_type, pattern"
+
+
+@query(
+    f"""WITH {FEATS}, a AS ({C5}), b AS ({C1}), own AS (SELECT * FROM a WHERE day(scan_date) % 2 = 0)
+SELECT {FOUND.format("'v2'")} FROM own UNION ALL
+SELECT {FOUND.format("''")} FROM b WHERE scan_date IN (SELECT scan_date FROM a) AND scan_date NOT IN (SELECT scan_date FROM own)"""
+)
 def s11_read_picks_json(spark, sf_dir):
-    """The newest date's picks as a dated JSON array, read by its file name."""
-    newest = sinks.publish_latest(named(spark, sf_dir))
-    path = scratch_path(spark, "results")
-    sinks.write_dated_arrays(newest, ["code", "name", "close", "rate", "match_type", "pattern"], path)
-    return readers.read_picks_json(spark, path)
+    """Results of every date: a strategy's own file on even days, else the day's default file, which holds the volume surges."""
+    fields = ["code", "close", "rate", "match_type", "pattern"]
+    path, strong = scratch_path(spark, "results"), c5(spark, sf_dir)
+    default = c1(spark, sf_dir).join(strong.select("scan_date").distinct(), "scan_date", "left_semi").withColumn("strategy", F.lit(None).cast("string"))
+    sinks.write_dated_arrays(strong.where(F.dayofmonth("scan_date") % 2 == 0).unionByName(default), fields, path)
+    return readers.read_results(spark, path, strong, "code string, close bigint, rate double, match_type string, pattern string")
 
 
 @query(f"WITH {THEMES} SELECT code, list_concat([category], subthemes) AS tags FROM themes")

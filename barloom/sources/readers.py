@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -41,12 +41,28 @@ def prune_candle_log(log: PartStore, as_of_date: str, days: int = 20) -> None:
     log.replace(recent_candles(log.read(), as_of_date, days))
 
 
+def result_name(part: int, of: str) -> Column:
+    """Strategy (1; empty in a default file) or day (2) of a file scan_results_[<strategy>_]<yyyymmdd>.json."""
+    return F.regexp_extract(of, r"scan_results_(?:([^/]*)_)?(\d{8})\.json", part)
+
+
 def read_picks_json(spark: SparkSession, path: str, schema: str = schemas.PICK_JSON) -> DataFrame:
-    """Arrays of picks, one file (or folder) a day and strategy: scan_results_<strategy>_<yyyymmdd>.json."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    named = lambda part: F.regexp_extract(F.col("_metadata.file_path"), r"scan_results_([^/]*)_(\d{8})\.json", part)
+    """Arrays of picks, one file (or folder) a day and strategy; the strategy of a default file is empty."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     columns = [f.split()[0] for f in schema.split(",")]
-    return rows.select(F.to_date(named(2), "yyyyMMdd").alias("scan_date"), named(1).alias("strategy"), *columns)
+    return rows.select(F.to_date(result_name(2, "_metadata.file_path"), "yyyyMMdd").alias("scan_date"), result_name(1, "_metadata.file_path").alias("strategy"), *columns)
+
+
+def read_results(spark: SparkSession, path: str, wanted: DataFrame, schema: str = schemas.PICK_JSON) -> DataFrame:
+    """For each wanted (strategy, scan_date) the picks of its file, or of the day's default file where it has none.
+
+    What exists is a listing of the folder, so a file with an empty array counts as there. found_in is
+    the strategy of the file that was read, empty for the default.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    own = listed.select(result_name(1, "path").alias("strategy"), F.to_date(result_name(2, "path"), "yyyyMMdd").alias("scan_date")).where("strategy <> ''").distinct().withColumn("found_in", F.col("strategy"))
+    asked = wanted.select("strategy", "scan_date").distinct().join(own, ["strategy", "scan_date"], "left").withColumn("found_in", F.coalesce("found_in", F.lit("")))
+    return asked.join(read_picks_json(spark, path, schema).withColumnRenamed("strategy", "found_in"), ["scan_date", "found_in"])
 
 
 def read_themes(raw: DataFrame) -> DataFrame:

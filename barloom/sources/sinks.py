@@ -82,8 +82,8 @@ def write_latest(picks: DataFrame, path: str) -> None:
 
 
 def write_dated_arrays(picks: DataFrame, fields: list[str], path: str) -> None:
-    """A JSON array of picks for each date and strategy, in the order of pos, if any, and fields; in a folder named as its dated file."""
-    name = F.concat(F.lit("scan_results_"), "strategy", F.lit("_"), F.date_format("scan_date", "yyyyMMdd"), F.lit(".json"))
+    """A JSON array of picks for each date and strategy, in the order of pos, if any, and fields; in a folder named as its dated file (a null strategy: the day's default)."""
+    name = F.concat(F.lit("scan_results_"), F.coalesce(F.concat("strategy", F.lit("_")), F.lit("")), F.date_format("scan_date", "yyyyMMdd"), F.lit(".json"))
     order = F.struct(*(c for c in ("pos", *fields) if c in picks.columns))
     rows = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("r")))), lambda x: x["r"])
     arrays = picks.groupBy("scan_date", "strategy").agg(F.to_json(rows).alias("value"))

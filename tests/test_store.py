@@ -185,3 +185,25 @@ def test_no_plan_of_means_holds_a_wide_frame(spark, bars):
     widths = [int(b) - int(a) for a, b in re.findall(r"specifiedwindowframe\(RowFrame, (-\d+), (-\d+|currentrow)", plan.replace("currentrow$()", "0")) if b.lstrip("-").isdigit()]
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
     assert widths and max(widths) < ind.STEP
+
+
+def test_results_fall_back_to_the_default_file(spark, tmp_path):
+    from barloom.sources import readers, sinks
+
+    rows = [("v2", "2024-01-02", "a", 1), ("v2", "2024-01-03", "b", 2), (None, "2024-01-02", "x", 3), (None, "2024-01-03", "y", 4), (None, "2024-01-04", "z", 5), ("v2", "2024-01-02", "c", 0)]
+    picks = spark.createDataFrame(rows, "strategy string, scan_date string, code string, close bigint").withColumn("scan_date", F.to_date("scan_date"))
+    sinks.write_dated_arrays(picks, ["code", "close"], str(tmp_path / "r"))
+    (tmp_path / "r" / "scan_results_yey_20240104.json").write_text("[]")
+    wanted = spark.createDataFrame([("v2", "2024-01-02"), ("v2", "2024-01-04"), ("yey", "2024-01-03"), ("yey", "2024-01-04"), ("v2", "2024-01-09")], "strategy string, scan_date string").withColumn("scan_date", F.to_date("scan_date"))
+    got = readers.read_results(spark, str(tmp_path / "r"), wanted, "code string, close bigint")
+    assert sorted((r["strategy"], str(r["scan_date"]), r["found_in"], r["code"]) for r in got.collect()) == [("v2", "2024-01-02", "v2", "a"), ("v2", "2024-01-02", "v2", "c"), ("v2", "2024-01-04", "", "z"), ("yey", "2024-01-03", "", "y")]
+
+
+def test_first_rows_are_chosen_before_the_shuffle(spark):
+    from barloom.operators.joins import dedup_first
+
+    rows = [("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), (None, 5, None), (None, 4, "n")]
+    first = dedup_first(spark.createDataFrame(rows, "k string, o int, v string"), ["k"], ["o"])
+    assert sorted(map(repr, map(tuple, first.collect()))) == sorted(map(repr, [("a", 1, "y"), (None, 4, "n")]))
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
