@@ -13,21 +13,24 @@ def fold(folds: int) -> Column:
 
 
 def within(rows: list, budget: int) -> list:
-    """The leading rows whose lengths n sum to the budget at most."""
+    """The rows, in order, whose lengths n fit into what is left of the budget; one that doesn't fit is passed over.
+
+    If none fits, the shortest stays, so that no class falls out of a sample.
+    """
     total, out = 0, []
     for r in rows:
-        total += r["n"]
-        if total > budget:
-            break
-        out.append(r)
-    return out
+        if total + r["n"] <= budget:
+            total += r["n"]
+            out.append(r)
+    return out or sorted(rows, key=lambda r: r["n"])[:1]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, each: int, budget: int) -> pd.DataFrame:
     """Columns text and y: at most `each` labelled rows of either class outside the held-out fold.
 
     Rows come in the order of a hash of their id, whole and of whatever length, as far as their
-    characters stay within `budget` a class: that bounds what reaches the driver. Of rows that repeat
+    characters stay within `budget` a class (a longer text is passed over, unless a class has nothing
+    else): that bounds what reaches the driver. Of rows that repeat
     an id the largest label and the longest text's length count, and the first text by content.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)

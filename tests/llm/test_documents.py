@@ -400,3 +400,30 @@ def test_samples_skip_the_held_out_fold(spark, documents):
     ids = [r["doc_id"] for r in labels.where("quality is not null").collect()]
     held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids)
     assert len(sample) == len(ids) - held and held
+
+
+def test_a_text_over_the_budget_empties_no_class(spark):
+    docs = spark.createDataFrame([(i, "word " * (200_000 if i < 3 else 5)) for i in range(40)], "doc_id long, text string")
+    none = F.lit(False)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, y int")
+    for budget in (500_000, 400):
+        few = labelled.labelled_sample(docs, labels, "y", none, 100, budget)
+        assert {0, 1} == set(few["y"]) and few["text"].str.len().max() == 25
+        assert len(few) == (37 if budget == 500_000 else 32)
+    alone = spark.createDataFrame([(i, int(i < 3)) for i in range(40)], "doc_id long, y int")
+    few = labelled.labelled_sample(docs, alone, "y", none, 100, 400)
+    assert (few["y"] == 1).sum() == 1 and (few["y"] == 0).sum() == 16
+
+
+def test_rows_without_ids_give_one_payload_a_text(spark, monkeypatch):
+    from barloom.llm import common, ngram_join
+
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:30], "other", *words[31:]]
+    rows = [(None, " ".join(words if i % 2 else near)) for i in range(400)] + [(7, " ".join(words))] * 30
+    written = {}
+    keep = common.write_shared
+    monkeypatch.setattr(common, "write_shared", lambda df, name: written.setdefault(name, keep(df, name)))
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert written["payload"].count() == 2
+    assert {(r["class_id"], r["n_links"]) for r in out} == {(7, 429)}
