@@ -242,7 +242,9 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = common.write_shared(texts.select("tid", "first_id", "n_docs").join(blocks, "tid"), "wanted")
     hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda df: df)
     here = docs.select("doc_id", "text").join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("first_id")))
-    here = here.where(text_id() == F.col("tid")).select("tid", "block", "n_docs", F.pandas_udf(payloads, "struct<sig:binary,grams:binary>")(words_of()).alias("p"))
+    here = here.where(text_id() == F.col("tid")).select("tid", "block", "n_docs", words_of().alias("words"))
+    here = here.dropDuplicates(["tid"])  # rows without an id, or that repeat one, may hold one text many times
+    here = here.select("tid", "block", "n_docs", F.pandas_udf(payloads, "struct<sig:binary,grams:binary>")("words").alias("p"))
     payload = common.write_shared(here.select("tid", "block", "n_docs", "p.sig", "p.grams"), "payload")
     sides = pairs.select(F.col("a").alias("block"), "pair", F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("one")).unionByName(pairs.where("a < b").select(F.col("b").alias("block"), "pair", F.lit(1).alias("side"), F.lit(False).alias("one")))
     found = payload.join(sides, "block").groupBy("pair").applyInPandas(compare_blocks, "tid long, links long, root long")
