@@ -25,9 +25,9 @@ A pair that both sides find is counted in the list of the lower number; inside a
 smaller id is the visitor.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components link with nothing;
-vectors of each dimension have an index of their own and link among themselves; repeated rows of
-an id count as one vector (the first by content) and give as many rows; a null id links with
-nothing and is kept; pairs at exactly the threshold link; an empty table gives no rows; other
+vectors of each dimension have an index of their own and link among themselves; each row is a
+vector of its own, so rows that repeat an id are compared like others (copies link) and each is
+returned; a null id links with nothing and is kept; pairs at exactly the threshold link; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -182,15 +182,15 @@ class Index:
         return np.maximum(out, 0)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v of one row per id whose vector can link.
+def numbered(vectors: DataFrame) -> DataFrame:
+    """row, vec_id, v of every row; v is null where the vector can't link.
 
     Vectors of floats stay floats, so that they travel in half the bytes; all work is in doubles.
     """
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
-    finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    v = F.col("embedding").cast(f"array<{kind}>")
+    finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
+    return vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(F.col("vec_id").isNotNull() & finite, v).alias("v"))
 
 
 def reach_of(threshold: float) -> float:
@@ -265,24 +265,25 @@ def links(rows: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row; miss=0 visits every list that a link can lie in."""
-    rows = common.write_shared(usable(vectors), "vectors")
-    distinct = common.write_shared(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")), "distinct")
+    """vec_id, n_links, component_id, kept of every row, whose place is its identity; miss=0 visits every list that a link can lie in."""
+    every = common.write_shared(numbered(vectors), "vectors")
+    rows = every.where(F.col("v").isNotNull())
+    distinct = common.write_shared(rows.groupBy("v").agg(F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("w")), "distinct")
     dims = distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()
-    everyone = vectors.select("vec_id")
-    parts = [distinct.select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("root"))]
+    parts = [distinct.select(F.col("rep").alias("vec_id"), F.lit(0).cast("long").alias("links"), F.col("rep").alias("root"))]
     for d in dims:
-        part = distinct.where(F.size("v") == d["d"])
+        part = distinct.where(F.size("v") == d["d"]).select(F.col("rep").alias("vec_id"), "v", "w")
         parts.append(common.write_shared(links(part, fit(part, d["n"], threshold, miss), threshold), "links"))
     found = reduce(DataFrame.unionByName, parts)
     classes = common.components(found.where("vec_id <> root"), "vec_id", "root").withColumnRenamed("node", "rep")
     n = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = distinct.select(F.col("vec_id").alias("rep"), "w").join(n, "rep").join(classes, "rep", "left")
-    known = common.write_shared(known.select("rep", F.coalesce("component", "rep").alias("component"), (F.col("links") + F.col("w") - 1).alias("n_links")), "known")
-    copies = rows.join(distinct.where("w > 1").select("v", F.col("vec_id").alias("rep")), "v").select("vec_id", "rep")
-    owner = everyone.join(common.write_shared(copies, "copies"), "vec_id", "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
-    out = owner.join(known, "rep", "left")
-    component = F.coalesce("component", "vec_id")
+    lowest = distinct.select("rep", "least").join(classes, "rep").groupBy("component").agg(F.min("least").alias("lowest"))
+    known = distinct.select("rep", "least", "w").join(n, "rep").join(classes, "rep", "left").join(lowest, "component", "left")
+    known = common.write_shared(known.select("rep", F.coalesce("lowest", "least").alias("component_id"), (F.col("links") + F.col("w") - 1).alias("n_links")), "known")
+    copies = rows.join(distinct.where("w > 1").select("v", "rep"), "v").select("row", "rep")
+    owner = every.select("row", "vec_id", F.col("v").isNotNull().alias("links")).join(common.write_shared(copies, "copies"), "row", "left")
+    out = owner.withColumn("rep", F.when(F.col("links"), F.coalesce("rep", "row"))).drop("links").join(known, "rep", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 

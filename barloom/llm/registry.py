@@ -136,29 +136,30 @@ SELECT doc_id, doc_id, 0, true FROM split WHERE len(words) = 0
 
 
 PQ_NEAR_SQL = """
-WITH RECURSIVE usable AS (
-  SELECT vec_id, min(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) AS v
-  FROM embeddings
+WITH RECURSIVE numbered AS (
+  SELECT row_number() OVER () AS no, vec_id, embedding FROM embeddings),
+usable AS MATERIALIZED (
+  SELECT no, vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v
+  FROM numbered
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
-  GROUP BY vec_id),
-pairs AS (
-  SELECT a.vec_id AS x, b.vec_id AS y
-  FROM usable a JOIN usable b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.no AS x, b.no AS y
+  FROM usable a JOIN usable b ON a.no < b.no AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
 links AS (
   SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
 reach AS (
-  SELECT x AS vec_id, x AS other FROM links
+  SELECT x AS no, x AS other FROM links
   UNION
-  SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+  SELECT r.no, l.y FROM reach r JOIN links l ON r.other = l.x),
 classes AS (
-  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+  SELECT r.no, min(u.vec_id) AS component_id FROM reach r JOIN usable u ON u.no = r.other GROUP BY r.no),
 counts AS (
-  SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+  SELECT x AS no, count(*) AS n_links FROM links GROUP BY x)
 SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
        coalesce(c.component_id, e.vec_id) IS NOT DISTINCT FROM e.vec_id AS kept
-FROM embeddings e LEFT JOIN classes c ON c.vec_id = e.vec_id LEFT JOIN counts n ON n.vec_id = e.vec_id
+FROM numbered e LEFT JOIN classes c ON c.no = e.no LEFT JOIN counts n ON n.no = e.no
 """
 
 

@@ -292,3 +292,9 @@ def test_near_vectors_of_each_dimension(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [0.99, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.1]), (6, [3.0]), (7, [1.0, 0.1, 0.0, 0.0])]
     out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_rows_that_repeat_an_id_are_compared_like_others(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (5, [-1.0, 0.0]), (5, [-1.0, 0.0]), (None, [1.0, 0.0]), (6, None)]
+    out = pq_near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in out), key=repr) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 1, 5, True), (5, 1, 5, True), (0, 0, None, True), (6, 0, 6, True)], key=repr)
