@@ -8,14 +8,15 @@ consistent choice of the largest total score. Kept text forms blocks in page ord
 
 There are no labelled pages. The trees learn from weak labels that a teacher gives on a bounded
 sample of pages (SAMPLE rows, SAMPLE_BUDGET characters): elements inside <article>, <main> or a
-body-of-text attribute, outside boilerplate elements, are article. Copies of the sample with
+body-of-text attribute, outside boilerplate elements, are article; in a page without such marks, those of the
+smallest element that holds most of its text outside links, less what is mostly links. Copies of the sample with
 semantic tags or attributes blanked make the trees use density, depth and siblings too.
 
 Edge cases: null and empty html and pages without an article give an empty text; unclosed and
 stray tags are repaired as browsers do for heads, paragraphs, list items and table cells; elements
 inside svg and math may close themselves; an end tag finds its element at any depth, within its
 block; very long and deep pages are parsed whole; of two choices that score alike the shorter text
-is kept; repeated rows give repeated rows; without a usable sample the teacher's own rule decides;
+is kept; repeated rows give repeated rows; without a usable sample (no page has text outside boilerplate) the teacher's own rule decides;
 empty tables give no rows; other columns are not read.
 """
 
@@ -51,6 +52,8 @@ BAD = ("nav", "menu", "header", "footer", "sidebar", "aside", "notice", "cookie"
 GOOD = ("article", "main", "content", "post", "entry", "story", "text", "articlebody", "body")
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "a", "span", "b", "i", "em", "strong", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "button", "body", "html")
 BAD_TAGS = frozenset(["nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "select", "textarea", "label", "fieldset"])
+#: Share of the prose of a page without marks that its article holds at least.
+MOST_PROSE = 0.6
 TOKEN = re.compile(r"[a-z]+")
 
 
@@ -170,13 +173,44 @@ def features(nodes: list[Node], hidden: np.ndarray, blank_tags: bool = False, bl
     return np.stack(cols, 1)
 
 
+def densest(nodes: list[Node], bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes lie in the smallest element that holds most of a page's prose, and which are mostly links.
+
+    Prose is text outside links and boilerplate. It needs no mark and no word of any language.
+    """
+    n = len(nodes)
+    prose, chars, link = np.zeros(n), np.zeros(n), np.zeros(n)
+    linked, inside = np.zeros(n, bool), np.zeros(n, bool)
+    for i, x in enumerate(nodes):
+        linked[i] = i > 0 and (linked[x.parent] or x.tag == "a")
+        size = sum(len(s.strip()) for s in x.items if isinstance(s, str))
+        chars[i], link[i], prose[i] = size, size * linked[i], size * (not linked[i] and not bad[i])
+    for i in range(n - 1, 0, -1):
+        for a in (chars, link, prose):
+            a[nodes[i].parent] += a[i]
+    at = 0
+    for i in range(1, n):  # children follow their parents, so this descends
+        if nodes[i].parent == at and prose[i] >= MOST_PROSE * max(prose[0], 1):
+            at = i
+    for i in range(n):
+        inside[i] = i == at or (i > 0 and inside[nodes[i].parent])
+    return inside, link > chars / 2
+
+
 def teacher(nodes: list[Node], hidden: np.ndarray) -> np.ndarray:
-    """Weak labels: inside an article mark and outside boilerplate; above the article the label is 1 too."""
+    """Weak labels: inside the article and outside boilerplate; above the article the label is 1 too.
+
+    The article is what is marked as one; in a page without marks it is where most prose is, less what is mostly links.
+    """
     inside, bad = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
     for i, x in enumerate(nodes[1:], 1):
         inside[i] = inside[x.parent] or x.tag in ("article", "main") or "articlebody" in x.tokens or ("main" in x.tokens and x.tag != "body")
         own = x.tag in BAD_TAGS or not x.tokens.isdisjoint(BAD)
         bad[i] = bad[x.parent] or own or hidden[i]
+    if not inside.any():
+        inside, links = densest(nodes, bad)
+        for i in range(1, len(nodes)):
+            bad[i] |= links[i] & (nodes[i].tag != "a") | bad[nodes[i].parent]
     y = inside & ~bad
     for i in range(len(nodes) - 1, 0, -1):
         if y[i] and not bad[nodes[i].parent]:

@@ -2,7 +2,9 @@
 
 import hashlib
 import html as html_lib
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -298,3 +300,31 @@ def test_rows_that_repeat_an_id_are_compared_like_others(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (5, [-1.0, 0.0]), (5, [-1.0, 0.0]), (None, [1.0, 0.0]), (6, None)]
     out = pq_near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in out), key=repr) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 1, 5, True), (5, 1, 5, True), (0, 0, None, True), (6, 0, 6, True)], key=repr)
+
+
+def made_page(rng, marked):
+    """A page of divs with class names of no meaning, and its article."""
+    word = lambda: "".join(rng.choice("абвгдежзик") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    name = lambda: f"{word()[:2]}{rng.randrange(99)}"
+    links = lambda n: "".join(f'<li><a href="/{i}">{word()} {word()}</a></li>' for i in range(n))
+    blocks = [prose(rng.randrange(25, 70)) for _ in range(rng.randrange(3, 9))]
+    body = "".join(f"<p>{b}</p>" for b in blocks)
+    article = f"<article>{body}</article>" if marked else f'<div class="{name()}">{body}</div>'
+    menu, side, foot = f'<div class="{name()}"><ul>{links(8)}</ul></div>', f'<div id="{name()}"><ul>{links(5)}</ul></div>', f'<div class="{name()}"><a href="/i">{word()}</a> <a href="/c">{word()}</a></div>'
+    return f"<html><body>{menu}<div>{article}{side}</div>{foot}</body></html>", blocks
+
+
+def overlap(got, want):
+    got, want = Counter(got.split()), Counter(" ".join(want).split())
+    both = (got & want).total()
+    return 2 * both / max(1, got.total() + want.total())
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_articles_of_pages_without_marks(share):
+    rng = random.Random(12)
+    pages = [made_page(rng, rng.random() < share) for _ in range(160)]
+    model = html_extract.fit([html for html, _ in pages[:60]])
+    scores = [overlap(text, want) for text, (_, want) in zip(html_extract.extract_all([html for html, _ in pages[60:]], model), pages[60:], strict=True)]
+    assert model is not None and sum(scores) / len(scores) > 0.95
