@@ -16,6 +16,11 @@ SKIPPED = ("---", "date:", "created:")
 CATEGORY = ("### ", "**<", "< ")
 NO_NEWS = "뉴스 없음"
 
+#: Tokens of a page: a comment, a script or style as a whole, a tag, text, or a '<' that begins none of them.
+PAGE_TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)|<[a-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]+|<"""
+ATTRIBUTE = r"""[^\s"'>/=<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
 
 def any_start(c: Column, starts: tuple[str, ...]) -> Column:
     out = F.lit(False)
@@ -85,12 +90,67 @@ def news_per_year(items: DataFrame) -> DataFrame:
     return items.groupBy(F.substring("news_date", 1, 4).alias("year")).agg(F.count("*").alias("n"))
 
 
-def headlines_from_pages(pages: DataFrame, css_class: str, n: int = 5, tag: str = "a") -> DataFrame:
-    """The first n texts of elements of a class (None: any) on each page."""
-    inside = rf'[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*' if css_class else "[^>]*"
-    texts = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rf"(?is)<{tag}\b{inside}>(.*?)</{tag}>"), 1)
-    plain = F.transform(texts, lambda t: F.trim(F.regexp_replace(t, r"<[^>]+>", "")))
-    return pages.withColumn("headlines", first_items(F.filter(plain, lambda t: t != ""), n))
+def page_tokens(html: Column) -> Column:
+    """A page as its comments, scripts and styles, tags and texts, in order; quoted attribute values may hold '>'."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(PAGE_TOKEN), 0)
+
+
+def attribute_of(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag token; the first counts, null without one."""
+    found = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name.lower())
+    value = F.regexp_replace(F.try_element_at(found, F.lit(1)), r"^[^=]*=\s*", "")
+    return F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def plain(text: Column) -> Column:
+    """Trimmed text with its common character references decoded."""
+    for name, char in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(text)
+
+
+def headlines_from_pages(pages: DataFrame, css_class: str = "", n: int = 5, tag: str = "a", attribute: str | None = None) -> DataFrame:
+    """Headlines, of the elements of a tag and class (empty: any) on each page.
+
+    Without an attribute name they are the first n texts that aren't empty, else that attribute's values on the first
+    n elements, as far as they have it. Marks in comments, scripts, styles and attribute values don't
+    count. A class fits as a whole word. Elements nest, but an anchor ends where the next one
+    begins; one that never ends goes on to the end of the page. A null page has none.
+
+    One pass over the tokens carries the depth in the element, its text so far and the headlines.
+    """
+    if not tag.isalnum():
+        raise ValueError(f"not a tag: {tag}")
+    tokens = page_tokens(F.col("html"))
+    opens = lambda t: t.rlike(rf"(?i)^<{tag}[\s/>]")
+    closes = lambda t: t.rlike(rf"(?i)^</{tag}[\s/>]")
+    fits = lambda t: F.coalesce(F.array_contains(F.split(attribute_of(t, "class"), r"\s+"), css_class), F.lit(False)) if css_class else F.lit(True)
+    if attribute is not None:
+        some = first_items(F.filter(tokens, lambda t: F.when(opens(t), fits(t)).otherwise(False)), n)
+        return pages.withColumn("headlines", F.filter(F.transform(some, lambda t: plain(attribute_of(t, attribute))), lambda v: v != ""))
+
+    def state(depth: Column | int, text: Column, kept: Column) -> Column:
+        return F.struct((F.lit(depth) if isinstance(depth, int) else depth).alias("depth"), text.alias("text"), kept.alias("kept"))
+
+    nothing = F.lit("")
+
+    def ended(s: Column) -> Column:
+        return F.when((s["depth"] == 0) | (plain(s["text"]) == ""), s["kept"]).otherwise(F.concat(s["kept"], F.array(plain(s["text"]))))
+
+    def step(s: Column, t: Column) -> Column:
+        begun = F.when(fits(t), state(1, nothing, ended(s))).otherwise(state(0, nothing, ended(s)))
+        deeper = begun if tag.lower() == "a" else state(s["depth"] + 1, s["text"], s["kept"])
+        inside = (
+            F.when(opens(t), deeper)
+            .when(closes(t), F.when(s["depth"] == 1, state(0, nothing, ended(s))).otherwise(state(s["depth"] - 1, s["text"], s["kept"])))
+            .when(t.rlike("^<[a-zA-Z/!?]"), s)
+            .otherwise(state(s["depth"], F.concat(s["text"], t), s["kept"]))
+        )
+        outside = F.when(opens(t), begun).otherwise(s)
+        return F.when(F.size(s["kept"]) >= n, s).when(s["depth"] > 0, inside).otherwise(outside)
+
+    start = state(0, nothing, F.array().cast("array<string>"))
+    return pages.withColumn("headlines", first_items(F.aggregate(tokens, start, step, ended), n))
 
 
 def daily_issues(picks: DataFrame, headlines: DataFrame) -> DataFrame:

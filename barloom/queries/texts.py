@@ -95,17 +95,43 @@ def j11_news_code_join(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"_(\d+)\.md", 1).cast("long").alias("doc_id"), "code")
 
 
-@query("SELECT page_id, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda t: trim(regexp_replace(t, '<[^>]+>', '', 'g'))), lambda t: t <> '')[1:5] AS headlines FROM pages")
+PAGE = r"""(?is)<!--.*?(?:-->|$)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|$)|<[a-z/!?](?:[^>"\']|"[^"]*"|\'[^\']*\')*>|[^<]+|<""".replace("'", "''").replace("\\''", "''")
+
+
+def headlines_sql(tag: str, fits: str = "true") -> str:
+    """CTE heads (page_id, headlines): texts between a fitting tag and the next one of its name; such tags don't nest in these pages."""
+    return f"""pt AS (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{PAGE}') AS l FROM pages)),
+pe AS (SELECT *, CASE WHEN regexp_matches(t, '(?i)^</?{tag}[\\s/>]') THEN CASE WHEN t[2] <> '/' AND {fits} THEN i ELSE 0 END END AS e FROM pt),
+po AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS o FROM pe),
+px AS (SELECT page_id, o, trim(replace(replace(string_agg(t, '' ORDER BY i), '&quot;', '"'), '&amp;', '&')) AS x FROM po WHERE o > 0 AND NOT regexp_matches(t, '^<[a-zA-Z/!?]') GROUP BY page_id, o),
+heads AS (SELECT page_id, coalesce(list(x ORDER BY o) FILTER (WHERE x <> ''), []) AS headlines FROM pages LEFT JOIN px USING (page_id) GROUP BY page_id)"""
+
+
+@query(f"WITH {headlines_sql('a')} SELECT page_id, headlines[1:5] AS headlines FROM heads")
 def n6_headlines_from_pages(spark, sf_dir):
-    return news.headlines_from_pages(table(spark, sf_dir, "pages"), "").select("page_id", "headlines")
+    return news.headlines_from_pages(table(spark, sf_dir, "pages")).select("page_id", "headlines")
+
+
+AD = """regexp_matches(t, 'class="([^"]* )?ad( [^"]*)?"')"""
+
+
+@query(f"WITH {headlines_sql('div', AD)} SELECT page_id, headlines[1:5] AS headlines FROM heads")
+def n6_headlines_of_class(spark, sf_dir):
+    return news.headlines_from_pages(table(spark, sf_dir, "pages"), "ad", tag="div").select("page_id", "headlines")
+
+
+@query("""SELECT page_id, list_transform(regexp_extract_all(html, '<a href="[^"]*"')[1:5], lambda x: x[10:-2]) AS headlines FROM pages WHERE html IS NOT NULL""")
+def n6_attributes_from_pages(spark, sf_dir):
+    """The values of an attribute, as titles are read from anchors."""
+    return news.headlines_from_pages(table(spark, sf_dir, "pages").where("html is not null"), attribute="href").select("page_id", "headlines")
 
 
 @query(
-    f"""WITH {FEATS}, p AS (SELECT *, CASE WHEN rate > 20 THEN 1 ELSE 0 END AS e FROM ({C5})), h AS (SELECT lpad(CAST(page_id AS VARCHAR), 6, '0') AS code, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda t: trim(regexp_replace(t, '<[^>]+>', '', 'g'))), lambda t: t <> '')[1:5] AS headlines FROM pages)
+    f"""WITH {FEATS}, {headlines_sql('a')}, p AS (SELECT *, CASE WHEN rate > 20 THEN 1 ELSE 0 END AS e FROM ({C5})), h AS (SELECT lpad(CAST(page_id AS VARCHAR), 6, '0') AS code, headlines[1:5] AS headlines FROM heads)
 SELECT p.scan_date AS issue_date, p.code, round_even(p.rate, 2) AS rate, CASE WHEN len(h.headlines) > 0 THEN array_to_string(h.headlines, ' / ') ELSE '뉴스 없음' END AS summary, coalesce(h.headlines, []) AS headlines FROM p LEFT JOIN h USING (code) WHERE e = 0"""
 )
 def n7_daily_issues(spark, sf_dir):
-    heads = news.headlines_from_pages(table(spark, sf_dir, "pages"), "").withColumn("code", F.lpad(F.col("page_id").cast("string"), 6, "0"))
+    heads = news.headlines_from_pages(table(spark, sf_dir, "pages")).withColumn("code", F.lpad(F.col("page_id").cast("string"), 6, "0"))
     picks = c5(spark, sf_dir).withColumn("elapsed_days", F.when(F.col("rate") > 20, 1).otherwise(0))
     return news.daily_issues(picks, heads)
 
