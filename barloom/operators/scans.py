@@ -31,8 +31,8 @@ def prepared(bars: DataFrame, universe: DataFrame | None, target: str | None, lo
 
 
 def picks(feats: DataFrame, hit: Column, strategy: str, target: str | None, pattern: Column | str = "Pattern 1", fresh: bool = False) -> DataFrame:
-    """The rows that hit, in the pick schema less the name."""
-    rows = feats if target is None else last_bar(feats)
+    """The rows that hit, in the pick schema less the name; features with as_of have one row a code already."""
+    rows = feats if target is None or "as_of" in feats.columns else last_bar(feats)
     if target is not None and fresh:
         rows = rows.where(F.col("dt") == F.lit(target).cast("date"))
     label = F.lit(pattern) if isinstance(pattern, str) else pattern
@@ -52,7 +52,9 @@ def scan_breakout_retest(bars, universe=None, target=None, lookback_days=400, mi
 
     A breakout of age a counts only if the slice held both means at its bar: n_bars - a >= n + 1.
     """
-    f = breakouts(prepared(bars, universe, target, lookback_days), min_turnover=breakout_turnover, surge=breakout_surge)
+    f = prepared(bars, universe, target, lookback_days)
+    if "b60" not in f.columns:
+        f = breakouts(f, min_turnover=breakout_turnover, surge=breakout_surge)
     age = {n: F.col("bar_no") - F.col(f"b{n}.bar_no") for n in (60, 120, 224)}
     valid = {n: F.when(F.col("n_bars") - age[n] >= n + 1, F.col(f"b{n}")) for n in age}
     m = {n: held(f"ma{n}", n) for n in (5, 20, 60, 120, 224)}

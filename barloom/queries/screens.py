@@ -12,6 +12,7 @@ from ..functions.scalars import touch_list
 from ..operators import asof, charts, joins, ranking, scans, watchlist
 from ..plans.features import numbered
 from ..scratch import scratch_path
+from ..sources.state import CodeState, last_features
 from ..sources.store import DatedStore
 from . import query
 from .bars import CANDLE, breakout_sql, near_sql
@@ -118,6 +119,49 @@ def c5_scan_as_of(spark, sf_dir):
     return scans.scan_strong_candle(b, target=newest(b), min_bars=30, high=300.0, surge=1.5, min_turnover=0.0)
 
 
+FROM_STATE = {
+    "c1": pick_sql("n_bars >= 30 AND v20 > 0 AND volume >= 0.5 * v20", "yey", source="lastrow"),
+    "c2": pick_sql(C2.format(gate=130), "podosi", "pattern", "lastrow"),
+    "c3": C3.replace("FROM feats", "FROM lastrow"),
+    "c4": C4.replace("FROM feats", "FROM lastrow").replace("n_bars >= 140", "n_bars >= 30"),
+    "c5": C5.replace("FROM feats", "FROM lastrow").replace("n_bars >= 130", "n_bars >= 30"),
+}
+ALL_OF_STATE = as_of_sql(400, " UNION ALL ".join(FROM_STATE.values()), "z", ", " + RETEST)
+
+
+def advanced(spark, sf_dir, bars):
+    """A state of 400 days from the bars of all but the newest day, then advanced by that day; with its date."""
+    kept = CodeState(spark, scratch_path(spark, "state"))
+    days = sorted(r["dt"] for r in bars.select("dt").distinct().orderBy(F.desc("dt")).limit(2).collect())
+    for i, day in enumerate(days):
+        # the first batch has wrong bars of its newest day, which the second corrects
+        batch = bars.where(F.col("dt") <= F.lit(day)).withColumn("close", F.when(F.col("dt") < F.lit(day), F.col("close")).otherwise(0.0)) if i == 0 else bars.where(F.col("dt").between(F.lit(days[i - 1]), F.lit(day)))
+        kept.advance(batch, str(day))
+    return kept.read(), str(days[-1] if days else "2001-01-01")
+
+
+def scans_of_state(spark, sf_dir, bars):
+    state, day = advanced(spark, sf_dir, bars)
+    f = last_features(state, day, breakout_turnover=EASY["breakout_turnover"], breakout_surge=EASY["breakout_surge"])
+    found = scans.scan_volume_surge(f, target=day, min_bars=30, surge=0.5)
+    found = found.unionByName(scans.scan_breakout_retest(f, target=day, min_bars=130, **EASY))
+    found = found.unionByName(scans.scan_ma60_rule(f, target=day))
+    found = found.unionByName(scans.scan_surge_then_rest(f, target=day, min_bars=30, high=300.0, surge=1.2))
+    return found.unionByName(scans.scan_strong_candle(f, target=day, min_bars=30, high=300.0, surge=1.5, min_turnover=0.0))
+
+
+@query(ALL_OF_STATE)
+def c1_c5_from_state(spark, sf_dir):
+    """All five scans as of the newest date from a state that daily batches advanced."""
+    return scans_of_state(spark, sf_dir, panel(spark, sf_dir))
+
+
+@query(ALL_OF_STATE.replace(PANEL.replace("bars AS ", "allbars AS ", 1), DENSE.replace("dense AS ", "allbars AS ", 1)))
+def c1_c5_from_state_dense(spark, sf_dir):
+    """The same of series with a bar nearly every day."""
+    return scans_of_state(spark, sf_dir, dense(spark, sf_dir))
+
+
 def slices_sql(pick: str, more: str = "", source: str = "feats") -> str:
     """The picks of each code's last bar of each month, from slices of 400 days cut for each; pick reads from lastrow."""
     cut = f"""{DENSE},
