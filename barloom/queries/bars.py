@@ -89,6 +89,18 @@ def s5_find_missing_days(spark, sf_dir):
     return store.find_missing_days(panel(spark, sf_dir), TARGET, max_gap_days=14, min_codes=10)
 
 
+@query(
+    f"""WITH {PANEL}, held AS (SELECT * FROM bars WHERE isodow(dt) NOT IN (2, 4) AND (isodow(dt) <> 1 OR code <= '000004')),
+days AS (SELECT CAST(d AS DATE) AS dt FROM generate_series(DATE '{TARGET}' - 120, DATE '{TARGET}' - 1, INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6)
+SELECT d.dt, count(h.code) AS n_bars FROM days d LEFT JOIN held h ON h.dt = d.dt GROUP BY d.dt HAVING count(h.code) < 10"""
+)
+def s5_find_missing_weekdays(spark, sf_dir):
+    """A store without Tuesdays and Thursdays and with few codes on Mondays, looked at over 120 days."""
+    b = panel(spark, sf_dir)
+    held = b.where((~F.weekday("dt").isin(1, 3)) & ((F.weekday("dt") != 0) | (F.col("code") <= "000004")))
+    return store.find_missing_days(held, TARGET, lookback_days=120, max_gap_days=86, min_codes=10)
+
+
 HELD = "SELECT * FROM bars WHERE NOT (dt BETWEEN DATE '1999-06-14' AND DATE '1999-06-20' AND code > '000004')"
 
 

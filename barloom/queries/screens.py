@@ -491,15 +491,16 @@ def o3_top_by_abs_rate(spark, sf_dir):
 
 @query(
     f"""WITH {FEATS}, p AS ({C1} UNION ALL {C3}), q AS (SELECT *, count(*) OVER (PARTITION BY scan_date) AS n,
-  row_number() OVER (PARTITION BY scan_date ORDER BY CASE WHEN pattern LIKE '%Pattern 1%' THEN 1 WHEN pattern LIKE '%60일의%' THEN 6 ELSE 99 END, rate, code) AS a,
-  row_number() OVER (PARTITION BY scan_date ORDER BY abs(rate) DESC, code) AS b FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY scan_date, code ORDER BY strategy) = 1))
-SELECT scan_date, code, strategy, CASE WHEN n > 4 THEN b ELSE a END AS rank FROM q WHERE CASE WHEN n > 4 THEN b ELSE a END <= 4""",
+  row_number() OVER (PARTITION BY scan_date ORDER BY CASE WHEN pattern LIKE '★%' THEN 0 ELSE 1 END, CASE WHEN pattern LIKE '%Pattern 1%' THEN 1 WHEN pattern LIKE '%60일의%' THEN 6 ELSE 99 END, rate, code) AS a,
+  row_number() OVER (PARTITION BY scan_date ORDER BY abs(rate) DESC, code) AS b FROM (SELECT * REPLACE (CASE WHEN CAST(code AS INT) % 3 = 0 THEN '★ ' || pattern ELSE pattern END AS pattern) FROM p QUALIFY row_number() OVER (PARTITION BY scan_date, code ORDER BY strategy) = 1))
+SELECT scan_date, code, strategy, pattern, CASE WHEN n > 4 THEN b ELSE a END AS rank FROM q WHERE CASE WHEN n > 4 THEN b ELSE a END <= 4""",
     ints=("rank",),
 )
 def o4_report_order(spark, sf_dir):
     both = c1(spark, sf_dir).unionByName(scans.scan_ma60_rule(panel(spark, sf_dir), lookback_days=None))
     one = joins.dedup_first(both, ["scan_date", "code"], ["strategy"])
-    return ranking.report_order(one, 4, ("scan_date",)).select("scan_date", "code", "strategy", "rank")
+    starred = one.withColumn("pattern", F.when(F.col("code").cast("int") % 3 == 0, F.concat(F.lit("★ "), "pattern")).otherwise(F.col("pattern")))
+    return ranking.report_order(starred, 4, ("scan_date",)).select("scan_date", "code", "strategy", "pattern", "rank")
 
 
 @query(f"WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY code DESC) AS pos FROM ({C1})) SELECT scan_date, code, pos, pos AS rank FROM p WHERE pos <= 3", ints=("pos", "rank"))

@@ -12,10 +12,10 @@ from ..operators import comments, financials, joins, news, ranking, scans, unive
 from ..plans.features import features, numbered
 from ..scratch import scratch_path
 from ..sources import readers, sinks
-from . import query
+from . import ORACLES, query
 from .bars import CANDLE, near_sql
 from .derived import FEATS, LISTING, OVER, THEMES, lag_sql, listing, panel, projected_sql, supplier_code, table, themes
-from .screens import C1, C5, REVIEW, W, c1, c5, candle_sql, review
+from .screens import C1, C5, REVIEW, W, c1, c5, candle_sql, j6_overview, review
 
 
 def news_files(spark, sf_dir):
@@ -304,6 +304,10 @@ def q5_rule_comment_candle(spark, sf_dir):
     return comments.rule_comment_candle(candles(spark, sf_dir)).select("scan_date", "code", "day_type", "commentary")
 
 
+#: Label of a candle's age in SQL.
+AGE = "CASE WHEN {0} <= 0 THEN '당일' ELSE {0} || '일차' END"
+
+
 NEAR = f"""{FEATS}, x AS (SELECT *, {CANDLE} AS cand FROM feats), y AS (SELECT *, max(CASE WHEN cand THEN dt END) OVER ({OVER} ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING) AS ref_date,
   coalesce({near_sql('close', 'ma15')} OR {near_sql('low', 'ma15')}, false) AS near15, coalesce({near_sql('close', 'ma20')} OR {near_sql('low', 'ma20')}, false) AS near20,
   coalesce(ma15 > {lag_sql('ma15')}, false) AS up15, coalesce(ma20 > {lag_sql('ma20')}, false) AS up20 FROM x),
@@ -338,10 +342,14 @@ def q8_dashboard_rows(spark, sf_dir):
     return comments.dashboard_rows(picks, themes(spark, sf_dir), 3).select("scan_date", "strategy", "rank", "code", "close", "rate", "comment", "chart", "category")
 
 
-@query(f"WITH {W}, {THEMES}, {candle_sql(500, 30000.0)}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos FROM p500) SELECT p.scan_date, p.pos AS rank, p.code, round_even(p.rate, 2) AS rate, coalesce(t.category, '기타') AS category, p.ref_date AS candle_date, CAST(p.scan_date - p.ref_date AS INT) AS elapsed_days FROM p LEFT JOIN themes t USING (code) WHERE pos <= 2", ints=("rank",))
+@query(
+    f"""WITH {W}, {THEMES}, {candle_sql(500, 30000.0)}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY candle_class DESC, day_type, vol_ratio DESC, code) AS pos, CAST(scan_date - ref_date AS INT) AS age FROM p500)
+SELECT p.scan_date, p.pos AS rank, p.code, p.close, round_even(p.rate, 2) AS rate, '500 기준봉 ' || {AGE.format('p.age')} AS pattern, coalesce(t.category, '기타') AS category, coalesce(t.subthemes[1:2], []) AS subthemes,
+  CASE WHEN len(t.subthemes) > 0 THEN t.category || ' > ' || array_to_string(t.subthemes[1:2], ', ') ELSE coalesce(t.category, '기타') END AS detail_theme, p.ref_date AS candle_date, p.age AS elapsed_days FROM p LEFT JOIN themes t USING (code) WHERE pos <= 2""",
+    ints=("rank",),
+)
 def q9_dashboard_candle_rows(spark, sf_dir):
-    rows = comments.dashboard_candle_rows(scans.priority_cut(candles(spark, sf_dir)), themes(spark, sf_dir), F.col("scan_date"), 2)
-    return rows.select("scan_date", "rank", "code", "rate", "category", "candle_date", "elapsed_days")
+    return comments.dashboard_candle_rows(scans.priority_cut(candles(spark, sf_dir)), themes(spark, sf_dir), F.col("scan_date"), 2)
 
 
 @query(f"WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM ({C5})) SELECT scan_date, strategy, rank, code, 'n' || code AS name, close, format('{{:+.2f}}%', rate) AS rate, pattern, '기타' AS themes FROM p WHERE rank <= 12", ints=("rank",))
@@ -350,23 +358,27 @@ def q10_report_rows_picks(spark, sf_dir):
     return comments.report_rows_picks(top)
 
 
-@query(f"WITH {FEATS}, {REVIEW} SELECT review_date, strategy, hit, row_number() OVER (PARTITION BY review_date, strategy, hit ORDER BY max_profit DESC, code) AS no, code FROM review", ints=("no",))
+@query(
+    f"""WITH {FEATS}, {REVIEW} SELECT review_date, strategy, hit, row_number() OVER (PARTITION BY review_date, strategy, hit ORDER BY max_profit DESC, code) AS no, code,
+  format('{{:+.1f}}%', round_even(max_profit, 1) + 0.0::DOUBLE) AS best, {KIND} || CASE WHEN {TOUCHED} = '' THEN '' ELSE ' (' || {TOUCHED} || ')' END AS review FROM review""",
+    ints=("no",),
+)
 def q11_report_rows_review(spark, sf_dir):
-    return comments.report_rows_review(review(spark, sf_dir)).select("review_date", "strategy", "hit", "no", "code")
+    return comments.report_rows_review(review(spark, sf_dir))
 
 
 @query(
     f"""WITH {W}, {candle_sql(500, 30000.0)}, {NEAR[len(FEATS) + 2:]}
-SELECT scan_date, 1 AS part, code, close, CASE day_type WHEN 0 THEN '당일' ELSE day_type || '일차' END AS day, ref_date FROM p500
-UNION ALL SELECT dt, 2, code, CAST(close AS BIGINT), '이평선', ref_date FROM nearma"""
+SELECT scan_date, 1 AS part, code, close, format('{{:+.2f}}%', round_even(rate, 2) + 0.0::DOUBLE) AS rate, {AGE.format('day_type')} AS day, format('{{:.0f}}%', round_even(vol_ratio, 0)) AS volume, ref_date FROM p500
+UNION ALL SELECT dt, 2, code, CAST(close AS BIGINT), format('{{:+.2f}}%', round_even(round(ret, 6), 2) + 0.0::DOUBLE), '이평선', '-', ref_date FROM nearma"""
 )
 def q12_report_rows_candle(spark, sf_dir):
-    return comments.report_rows_candle(candles(spark, sf_dir), near(spark, sf_dir)).drop("rate", "volume")
+    return comments.report_rows_candle(candles(spark, sf_dir), near(spark, sf_dir))
 
 
-@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT scan_date, code, close, low, vol_ratio, former_peak, p3 AS ma3, p8 AS ma8 FROM p500")
+@query(f"WITH {W}, {candle_sql(500, 30000.0)} SELECT p.scan_date, p.code, p.close, p.low, p.vol_ratio, p.former_peak, p.p3 AS ma3, round(w.p5, 6) AS ma5, p.p8 AS ma8, round(w.p20, 6) AS ma20, CASE WHEN coalesce(w.p5 > w.ma5, false) THEN 'up' ELSE 'down' END AS ma5_trend, p.t3 AS ma3_trend, p.t8 AS ma8_trend, p.t20 AS ma20_trend FROM p500 p JOIN w ON w.code = p.code AND w.dt = p.scan_date")
 def q13_candle_detail_rows(spark, sf_dir):
-    return comments.candle_detail_rows(candles(spark, sf_dir)).select("scan_date", "code", "close", "low", "vol_ratio", "former_peak", "ma3", "ma8")
+    return comments.candle_detail_rows(candles(spark, sf_dir))
 
 
 STATUS = " UNION ALL ".join(
@@ -381,10 +393,13 @@ def p15_ma_status_rows(spark, sf_dir):
     return comments.ma_status_rows(numbered(panel(spark, sf_dir)).withColumns(cols))
 
 
-@query(f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, code, CAST(scan_date - DATE '1999-01-01' AS INT) AS elapsed FROM p")
+@query(f"WITH {FEATS}, p AS ({C5} UNION ALL {C1}), e AS (SELECT scan_date, strategy, code, CAST(scan_date - (SELECT min(scan_date) + 1 FROM p) AS INT) AS d FROM p) SELECT scan_date, strategy, code, greatest(d, -1) AS elapsed, '500 기준봉 ' || {AGE.format('d')} AS label FROM e")
 def x5_elapsed_label(spark, sf_dir):
-    days, _ = sc.elapsed_label(F.lit("1999-01-01").cast("date"), F.col("scan_date"), F.lit("500"))
-    return c5(spark, sf_dir).select("scan_date", "code", days.alias("elapsed"))
+    """Days since the day after the first pick, so that some are before it, with labels."""
+    picks = c5(spark, sf_dir).unionByName(c1(spark, sf_dir))
+    first = picks.agg(F.date_add(F.min("scan_date"), 1).alias("first"))
+    days, label = sc.elapsed_label(F.col("first"), F.col("scan_date"), F.lit("500"))
+    return picks.join(F.broadcast(first)).select("scan_date", "strategy", "code", days.alias("elapsed"), label.alias("label"))
 
 
 @query("SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS won, format('{:+.2f}%', (o_orderkey % 1000 - 500) / 8.0::DOUBLE) AS pct FROM orders")
@@ -458,6 +473,19 @@ def f3_write_history(spark, sf_dir):
     return rows.select("day", F.col("picks.code").alias("codes"), F.col("picks.close").alias("closes"))
 
 
+@query(
+    f"""WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY code) - 1 AS pos FROM ({C1} UNION ALL {C5}))
+SELECT scan_date, strategy, pos, code, 'n' || code AS name, close, rate, match_type, pattern FROM p WHERE pos < 3 AND scan_date IN (SELECT DISTINCT scan_date FROM p ORDER BY scan_date DESC LIMIT 5)""",
+    ints=("pos",),
+)
+def f3_merged_history(spark, sf_dir):
+    """The five newest dates of two strategies as one object, the first three picks of each list, read back to rows."""
+    w, path = Window.partitionBy("scan_date", "strategy").orderBy("code"), scratch_path(spark, "merged")
+    picks = c1(spark, sf_dir).unionByName(c5(spark, sf_dir)).withColumns({"name": F.concat(F.lit("n"), "code"), "pos": F.row_number().over(w) - 1})
+    sinks.write_text(sinks.merged_history(picks, most=3), path)
+    return readers.read_history(spark, path)
+
+
 @query(f"WITH {NEAR} SELECT code, ref_date, CAST(close AS BIGINT) AS close FROM nearma")
 def s16_read_near_ma_ndjson(spark, sf_dir):
     path = scratch_path(spark, "near")
@@ -486,13 +514,18 @@ def f2_write_integrated(spark, sf_dir):
     return part("scan_results", "r.day_type", F.lit(None).cast("boolean").alias("near15")).unionByName(part("ma_stocks", F.lit(None).cast("int").alias("day_type"), "r.near15"))
 
 
-@query(f"WITH {LISTING} SELECT code, market, amount FROM listing")
+@query(
+    f"""{ORACLES["j6_overview"].replace("SELECT l.code", "SELECT 'overview' AS part, l.code", 1).replace(" FROM listing l", ", CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS close, CAST(NULL AS DOUBLE) AS rate FROM listing l", 1)}
+UNION ALL SELECT 'latest', code, NULL, NULL, NULL, name, CAST(close AS BIGINT), coalesce(round_even(change, 2), 0) FROM listing"""
+)
 def f4_write_snapshots(spark, sf_dir):
-    """Latest prices written as JSON keyed by code, and read again."""
-    path = scratch_path(spark, "snapshots")
-    sinks.write_keyed(sinks.keyed_json(listing(spark, sf_dir).select("code", "market", "amount")), path)
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<market:string,amount:double>>")).alias("code", "v"))
-    return rows.select("code", "v.market", "v.amount")
+    """Overview and latest prices written as published, twice, and read again."""
+    path, rows = scratch_path(spark, "snapshots"), listing(spark, sf_dir)
+    for _ in range(2):
+        sinks.write_snapshots(j6_overview(spark, sf_dir), universe.latest_price_snapshot(rows), path)
+    overview = readers.read_keyed(spark, f"{path}/{sinks.OVERVIEW_FILE}", schemas.OVERVIEW).withColumn("part", F.lit("overview"))
+    latest = readers.read_keyed(spark, f"{path}/{sinks.LATEST_FILE}", schemas.LATEST_PRICE).withColumn("part", F.lit("latest"))
+    return overview.unionByName(latest, allowMissingColumns=True)
 
 
 @query(f"WITH {STATEMENTS} SELECT * EXCLUDE (r) FROM st")
@@ -520,9 +553,16 @@ def o6_first_items(spark, sf_dir):
     return turns.select("conv_id", ranking.first_items(F.transform("t", lambda x: x["role"]), 3).alias("roles"))
 
 
-@query(f"WITH {FEATS}, p AS ({C5}) SELECT 'v2' AS technique, code, scan_date, close FROM p")
+@query(
+    f"""WITH {FEATS}, p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, strategy ORDER BY abs(rate) DESC, code) AS rank FROM ({C1} UNION ALL {C5}))
+SELECT scan_date, lower(strategy) AS technique, rank - 1 AS pos, code, '' AS name, close, round_even(rate, 2) AS rate, pattern, pattern AS comment, 'charts/' || strftime(scan_date, '%Y%m%d') || '/' || code || '.png' AS chart FROM p WHERE rank <= 3""",
+    ints=("pos",),
+)
 def f7_write_dashboard(spark, sf_dir):
-    path = scratch_path(spark, "dashboard")
-    sinks.write_dashboard(c5(spark, sf_dir), path)
-    return spark.read.schema("code string, scan_date date, close bigint, technique string").json(path).select("technique", "code", "scan_date", "close")
-
+    """The dashboard files of two strategies and all dates, the newest five written again, read back."""
+    picks = c1(spark, sf_dir).unionByName(c5(spark, sf_dir)).withColumns({"name": F.lit(None).cast("string"), "comment": F.col("pattern")})
+    rows, path = comments.dashboard_rows(picks, themes(spark, sf_dir), 3), scratch_path(spark, "dashboard")
+    rows = rows.withColumn("strategy", F.concat(F.lit("차트_"), F.upper("strategy"), F.lit("_기법")))
+    sinks.write_dashboard(rows, path)
+    sinks.write_dashboard(ranking.keep_newest_dates(rows), path)
+    return readers.read_dashboard(spark, path)

@@ -81,6 +81,22 @@ def read_history(spark: SparkSession, path: str, pick: str = schemas.PICK_JSON)
     return rows.select(parse_two_date_formats(F.col("d")).alias("scan_date"), "strategy", "pos", "pick.*")
 
 
+def read_dashboard(spark: SparkSession, path: str) -> DataFrame:
+    """Dashboard files as rows with technique, scan_date and pos (from 0)."""
+    fields = ",".join(f.strip().replace(" ", ":", 1) for f in schemas.DASHBOARD.split(","))
+    files = spark.read.text(path, wholetext=True)
+    name = lambda part: F.regexp_extract("file", r"dashboard_(.*)_(\d{8})\.json", part)
+    rows = files.select(name(1).alias("technique"), F.to_date(name(2), "yyyyMMdd").alias("scan_date"), F.posexplode(F.from_json("value", f"array<struct<{fields}>>")).alias("pos", "row"))
+    return rows.select("technique", "scan_date", "pos", "row.*")
+
+
+def read_keyed(spark: SparkSession, path: str, schema: str, key: str = "code") -> DataFrame:
+    """Lines or whole objects {key: {...}} as rows."""
+    fields = ",".join(f.strip().replace(" ", ":", 1) for f in schema.split(","))
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,struct<{fields}>>")).alias(key, "v"))
+    return rows.select(key, "v.*")
+
+
 def read_near_ma_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """One near-mean pick to a line."""
     return spark.read.schema(schemas.NEAR_MA_PICK).json(path).where("code is not null")
