@@ -1,8 +1,10 @@
 """Operator 9: main text of HTML pages by gradient-boosted trees over DOM nodes.
 
 Every element gets features: its tag, tokens of its class, id and role attributes, depth, text
-and link density of its subtree, tag counts, position among and likeness to its siblings. Boosted
-trees score how likely an element belongs to the article. Decoding is hierarchical: keeping an
+and link density of its subtree, tag counts, position among and likeness to its siblings. Tokens
+enter by two short word lists and by what is learned of each: the log odds, in one of TOKENS hashed
+buckets, that elements with the token are article, each page counting once; pages that teach the trees
+take them from the other half of the sample. Boosted trees score how likely an element belongs to the article. Decoding is hierarchical: keeping an
 element below a dropped one is impossible, so a dynamic programme over the tree picks the
 consistent choice of the largest total score. Kept text forms blocks in page order.
 
@@ -23,8 +25,10 @@ empty tables give no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +40,8 @@ from . import common, labelled
 
 SAMPLE, SAMPLE_BUDGET = 300, 16_000_000
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
+#: Buckets of attribute tokens; pages that a token must have for its log odds to count by about half.
+TOKENS, DOUBT = 4096, 5.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript svg iframe object head title".split())
@@ -54,7 +60,7 @@ TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol",
 BAD_TAGS = frozenset(["nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "select", "textarea", "label", "fieldset"])
 #: Share of the prose of a page without marks that its article holds at least.
 MOST_PROSE = 0.6
-TOKEN = re.compile(r"[a-z]+")
+TOKEN = re.compile(r"[^\W\d_]+")
 
 
 class Node:
@@ -134,8 +140,29 @@ def silent(nodes: list[Node]) -> np.ndarray:
     return out
 
 
-def features(nodes: list[Node], hidden: np.ndarray, blank_tags: bool = False, blank_tokens: bool = False) -> np.ndarray:
-    """A row of features for each node."""
+@lru_cache(maxsize=65_536)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % TOKENS
+
+
+def token_odds(pages: list[tuple[list[Node], np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each bucket of tokens the log odds of being article, less those of all; pages are nodes, hidden, labels."""
+    yes, n = np.zeros(TOKENS), np.zeros(TOKENS)
+    for nodes, hidden, y in pages:
+        held: dict[int, list[bool]] = {}
+        for i, x in enumerate(nodes):
+            if not hidden[i]:
+                for b in {bucket(t) for t in x.tokens}:
+                    held.setdefault(b, []).append(bool(y[i]))
+        for b, labels in held.items():
+            yes[b] += sum(labels) / len(labels)
+            n[b] += 1
+    p = (yes.sum() + 1) / (n.sum() + 2)
+    return np.log((yes + DOUBT * p) / (n - yes + DOUBT * (1 - p))) - np.log(p / (1 - p))
+
+
+def features(nodes: list[Node], hidden: np.ndarray, odds: np.ndarray, blank_tags: bool = False, blank_tokens: bool = False) -> np.ndarray:
+    """A row of features for each node; odds are those of token buckets."""
     n = len(nodes)
     parent = np.array([max(0, x.parent) for x in nodes])
     own = np.array([0 if h else sum(len(i) for i in x.items if isinstance(i, str) and not i.isspace()) for x, h in zip(nodes, hidden, strict=True)], float)
@@ -145,7 +172,7 @@ def features(nodes: list[Node], hidden: np.ndarray, blank_tags: bool = False, bl
         if not hidden[i]:
             marks[i] = sum(s.count(".") + s.count(",") for s in x.items if isinstance(s, str))
     depth, kids, place = np.zeros(n), np.zeros(n), np.zeros(n)
-    inherited = np.zeros((n, 4))
+    inherited, learned = np.zeros((n, 4)), np.zeros((n, 4))
     for i in range(1, n):
         p = parent[i]
         depth[i], place[i] = depth[p] + 1, kids[p]
@@ -153,6 +180,8 @@ def features(nodes: list[Node], hidden: np.ndarray, blank_tags: bool = False, bl
         t = nodes[i].tokens if not blank_tokens else frozenset()
         own_bad, own_good = (tags[i] in BAD_TAGS) or not t.isdisjoint(BAD), (tags[i] in ("article", "main")) or not t.isdisjoint(GOOD)
         inherited[i] = (max(inherited[p, 0], own_bad), max(inherited[p, 1], own_good), own_bad, own_good)
+        told = [odds[bucket(s)] for s in t] or [0.0]
+        learned[i] = (min(learned[p, 0], *told), max(learned[p, 1], *told), min(told), max(told))
     for i in range(n - 1, 0, -1):
         p = parent[i]
         for a in (chars, link, below, ps, lis, marks):
@@ -166,7 +195,7 @@ def features(nodes: list[Node], hidden: np.ndarray, blank_tags: bool = False, bl
     for i in range(1, n):
         group[i] = same[(parent[i], tags[i])]
     cols = [
-        tag_no, tag_no[parent], *inherited.T, depth, place, kids[parent] - place, kids, group,
+        tag_no, tag_no[parent], *inherited.T, *learned.T, depth, place, kids[parent] - place, kids, group,
         np.log1p(chars), chars / all_chars, link / np.maximum(chars, 1), np.log1p(below), chars / below, marks / np.maximum(chars, 1) * 100,
         ps, lis, np.log1p(chars[parent]), chars / np.maximum(chars[parent], 1), link[parent] / np.maximum(chars[parent], 1), ps[parent], np.arange(n) / n,
     ]
@@ -219,7 +248,9 @@ def teacher(nodes: list[Node], hidden: np.ndarray) -> np.ndarray:
 
 
 class Boosted:
-    """Gradient-boosted trees on binned features, logistic loss."""
+    """Gradient-boosted trees on binned features, logistic loss; odds of token buckets belong to the features."""
+
+    odds = np.zeros(TOKENS)
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         self.edges = [np.unique(np.quantile(x[:, j], np.arange(1, BINS) / BINS)) for j in range(x.shape[1])]
@@ -319,21 +350,27 @@ def text_of(nodes: list[Node], kept: np.ndarray) -> str:
 
 def fit(pages: list[str]) -> Boosted | None:
     """Trees learned from the teacher's labels on whole, tag-blanked and token-blanked copies."""
-    xs, ys, ws = [], [], []
+    taught = []
     for html in pages:
         nodes = tree_of(html)
         hidden = silent(nodes)
         y = teacher(nodes, hidden)
-        if not y.any():
-            continue
-        shown = ~hidden
-        for tags, tokens, w in ((False, False, 1.0), (True, False, 0.3), (False, True, 0.3)):
-            xs.append(features(nodes, hidden, tags, tokens)[shown])
-            ys.append(y[shown])
-            ws.append(np.full(int(shown.sum()), w))
-    if not xs:
+        if y.any():
+            taught.append((nodes, hidden, y))
+    if not taught:
         return None
-    return Boosted(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
+    xs, ys, ws = [], [], []
+    for half in (0, 1):
+        odds = token_odds(taught[1 - half :: 2])
+        for nodes, hidden, y in taught[half::2]:
+            shown = ~hidden
+            for tags, tokens, w in ((False, False, 1.0), (True, False, 0.3), (False, True, 0.3)):
+                xs.append(features(nodes, hidden, odds, tags, tokens)[shown])
+                ys.append(y[shown])
+                ws.append(np.full(int(shown.sum()), w))
+    model = Boosted(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
+    model.odds = token_odds(taught)
+    return model
 
 
 def extract_all(pages: list[str], model: Boosted | None) -> list[str]:
@@ -343,7 +380,7 @@ def extract_all(pages: list[str], model: Boosted | None) -> list[str]:
     if model is None:
         logits = [np.where(teacher(n, h), 1.0, -1.0) for n, h in zip(trees, hidden, strict=True)]
     else:
-        scores = model.logits(np.concatenate([features(n, h) for n, h in zip(trees, hidden, strict=True)]))
+        scores = model.logits(np.concatenate([features(n, h, model.odds) for n, h in zip(trees, hidden, strict=True)]))
         logits = np.split(scores, np.cumsum([len(n) for n in trees])[:-1])
     out = []
     for nodes, h, logit in zip(trees, hidden, logits, strict=True):

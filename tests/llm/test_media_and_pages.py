@@ -328,3 +328,32 @@ def test_articles_of_pages_without_marks(share):
     model = html_extract.fit([html for html, _ in pages[:60]])
     scores = [overlap(text, want) for text, (_, want) in zip(html_extract.extract_all([html for html, _ in pages[60:]], model), pages[60:], strict=True)]
     assert model is not None and sum(scores) / len(scores) > 0.95
+
+
+def told_page(rng, marked, mixed):
+    """Paragraphs of an article among notices that only their class tells apart, and its paragraphs."""
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    blocks = [prose(rng.randrange(25, 70)) for _ in range(rng.randrange(3, 9))]
+    kept = [f'<p class="vorn">{b}</p>' for b in blocks]
+    notices = [f'<p class="zqx">{prose(rng.randrange(25, 70))}</p>' for _ in range(rng.randrange(1, 4))]
+    if mixed:
+        for notice in notices:
+            kept.insert(rng.randrange(len(kept)), notice)
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">{word()}</a></li>' for i in range(8)) + "</ul>"
+    opening, closing = ("<article>", "</article>") if marked else (f'<div class="k{rng.randrange(99)}">', "</div>")
+    return f"<html><body><div>{menu}</div><div>{opening}{''.join(kept)}{closing}{'' if mixed else ''.join(notices)}</div></body></html>", blocks
+
+
+def test_meaning_of_attribute_tokens_is_learned():
+    """Where pages mark their article, notices stand outside; where they don't, only the token zqx tells a notice."""
+    rng = random.Random(5)
+    model = html_extract.fit([told_page(rng, True, False)[0] for _ in range(100)])
+    zqx, vorn, unknown = (model.odds[html_extract.bucket(t)] for t in ("zqx", "vorn", "wharp"))
+    assert zqx < -1 < unknown == 0 < vorn
+    pages = [told_page(rng, False, True) for _ in range(100)]
+    texts = html_extract.extract_all([html for html, _ in pages], model)
+    got, want = [set(text.split("\n\n")) for text in texts], [set(blocks) for _, blocks in pages]
+    notices = sum(html.count("zqx") for html, _ in pages)
+    assert all(w <= g for g, w in zip(got, want, strict=True))
+    assert sum(len(g - w) for g, w in zip(got, want, strict=True)) < notices / 3
