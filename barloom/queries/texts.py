@@ -61,6 +61,34 @@ def n3_news_blocks_compat(spark, sf_dir):
     return blocks.select(F.regexp_extract("path", r"_(\d+)\.md", 1).cast("long").alias("doc_id"), "category")
 
 
+BLANKS = "[ \\t\\n\\r\\f]+"
+
+
+def talk_files(spark, sf_dir):
+    """A file for each conversation: each turn is a header and its text, every second one is followed by its role as a category."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    line = F.concat(F.lit("#### turn "), F.col("pos").cast("string"), F.lit("\nsaid "), F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " "), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("\n\n### "), F.coalesce("role", F.lit("none")))).otherwise(""))
+    lines = turns.withColumn("pos", F.row_number().over(order)).select("conv_id", "pos", line.alias("line"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("conv_id").agg(whole.alias("text")).select(F.concat(F.lit("/news/2024.05.06_"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+LATEST_ROLE = "coalesce(last_value(CASE WHEN pos % 2 = 0 THEN coalesce(role, 'none') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {}), '')"
+
+
+@query(
+    f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL)
+SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(pos AS BIGINT) AS block, 'turn ' || pos AS header, rtrim('said ' || regexp_replace(coalesce(text, ''), '{BLANKS}', ' ', 'g')) AS text, {LATEST_ROLE.format('1 PRECEDING')} AS category, {LATEST_ROLE.format('CURRENT ROW')} AS later FROM t"""
+)
+def n3_news_blocks_of_turns(spark, sf_dir):
+    """Several headers a file, and categories between them, by both rules."""
+    lines = news.news_lines(news.news_dates(talk_files(spark, sf_dir)))
+    later = news.news_blocks(lines, compat=True).select("path", "block", F.col("category").alias("later"))
+    rows = news.news_blocks(lines).join(later, ["path", "block"])
+    return rows.select(F.regexp_extract("path", r"_([^/]*)\.md", 1).alias("conv"), "block", "header", "text", "category", "later")
+
+
 @query(f"WITH {NEWS} SELECT doc_id, 'stock' || t[1] AS stock_name, t[2] AS rate FROM nt")
 def n4_news_tokens(spark, sf_dir):
     blocks = news.news_blocks(news.news_lines(news.news_dates(news_files(spark, sf_dir)))).where(F.length("text") >= 5)
