@@ -397,8 +397,8 @@ def q11_report_rows_review(spark, sf_dir):
 
 @query(
     f"""WITH {W}, {candle_sql(500, 30000.0)}, {NEAR[len(FEATS) + 2:]}
-SELECT scan_date, 1 AS part, code, close, format('{{:+.2f}}%', round_even(rate, 2) + 0.0::DOUBLE) AS rate, {AGE.format('day_type')} AS day, format('{{:.0f}}%', round_even(vol_ratio, 0)) AS volume, ref_date FROM p500
-UNION ALL SELECT dt, 2, code, CAST(close AS BIGINT), format('{{:+.2f}}%', round_even(round(ret, 6), 2) + 0.0::DOUBLE), '이평선', '-', ref_date FROM nearma"""
+SELECT scan_date, 1 AS part, code, close, {EVEN_PCT} AS rate, {AGE.format('day_type')} AS day, format('{{:.0f}}%', round_even(vol_ratio, 0)) AS volume, ref_date FROM p500
+UNION ALL SELECT dt, 2, code, CAST(close AS BIGINT), {EVEN_PCT.replace('rate', 'round(ret, 6)')}, '이평선', '-', ref_date FROM nearma"""
 )
 def q12_report_rows_candle(spark, sf_dir):
     return comments.report_rows_candle(candles(spark, sf_dir), near(spark, sf_dir))
