@@ -50,14 +50,17 @@ def find_missing_days(bars: DataFrame, target: str, lookback_days: int = 20, max
 def backfill_rows(history: DataFrame, universe: DataFrame, missing: DataFrame) -> DataFrame:
     """The history of the universe's codes over the whole span of the missing days."""
     span = missing.agg(F.min("dt").alias("__from"), F.max("dt").alias("__to"))
-    rows = history.join(universe.select("code").distinct(), "code", "left_semi").crossJoin(F.broadcast(span)).where(F.col("dt").between(F.col("__from"), F.col("__to")))
+    rows = history.crossJoin(F.broadcast(span)).where(F.col("dt").between(F.col("__from"), F.col("__to"))).join(universe.select("code").distinct(), "code", "left_semi")
     filled = [falsy_default(number_or_null(F.col(n)), F.col("close")).alias(n) for n in ("open", "high", "low")]
     return rows.select(*KEYS, *filled, "close", falsy_default(number_or_null(F.col("volume")), F.lit(0.0)).alias("volume"))
 
 
 def backfill_bars(store: DataFrame, history: DataFrame, universe: DataFrame, missing: DataFrame) -> DataFrame:
-    """The store with the history over the missing days."""
-    return upsert_bars(store, backfill_rows(history, universe, missing))
+    """The store with the history over the missing days; bars outside their span stay as they are."""
+    span = missing.agg(F.min("dt").alias("__from"), F.max("dt").alias("__to"))
+    placed = store.crossJoin(F.broadcast(span)).withColumn("__in", F.coalesce(F.col("dt").between(F.col("__from"), F.col("__to")), F.lit(False)))
+    inside, outside = placed.where("__in"), placed.where("not __in")
+    return outside.select(*KEYS, *FIELDS).unionByName(upsert_bars(inside, backfill_rows(history, universe, missing)))
 
 
 def prune_bars(bars: DataFrame, target: str, days_to_keep: int = 430) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.indicators import back
 from ..operators import bars as store
 from ..operators import universe as uni
 from ..plans.features import features, numbered
-from ..scratch import scratch_path
+from ..scratch import scratch_path, stored
 from ..sources import readers, sinks
 from ..sources.store import BarStore
 from . import query
@@ -111,7 +111,7 @@ HELD = "SELECT * FROM bars WHERE NOT (dt BETWEEN DATE '1999-06-14' AND DATE '199
 SELECT * FROM held UNION ALL SELECT b.* FROM bars b, gaps g WHERE b.dt BETWEEN g.a AND g.b AND (b.code, b.dt) NOT IN (SELECT (code, dt) FROM held)"""
 )
 def s6_backfill_bars(spark, sf_dir):
-    b = panel(spark, sf_dir)
+    b = stored(panel(spark, sf_dir), "bars")
     held = b.where("not (dt between date'1999-06-14' and date'1999-06-20' and code > '000004')")
     return store.backfill_bars(held, b, b, store.find_missing_days(held, TARGET, max_gap_days=20, min_codes=10))
 

@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_of(spark: SparkSession, sf_dir: str, code: Column, lines: DataFrame | None = None) -> DataFrame:
+def bars_of(spark: SparkSession, sf_dir: str, code: Column, lines: DataFrame | None = None, together: bool = False) -> DataFrame:
+    """Bars of lines; together: lines meet by code, so that windows over the series need no second exchange."""
     rows = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         F.lpad(code.cast("string"), 6, "0").alias("code"),
         F.col("l_shipdate").cast("date").alias("dt"),
@@ -22,12 +23,13 @@ def bars_of(spark: SparkSession, sf_dir: str, code: Column, lines: DataFrame | N
         F.col("l_quantity").cast("double").alias("q"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"),
     )
+    rows = rows.repartition("code") if together else rows
     return rows.groupBy("code", "dt").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("q").alias("volume"))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of a code for each supplier."""
-    return bars_of(spark, sf_dir, F.col("l_suppkey"))
+    return bars_of(spark, sf_dir, F.col("l_suppkey"), together=True)
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: By application, the folder of a session that names none.
@@ -24,3 +24,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read back, for jobs that read its rows several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
