@@ -35,8 +35,12 @@ def bars_elapsed(bars: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def scan_tracked_pullback(bars: DataFrame, watchlist: DataFrame, target: str | None = None, lookback_days: int = 400, max_days: int = 35, min_bars: int = 25, means: tuple[int, ...] = (5, 10, 15, 20)) -> DataFrame:
     """Anchored codes 1 to max_days days on, back at the first rising mean that fits."""
-    known = bars.join(watchlist.select("code").distinct(), "code", "left_semi")
+    listed = watchlist.groupBy("code").agg(F.collect_set("anchor_date").alias("__days"))
+    known = bars.join(listed, "code")
     base = numbered(known if target is None else as_of(known, target, lookback_days), lookback_days if target is None else None)
+    # The bars of anchor days so far, one a code as a rule, are carried along, so the anchor's number needs no second series.
+    at = F.collect_list(F.when(F.array_contains("__days", F.col("dt")), F.struct("dt", "bar_no"))).over(ind.rows(Window.unboundedPreceding, 0))
+    base = base.withColumn("__at", at) if target is None else base
     f = base.withColumns({f"m{n}": ind.sma(n) for n in means} | {"ret": ind.daily_return()})
     touched = F.lit(None).cast("int")
     for n in reversed(means):
@@ -47,10 +51,11 @@ def scan_tracked_pullback(bars: DataFrame, watchlist: DataFrame, target: str | N
     if target is not None:
         f = last_bar(f)
     f = f.where((F.col("n_bars") >= min_bars) & F.col("touched_ma").isNotNull())
-    at = numbered(known).select("code", F.col("dt").alias("anchor_date"), F.col("bar_no").alias("anchor_no"))
-    anchors = watchlist.select("code", "name", "anchor_date", "anchor_close").join(at, ["code", "anchor_date"], "left")
-    hits = f.join(anchors, "code").where(F.datediff("dt", "anchor_date").between(1, max_days))
-    elapsed = F.coalesce(F.col("bar_no") - F.col("anchor_no"), F.datediff("dt", "anchor_date")) if target is None else F.datediff("dt", "anchor_date")
+    hits = f.join(watchlist.select("code", "name", "anchor_date", "anchor_close"), "code").where(F.datediff("dt", "anchor_date").between(1, max_days))
+    elapsed = F.datediff("dt", "anchor_date")
+    if target is None:
+        anchor = F.try_element_at(F.filter("__at", lambda a: a["dt"] == F.col("anchor_date")), F.lit(1))
+        elapsed = F.coalesce(F.col("bar_no") - anchor["bar_no"], elapsed)
     return hits.select(F.col("dt").alias("scan_date"), "code", "name", F.col("close").cast("long").alias("close"), F.round("ret", 6).alias("rate"), "anchor_date", "anchor_close", elapsed.cast("int").alias("elapsed"), "touched_ma")
 
 

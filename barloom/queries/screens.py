@@ -11,7 +11,7 @@ from ..functions.indicators import back
 from ..functions.scalars import touch_list
 from ..operators import asof, charts, joins, ranking, scans, watchlist
 from ..plans.features import numbered
-from ..scratch import scratch_path
+from ..scratch import scratch_path, stored
 from ..sources.state import CodeState, last_features
 from ..sources.store import DatedStore
 from . import query
@@ -307,7 +307,7 @@ SELECT t.dt AS scan_date, t.code, 'n' || t.code AS name, CAST(t.close AS BIGINT)
 FROM t JOIN a ON a.code = t.code JOIN feats b ON b.code = a.code AND b.dt = a.anchor_date WHERE t.n_bars >= 25 AND t.touched_ma IS NOT NULL AND t.dt - a.anchor_date BETWEEN 1 AND 35"""
 )
 def c9_scan_tracked_pullback(spark, sf_dir):
-    return watchlist.scan_tracked_pullback(panel(spark, sf_dir), anchors(spark, sf_dir), lookback_days=None)
+    return watchlist.scan_tracked_pullback(panel(spark, sf_dir), stored(anchors(spark, sf_dir), "anchors"), lookback_days=None)
 
 
 @query(f"WITH {FEATS}, a AS ({ANCHORS}) SELECT t.code, t.dt, CAST(t.bar_no - b.bar_no AS INT) AS elapsed FROM feats t JOIN a ON a.code = t.code AND t.dt > a.anchor_date JOIN feats b ON b.code = a.code AND b.dt = a.anchor_date")
