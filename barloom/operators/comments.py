@@ -46,8 +46,14 @@ def filled(template: Column, facts: dict[str, Column]) -> Column:
     return template
 
 
-def won(label: str, x: Column) -> Column:
-    return F.concat(F.lit(label + "("), F.format_string("%.0f", F.bround(x.cast("double"), 0)), F.lit("원)"))
+def whole(x: Column) -> Column:
+    """x without digits, ties to the even one; numbers of ordinary size take the short way."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < 1e15, F.rint(x).cast("long").cast("string")).otherwise(F.format_string("%.0f", F.bround(x, 0)))
+
+
+def won(label: str | Column, x: Column) -> Column:
+    return F.concat(F.lit(label) if isinstance(label, str) else label, F.lit("("), whole(x), F.lit("원)"))
 
 
 def comment_quality_flags(df: DataFrame, comment: str = "comment") -> DataFrame:
@@ -101,19 +107,30 @@ def rule_facts(df: DataFrame) -> DataFrame:
     """
     close, low, peak, rate, ratio = (F.col(c) for c in ("close", "low", "former_peak", "rate", "vol_ratio"))
     kind = F.when((rate >= 5) & (ratio >= 150), "surge_up").when(rate >= 5, "up").when((rate <= -5) & (ratio >= 150), "surge_down").when(rate <= -5, "down").when(ratio <= 50, "dry").otherwise("calm")
-    lines = [(f"{n}일선", F.coalesce(F.col(f"ma{n}"), F.lit(0.0))) for n in (5, 20, 60, 120)]
-    rows = F.array(*(F.struct(won(k, v).alias("text"), v.alias("v")) for k, v in lines))
-    below = F.filter(rows, lambda r: (r["v"] > 0) & (close >= r["v"]))
-    above = F.filter(rows, lambda r: (r["v"] > 0) & (close < r["v"]))
-    support = F.coalesce(F.try_element_at(below, F.lit(-1))["text"], won("전저점", low))
-    resist = F.coalesce(F.try_element_at(above, F.lit(1))["text"], F.when(peak > close, won("전고점", peak)), F.lit("상단 이격 저항대"))
-    holds = {n: (F.coalesce(F.col(f"ma{n}"), F.lit(0.0)) > 0) & (close >= F.col(f"ma{n}")) for n in (5, 20, 60)}
-    buy, stop = won("전저점", low), won("전저점", low)
-    for n in (60, 20, 5):
-        buy = F.when(holds[n], won(f"{n}일선", F.col(f"ma{n}"))).otherwise(buy)
-        stop = F.when(holds[n], won("20일선", F.col("ma20")) if n == 20 else won("전저점", low)).otherwise(stop)
-    goal = F.when(peak > close * 1.03, won("전고점", peak)).otherwise(resist)
-    return df.withColumns({"kind": kind, "support": support, "resistance": resist, "buy": buy, "stop": stop, "goal": goal})
+    mean = {n: F.col(f"ma{n}") for n in (5, 20, 60, 120)}
+    holds = {n: yes((m > 0) & (close >= m)) for n, m in mean.items()}
+    tops = {n: yes((m > 0) & (close < m)) for n, m in mean.items()}
+
+    def first(found: list[tuple[Column, str, Column]], label: str | None, price: Column) -> tuple[Column, Column]:
+        """Label and price of the first that is found, so that only what is chosen is formatted."""
+        label, value = F.lit(label).cast("string"), price.cast("double")
+        for hit, name, x in reversed(found):
+            label, value = F.when(hit, name).otherwise(label), F.when(hit, x).otherwise(value)
+        return label, value
+
+    line = lambda held, *spans: [(held[n], f"{n}일선", mean[n]) for n in spans]
+    chosen = {
+        "support": first(line(holds, 120, 60, 20, 5), "전저점", low),
+        "resistance": first([*line(tops, 5, 20, 60, 120), (yes(peak > close), "전고점", peak)], None, F.lit(None)),
+        "buy": first(line(holds, 5, 20, 60), "전저점", low),
+        "stop": first([(~holds[5] & holds[20], "20일선", mean[20])], "전저점", low),
+    }
+    f = df.withColumns({f"__{k}{part}": c for k, both in chosen.items() for part, c in zip(("", "_price"), both, strict=True)})
+    text = {k: won(F.col(f"__{k}"), F.col(f"__{k}_price")) for k in chosen}
+    text["resistance"] = F.coalesce(text["resistance"], F.lit("상단 이격 저항대"))
+    f = f.withColumns({"kind": kind} | text)
+    goal = F.when(peak > close * 1.03, won("전고점", peak)).otherwise(F.col("resistance"))
+    return f.withColumn("goal", goal).drop(*(c for c in f.columns if c.startswith("__") and c not in df.columns))
 
 
 def rule_comment(df: DataFrame) -> DataFrame:
