@@ -138,13 +138,12 @@ def rule_comment(df: DataFrame) -> DataFrame:
 
     Needs code and what rule_facts needs.
     """
-    f = rule_facts(df)
-    close, kind = F.col("close"), F.col("kind")
-    seed = code_seed(F.col("code"), close)
+    f = rule_facts(df).withColumn("__seed", code_seed(F.col("code"), F.col("close")))
+    close, kind, seed = F.col("close"), F.col("kind"), F.col("__seed")
     first = F.lit(None).cast("string")
     for k, v in VOLUME_SENTENCES.items():
         first = F.when(kind == k, pick_template(v, seed)).otherwise(first)
-    head = F.concat(format_won(close), F.lit("원("), signed_pct(F.col("rate")), F.lit("), 거래량 "), F.format_string("%.0f%%", F.bround("vol_ratio", 0)), F.lit(". "), first)
+    head = F.concat(format_won(close), F.lit("원("), signed_pct(F.col("rate")), F.lit("), 거래량 "), whole(F.col("vol_ratio")), F.lit("%. "), first)
     second = filled(pick_template(SUPPORT_SENTENCES, seed, 3), {"s": F.col("support"), "r": F.col("resistance")})
     third = filled(pick_template(TRADE_SENTENCES, seed, 7), {"b": F.col("buy"), "x": F.col("stop"), "t": F.col("goal")})
     return f.withColumn("comment", F.concat_ws(" ", head, second, third)).select(*df.columns, "comment")
