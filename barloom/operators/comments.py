@@ -186,8 +186,7 @@ def rule_review(df: DataFrame, min_profit: float = 3.0) -> DataFrame:
 def ma_status_rows(feats: DataFrame) -> DataFrame:
     """A row for each mean with a value: projected 5, 10, 20, and 60, 120, 224; role and trend."""
     rows = F.array(*(F.struct(F.lit(f"{n}일선").alias("label"), F.col(f"{'p' if n <= 20 else 'ma'}{n}").alias("value"), F.col(f"t{n}").alias("trend")) for n in (5, 10, 20, 60, 120, 224)))
-    some = F.filter(rows, lambda r: yes(r["value"] > 0))
-    out = feats.select("code", "dt", "close", F.explode(some).alias("r"))
+    out = feats.select("code", "dt", "close", F.explode(rows).alias("r")).where("r.value > 0")
     return out.select("code", "dt", "r.label", F.round("r.value", 6).alias("value"), F.when(F.col("r.value") > F.col("close"), "resistance").otherwise("support").alias("role"), "r.trend")
 
 
