@@ -10,7 +10,7 @@ from ..functions import indicators as ind
 from ..functions import scalars as sc
 from ..operators import comments, financials, joins, news, ranking, scans, universe
 from ..plans.features import features, numbered
-from ..scratch import scratch_path
+from ..scratch import scratch_path, stored
 from ..sources import readers, sinks
 from . import ORACLES, query
 from .bars import CANDLE, near_sql
@@ -447,9 +447,9 @@ def named(spark, sf_dir):
 @query(f"WITH {FEATS}, p AS ({C5}) SELECT scan_date, strategy, code, 'n' || code AS name, close, rate, match_type, pattern FROM p")
 def f1_write_picks(spark, sf_dir):
     """Picks written by date and strategy, twice, and read back."""
-    path = scratch_path(spark, "picks")
+    path, picks = scratch_path(spark, "picks"), stored(named(spark, sf_dir), "found")
     for _ in range(2):
-        sinks.write_picks(named(spark, sf_dir), path)
+        sinks.write_picks(picks, path)
     return spark.read.schema(schemas.PICK).json(path).select("scan_date", "strategy", "code", "name", "close", "rate", "match_type", "pattern")
 
 
