@@ -464,7 +464,7 @@ SELECT {FOUND.format("''")} FROM b WHERE scan_date IN (SELECT scan_date FROM a)
 def s11_read_picks_json(spark, sf_dir):
     """Results of every date: a strategy's own file on even days, else the day's default file, which holds the volume surges."""
     fields = ["code", "close", "rate", "match_type", "pattern"]
-    path, strong = scratch_path(spark, "results"), c5(spark, sf_dir)
+    path, strong = scratch_path(spark, "results"), stored(c5(spark, sf_dir), "found")
     default = c1(spark, sf_dir).join(strong.select("scan_date").distinct(), "scan_date", "left_semi").withColumn("strategy", F.lit(None).cast("string"))
     sinks.write_dated_arrays(strong.where(F.dayofmonth("scan_date") % 2 == 0).unionByName(default), fields, path)
     return readers.read_results(spark, path, strong, "code string, close bigint, rate double, match_type string, pattern string")
