@@ -569,7 +569,7 @@ def f5_write_financials(spark, sf_dir):
 def f6_publish_latest(spark, sf_dir):
     """The newest result of each strategy under latest/, twice, and read again."""
     path = scratch_path(spark, "published")
-    picks = c1(spark, sf_dir).unionByName(c5(spark, sf_dir))
+    picks = stored(c1(spark, sf_dir).unionByName(c5(spark, sf_dir)), "found")
     for _ in range(2):
         sinks.write_latest(picks, path)
     return sinks.latest_store(spark, path, "scan_date date, strategy string, code string, close bigint").read()
