@@ -28,6 +28,8 @@ from ..operators.ranking import replace_date_slice
 
 #: Manifests whose folders are kept.
 KEPT = 2
+#: The part of rows whose part is null.
+NO_PART = "__HIVE_DEFAULT_PARTITION__"
 
 
 class PartStore:
@@ -121,8 +123,11 @@ class DatedStore(PartStore):
 
     def replace_dates(self, rows: DataFrame) -> None:
         """Rows replace the stored ones of their dates; only their months are read and written."""
-        months = self.parts_of(rows)
-        self.commit(self.write(replace_date_slice(self.read(months), rows, self.day)), months)
+        staged = self.write(rows)  # computed once; no manifest names these folders, so the commit deletes them
+        months = set(staged) - {NO_PART}
+        if staged:
+            rows = self.spark.read.schema(self.schema).format(self.fmt).load([f"{self.path}/{f}" for f in staged.values()])
+            self.commit(self.write(replace_date_slice(self.read(months), rows, self.day)), months)
 
     def prune(self, target: str, days_to_keep: int) -> None:
         """Rows older than so many days go; expired months are dropped unread, the oldest kept one is rewritten if it has to be."""
