@@ -590,7 +590,7 @@ def f7_write_dashboard(spark, sf_dir):
     """The dashboard files of two strategies and all dates, the newest five written again, read back."""
     picks = c1(spark, sf_dir).unionByName(c5(spark, sf_dir)).withColumns({"name": F.lit(None).cast("string"), "comment": F.col("pattern")})
     rows, path = comments.dashboard_rows(picks, themes(spark, sf_dir), 3), scratch_path(spark, "dashboard")
-    rows = rows.withColumn("strategy", F.concat(F.lit("차트_"), F.upper("strategy"), F.lit("_기법")))
+    rows = stored(rows.withColumn("strategy", F.concat(F.lit("차트_"), F.upper("strategy"), F.lit("_기법"))), "ranked")
     sinks.write_dashboard(rows, path)
     sinks.write_dashboard(ranking.keep_newest_dates(rows), path)
     return readers.read_dashboard(spark, path)
